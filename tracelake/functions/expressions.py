@@ -16,9 +16,8 @@ def parse_number(c: Column) -> Column:
 
 
 def is_finite(c: Column) -> Column:
-    """True for a present, non-NaN, non-infinite value; never NULL."""
-    d = c.cast("double")
-    return F.coalesce(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), F.lit(False))
+    """True for a present, non-NaN, non-infinite value; never NULL. NaN sorts above inf."""
+    return F.coalesce(F.abs(c.cast("double")) < F.lit(float("inf")), F.lit(False))
 
 
 def finite_or_null(c: Column) -> Column:
@@ -65,6 +64,15 @@ def count_below(values: Column, size: int, x: Column, or_equal: bool = False) ->
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), visit)
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is evaluated once however often it is used.
+
+    Plain column reuse is expanded when a filter is pushed below a projection; a
+    lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clip(z: Column, lo: float, hi: float) -> Column:
     """Clamp to [lo, hi]; NaN stays NaN as a numeric clip leaves it."""
     return F.when(F.isnan(z), z).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), z)))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.config import CHANNEL_NAMES, FEATURES, SOURCE_METRICS
@@ -52,9 +53,14 @@ def require_columns(df: DataFrame, required=REQUIRED_JOB_COLUMNS) -> DataFrame:
     return df
 
 
-def column_report(spark: SparkSession, df: DataFrame, required=REQUIRED_JOB_COLUMNS) -> DataFrame:
-    """One row per required column with a present flag (schema only, no job)."""
-    have = set(df.columns)
-    return spark.createDataFrame(
-        [(c, int(c in have)) for c in required], "column_name string, present int"
-    )
+def column_report(df: DataFrame, required=REQUIRED_JOB_COLUMNS) -> DataFrame:
+    """``(column_name, present, n_values)`` for every required column, in one pass."""
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(int(c in df.columns)).alias("present"),
+            (F.count(c) if c in df.columns else F.count(F.lit(None))).alias("n_values"),
+        )
+        for c in required
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
