@@ -32,8 +32,11 @@ def probe_nodes(telemetry: DataFrame, cfg: ResampleConfig) -> DataFrame:
     a node with billions of samples sends at most ``probe_rows`` rows per input task.
     """
     order = Window.partitionBy(*NODE).orderBy("seq")
+    # The key filter states what the joins on it imply, so that every use of this
+    # plan looks the same and Spark runs its shuffle once.
     first = (
-        telemetry.select(*NODE, "seq", "timestamp")
+        telemetry.filter(F.col("job_id").isNotNull() & F.col("node_id").isNotNull())
+        .select(*NODE, "seq", "timestamp")
         .withColumn("rn", F.row_number().over(order))
         .filter(F.col("rn") <= cfg.probe_rows)
     )

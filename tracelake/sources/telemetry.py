@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.schemas import TELEMETRY_CSV
 
@@ -18,25 +19,33 @@ def _unit_name(path: Column, layout: str) -> Column:
     return F.regexp_extract(path, r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
 
 
-def scan_telemetry(spark: SparkSession, path: str, layout: str = "file") -> DataFrame:
+def scan_telemetry(
+    spark: SparkSession, path: str, layout: str = "file", header: list[str] | None = None
+) -> DataFrame:
     """Text telemetry with ``job_id``, ``node_id`` and the in-file order ``seq``.
 
     Files lie exactly one folder below ``path``. Names that are no job-node pair are
     ignored. With ``layout="folder"`` the pair is the folder's name (``unit=<pair>``
-    works) and its files follow each other in name order. Columns are matched by
-    header name; ``seq`` keeps a file split over several tasks in order.
+    works) and its files follow each other in name order. ``header`` is the column
+    line of the files, read from the first one if not given; unused columns are
+    pruned, and a file with another header fails instead of being misread. ``seq``
+    keeps a file split over several tasks in order.
     """
+    files = f"{path.rstrip('/')}/*/*.csv"
+    header = header or spark.read.option("header", True).csv(files).columns
+    missing = [c for c in TELEMETRY_CSV.fieldNames() if c not in header]
+    if missing:
+        raise KeyError(f"missing columns: {missing}")
     raw = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .schema(TELEMETRY_CSV)
-        .csv(f"{path.rstrip('/')}/*/*.csv")
+        .schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+        .csv(files)
     )
     name = _unit_name(F.col("_metadata.file_path"), layout)
     return (
         raw.select(
-            "*",
+            *TELEMETRY_CSV.fieldNames(),
             name.alias("unit_name"),
             F.struct(
                 F.col("_metadata.file_name").alias("file"),
@@ -79,11 +88,13 @@ def write_telemetry(telemetry: DataFrame, path: str) -> None:
     """Write samples as CSV in the folder layout, in sample order.
 
     Range partitioning by (unit, seq) lets several tasks share a heavy node while the
-    part files of its folder keep the order of the samples.
+    part files of its folder keep the order of the samples. The task count is explicit:
+    the cost is one file per unit, which the shuffled bytes do not show.
     """
+    parts = int(telemetry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         telemetry.withColumn("unit", F.concat_ws("-", "job_id", "node_id"))
-        .repartitionByRange("unit", "seq")
+        .repartitionByRange(parts, "unit", "seq")
         .sortWithinPartitions("unit", "seq")
         .select("unit", *TELEMETRY_CSV.fieldNames())
         .write.partitionBy("unit")
