@@ -44,6 +44,15 @@ def ceil_div(a: Column, b: int) -> Column:
     return int_div(a + F.lit(b - 1), F.lit(b))
 
 
+def double_array(values) -> Column:
+    """Constant array of finite doubles.
+
+    Written as one text that the optimizer folds into a single literal: an array of a
+    thousand literals would be walked by every analyzer rule.
+    """
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def count_below(values: Column, size: int, x: Column, or_equal: bool = False) -> Column:
     """How many elements of an ascending array lie below ``x``, by binary search.
 

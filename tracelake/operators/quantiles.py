@@ -11,9 +11,11 @@ from tracelake.functions.expressions import (
     QUANTILE_EPS,
     bind,
     count_below,
+    double_array,
     int_div,
     normal_quantile_sql,
 )
+from tracelake.storage import materialize
 
 _BUCKETS = 64
 
@@ -22,7 +24,7 @@ def _value_buckets(bounds: dict[str, list[float]]):
     """Range bucket of (column_name, v): literal bounds, at most _BUCKETS per column."""
     expr = F.lit(None).cast("int")
     for column, cuts in bounds.items():
-        inner = count_below(F.lit(cuts), len(cuts), F.col("v")) if cuts else F.lit(0)
+        inner = count_below(double_array(cuts), len(cuts), F.col("v")) if cuts else F.lit(0)
         expr = F.when(F.col("column_name") == column, inner).otherwise(expr)
     return expr
 
@@ -49,10 +51,12 @@ def quantile_table(df: DataFrame, targets: dict[str, int], cap: bool = True) ->
             )
         ).alias("e")
     ).select("e.*")
-    counts = (
+    # Written once: the bounds and both sides of the ranking read it.
+    counts = materialize(
         long.filter(F.col("v").isNotNull())
         .groupBy("column_name", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c")),
+        "value-counts",
     )
     probs = [i / _BUCKETS for i in range(1, _BUCKETS)]
     bounds = {
@@ -158,7 +162,7 @@ class QuantileNormal:
             return df.withColumn(output, F.lit(None).cast("double"))
         n = len(q)
         x = F.col(column).cast("double")
-        arr = F.lit([float(v) for v in q])
+        arr = double_array(q)
         width = F.lit(1.0 / (n - 1) if n > 1 else 1.0)
 
         def probability(s):

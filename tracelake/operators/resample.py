@@ -77,13 +77,15 @@ def resample_traces(
     cfg: ResampleConfig,
     nodes: DataFrame | None = None,
     only_jobs: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """The whole chain. ``telemetry`` is parsed; see the source for its columns.
 
     ``nodes`` registers nodes whose file may be empty. ``only_jobs`` (job_id) limits
-    the work to some jobs, for example those inside the duration bounds.
+    the work to some jobs, for example those inside the duration bounds. ``facts``
+    are the node facts when they are already stored.
     """
-    facts = node_facts(telemetry, cfg, nodes)
+    facts = node_facts(telemetry, cfg, nodes) if facts is None else facts
     kept = kept_nodes(facts, job_gate(facts, cfg))
     if only_jobs is not None:
         kept = kept.join(only_jobs.select("job_id"), "job_id", "left_semi")
