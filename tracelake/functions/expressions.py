@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def parse_number(c: Column) -> Column:
     """Text to double; anything that is not a finite number becomes NULL.
 
-    The suffix guard rejects Java literals such as ``1.5d``, which a cast accepts.
+    The last-letter guard rejects Java literals such as ``1.5d``, which a cast accepts.
     """
-    v = F.when(~c.rlike("[a-zA-Z]\\s*$"), c.try_cast("double"))
-    return finite_or_null(v)
+    suffix = F.lower(F.right(F.rtrim(c), F.lit(1)))
+    return finite_or_null(F.when(~suffix.isin("d", "f"), c.try_cast("double")))
 
 
 def is_finite(c: Column) -> Column:

@@ -132,6 +132,17 @@ def trace_facts(
     )
 
 
+def finished_facts(gate: DataFrame, traces: DataFrame) -> DataFrame:
+    """The same facts from a written trace table, read for two columns only."""
+    last = traces.groupBy("job_id").agg(F.max("k").alias("k_max"))
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(
+        F.col("k_max").isNull(), F.lit("neg_kmax")
+    )
+    return gate.join(last, "job_id", "left").select(
+        "job_id", "nodes_total", "nodes_used", "t0", "k_max", reason.alias("reason")
+    )
+
+
 def trace_index(facts: DataFrame, cfg: ResampleConfig, root: str = "traces") -> DataFrame:
     """Index of finished traces inside the duration bounds (both ends included).
 

@@ -100,23 +100,18 @@ def pack(norm: DataFrame, index: DataFrame, max_length: int) -> DataFrame:
     """One row per indexed job: ``(job_id, length, ch)`` with ``ch`` channel by time.
 
     Only jobs of the index are packed, and their duration bound limits an array to
-    ``max_length`` bins; a longer one is an error, never a silent cut.
+    ``max_length`` bins. A bin beyond it is an error before anything is collected,
+    never a silent cut.
     """
-    kept = norm.join(index.select("job_id"), "job_id", "left_semi")
+    beyond = F.raise_error(F.concat(F.lit("trace exceeds the duration bound: "), F.col("job_id")))
+    bounded = F.when(F.col("k") >= max_length, beyond.cast("long")).otherwise(F.col("k"))
+    kept = norm.join(index.select("job_id"), "job_id", "left_semi").withColumn("k", bounded)
     packed = kept.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("length"),
         F.sort_array(F.collect_list(F.struct("k", *Z_COLUMNS))).alias("rows"),
     )
-    checked = F.when(
-        F.col("length") > max_length,
-        F.raise_error(F.concat(F.lit("trace exceeds the duration bound: "), F.col("job_id"))).cast(
-            "long"
-        ),
-    ).otherwise(F.col("length"))
     return packed.select(
-        "job_id",
-        checked.alias("length"),
-        F.array(*[F.col(f"rows.{z}") for z in Z_COLUMNS]).alias("ch"),
+        "job_id", "length", F.array(*[F.col(f"rows.{z}") for z in Z_COLUMNS]).alias("ch")
     )
 
 

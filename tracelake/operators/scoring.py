@@ -62,7 +62,7 @@ def score_plan(capped: DataFrame, w_pred: int) -> DataFrame:
 def score_jobs(
     norm: DataFrame, plan: DataFrame, cond: DataFrame, predictor: Predictor, cfg: WindowConfig
 ) -> DataFrame:
-    """``(job_id, w, start, real, gen, error)``: generated power per window.
+    """``(job_id, w, start, real, gen, error)``: generated power per planned window.
 
     Jobs are independent, windows of a job follow each other. Each partition streams
     its windows in (job, window) order and keeps only the last ``w_ctx`` bins of the
@@ -70,14 +70,18 @@ def score_jobs(
     handle yields a row with ``error``, and the rest of that job is skipped.
     """
     w_ctx, w_pred = cfg.w_ctx, cfg.w_pred
-    packed = segments(
-        norm.join(plan.select("job_id").distinct(), "job_id", "left_semi"), w_pred
-    ).withColumnRenamed("seg", "w")
-    # The predictor dominates, so the task count is explicit rather than sized by bytes.
+    totals = plan.groupBy("job_id").agg(F.max(F.col("start") + F.col("n_real")).alias("total"))
+    kept = norm.join(totals, "job_id").filter(F.col("k") < F.col("total")).drop("total")
+    # One shuffle by job serves packing, the join and the order of the windows. The
+    # predictor dominates, so the task count is explicit rather than sized by bytes.
     rows = (
-        spread(plan.join(packed, ["job_id", "w"]).join(cond, "job_id", "left"), "job_id")
+        segments(spread(kept, "job_id"), w_pred)
+        .join(cond, "job_id", "left")
+        .select(
+            "job_id", F.col("seg").alias("w"), (F.col("seg") * w_pred).alias("start"),
+            "c0", "c1", "c2", "c3", "cond",
+        )
         .sortWithinPartitions("job_id", "w")
-        .select("job_id", "w", "start", "n_real", "c0", "c1", "c2", "c3", "cond")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,13 +93,12 @@ def score_jobs(
                     job, ctx, failed = r.job_id, np.zeros((4, w_ctx)), False
                 if failed:
                     continue
-                n = int(r.n_real)
                 try:
                     if r.cond is None:
                         raise ValueError("no conditioning vector")
-                    # A cap may end inside a segment; bins past it are not used.
-                    real = np.stack([np.asarray(c[:n], np.float64) for c in (r.c0, r.c1, r.c2, r.c3)])
-                    if real.shape != (4, n) or not np.isfinite(real).all():
+                    real = np.stack([np.asarray(c, np.float64) for c in (r.c0, r.c1, r.c2, r.c3)])
+                    n = real.shape[1]
+                    if not np.isfinite(real).all():
                         raise ValueError(f"shape or value: {real.shape}")
                     aux = np.zeros((3, w_pred))
                     aux[:, :n] = real[:3]
@@ -140,9 +143,17 @@ def score_failures(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("error").isNotNull()).select("job_id", "w", "error")
 
 
-def carry_predictor(ctx: np.ndarray, aux: np.ndarray, cond: np.ndarray) -> np.ndarray:
-    """Half the first channel plus half the last generated value."""
-    return 0.5 * aux[0] + 0.5 * ctx[3, -1]
+def _carry() -> Predictor:
+    # A nested function travels to the workers by value, so they need no copy of this
+    # package; a predictor from your own module must be importable there.
+    def predict(ctx: np.ndarray, aux: np.ndarray, cond: np.ndarray) -> np.ndarray:
+        return 0.5 * aux[0] + 0.5 * ctx[3, -1]
+
+    return predict
+
+
+# Half the first channel plus half the last generated value.
+carry_predictor = _carry()
 
 
 def linear_predictor(slope: float, intercept: float) -> Predictor:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.config import FEATURES, WindowConfig
 from tracelake.functions.expressions import ceil_div, int_div
+from tracelake.operators.gapfill import spread
 from tracelake.operators.normalize import POWER, Z_COLUMNS
 
 
@@ -103,12 +104,17 @@ def training_windows(
 ) -> DataFrame:
     """Windows named by ``chunks`` with the conditioning vector of their job.
 
-    Grid rows of jobs outside ``chunks`` are dropped before packing. The result holds
-    about (w_ctx + w_pred) / stride copies of the traces; write it only when needed.
+    Grid rows of jobs outside ``chunks`` are dropped first; the rest is shuffled once,
+    by job, for packing, windowing and the join alike. Jobs are those of the index, so
+    the duration bound limits what lies together. The result holds about
+    (w_ctx + w_pred) / stride copies of the traces; write it only when needed.
     """
-    wanted = chunks.select("job_id").distinct()
-    kept = norm.join(wanted, "job_id", "left_semi")
-    windows = cut_windows(segments(kept, cfg.stride), cfg)
-    return windows.join(chunks.select("job_id", "chunk_idx"), ["job_id", "chunk_idx"]).join(
-        conditioning(jobs), "job_id"
+    wanted = chunks.groupBy("job_id").agg(F.collect_set("chunk_idx").alias("_wanted"))
+    per_job = conditioning(jobs).join(wanted, "job_id")
+    kept = norm.join(wanted.select("job_id"), "job_id", "left_semi")
+    windows = cut_windows(segments(spread(kept, "job_id"), cfg.stride), cfg)
+    return (
+        windows.join(per_job, "job_id")
+        .filter(F.array_contains("_wanted", F.col("chunk_idx")))
+        .drop("_wanted")
     )

@@ -75,19 +75,17 @@ def build_traces(spark: SparkSession, source: str, out: str, cfg: PipelineConfig
     nodes = telemetry.list_nodes(spark, source)
     done = load_facts(spark, out).filter(F.col("reason").isNull()).select("job_id")
     todo = nodes.join(done, "job_id", "left_anti")
-    samples = samples.join(todo.select("job_id").distinct(), "job_id", "left_semi")
 
+    # Only the nodes to do get facts, and samples are joined with those.
     per_node = materialize(coverage.node_facts(samples, cfg.resample, todo), "node-facts")
+    run = uuid.uuid4().hex
+    path = f"{out}/traces/run={run}"
+    tables.write_traces(resample_traces(samples, cfg.resample, facts=per_node), path)
     gate = coverage.job_gate(per_node, cfg.resample)
     facts = materialize(
-        coverage.trace_facts(samples, cfg.resample, per_node, gate), "trace-facts"
-    )
-    run = uuid.uuid4().hex
-    traces = resample_traces(samples, cfg.resample, facts=per_node)
-    tables.write_traces(traces, f"{out}/traces/run={run}")
-    tables.write_table(
-        facts.filter(F.col("reason").isNull()), f"{out}/facts/run={run}"
+        coverage.finished_facts(gate, tables.read_traces(spark, path)), "trace-facts"
     )
+    tables.write_table(facts.filter(F.col("reason").isNull()), f"{out}/facts/run={run}")
     return coverage.job_outcomes(facts)
 
 

@@ -8,15 +8,26 @@ from pyspark.sql import types as T
 
 from tracelake.schemas import TELEMETRY_CSV
 
-# Fixed value: job and node inside a file stem.
-NAME_PATTERN = r"^(\d+)-(.+)$"
-
-
-def _unit_name(path: Column, layout: str) -> Column:
+def _unit(layout: str, path: Column) -> Column:
     """The ``<job>-<node>`` text: the file stem, or the value of its folder."""
-    if layout == "file":
-        return F.regexp_extract(path, r"([^/]+)\.csv$", 1)
-    return F.regexp_extract(path, r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+    name = F.substring_index(path, "/", -1)
+    if layout == "folder":
+        folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+        return F.substring_index(folder, "=", -1)
+    return F.substring(name, F.lit(1), F.length(name) - len(".csv"))
+
+
+def _with_keys(df: DataFrame, unit: Column) -> DataFrame:
+    """Add ``job_id`` (digits before the first dash) and ``node_id`` (the rest); rows
+    whose unit has another form are dropped. Plain string functions: this runs per sample."""
+    dash = F.instr(F.col("_unit"), "-")
+    keyed = df.withColumn("_unit", unit).select(
+        *df.columns,
+        F.substring("_unit", F.lit(1), dash - 1).alias("job_id"),
+        F.substring("_unit", dash + 1, F.length("_unit")).alias("node_id"),
+    )
+    digits_only = F.translate("job_id", "0123456789", "") == ""
+    return keyed.filter((F.col("job_id") != "") & digits_only & (F.col("node_id") != ""))
 
 
 def scan_telemetry(
@@ -42,22 +53,17 @@ def scan_telemetry(
         .schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
         .csv(files)
     )
-    name = _unit_name(F.col("_metadata.file_path"), layout)
-    return (
-        raw.select(
-            *TELEMETRY_CSV.fieldNames(),
-            name.alias("unit_name"),
-            F.struct(
-                F.col("_metadata.file_name").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("seq"),
-        )
-        .withColumn("job_id", F.regexp_extract("unit_name", NAME_PATTERN, 1))
-        .withColumn("node_id", F.regexp_extract("unit_name", NAME_PATTERN, 2))
-        .filter(F.col("job_id") != "")
-        .select("job_id", "node_id", "seq", *TELEMETRY_CSV.fieldNames())
+    rows = raw.select(
+        *TELEMETRY_CSV.fieldNames(),
+        F.col("_metadata.file_path").alias("_path"),
+        F.struct(
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("seq"),
     )
+    keyed = _with_keys(rows, _unit(layout, F.col("_path")))
+    return keyed.select("job_id", "node_id", "seq", *TELEMETRY_CSV.fieldNames())
 
 
 def list_nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -66,11 +72,7 @@ def list_nodes(spark: SparkSession, path: str) -> DataFrame:
     Reads the file listing only; no content is loaded.
     """
     files = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*.csv").select("path")
-    stem = _unit_name(F.col("path"), "file")
-    return files.select(
-        F.regexp_extract(stem, NAME_PATTERN, 1).alias("job_id"),
-        F.regexp_extract(stem, NAME_PATTERN, 2).alias("node_id"),
-    ).filter(F.col("job_id") != "")
+    return _with_keys(files, _unit("file", F.col("path"))).select("job_id", "node_id")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
