@@ -192,7 +192,7 @@ def test_against_brute_force(spark, block):
 
     rng = random.Random(5)
     jobs = {}
-    for j in range(6):
+    for j in range(12):
         nodes = {}
         for n in range(3):
             t, rows = rng.uniform(0, 30), []
@@ -200,6 +200,8 @@ def test_against_brute_force(spark, block):
                 v = [rng.choice([None, float(rng.randint(0, 99))]) for _ in range(4)]
                 rows += [(t, *v)] * rng.choice([1, 1, 2])
                 t += rng.choice([0.3, 0.9, 1.0, 2.5, 17.0])
+            if rng.random() < 0.5:  # a late first row: earlier samples fall before the origin
+                rows.insert(0, rows.pop(rng.randrange(1, len(rows))))
             nodes[f"n{n}"] = rows
         jobs[str(j)] = nodes
     df = None
@@ -210,6 +212,7 @@ def test_against_brute_force(spark, block):
     got = {}
     for r in resample.resample_traces(df, cfg).orderBy("job_id", "k").collect():
         got.setdefault(r["job_id"], []).append(r)
+    assert any(rows[0][0] > rows[1][0] for nodes in jobs.values() for rows in nodes.values())
     for job, nodes in jobs.items():
         want = _brute(nodes, 1.0)
         assert [r["k"] for r in got[job]] == list(range(len(want)))

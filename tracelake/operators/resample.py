@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from tracelake.config import METRICS, SOURCE_METRICS, ResampleConfig
 from tracelake.operators.coverage import NODE, bin_index, job_gate, kept_nodes, node_facts
-from tracelake.operators.gapfill import densify, spread, with_block
+from tracelake.operators.gapfill import (
+    fences,
+    fill,
+    job_spans,
+    node_spans,
+    spread,
+    summarize,
+    with_block,
+)
 
 PARTITION = ("job_id", "blk")
+_HOW = {c: how for c, _, how in METRICS}
 
 
 def _combine():
@@ -47,9 +56,20 @@ def bin_samples(rollup: DataFrame, cfg: ResampleConfig) -> DataFrame:
     )
 
 
+def spans_of_nodes(binned: DataFrame, cfg: ResampleConfig) -> tuple[DataFrame, DataFrame]:
+    """Block summaries of the nodes and what they say about the blocks between them."""
+    summary = summarize(binned, NODE, SOURCE_METRICS)
+    return summary, node_spans(summary, NODE, SOURCE_METRICS, cfg.block_bins)
+
+
 def densify_nodes(binned: DataFrame, cfg: ResampleConfig) -> DataFrame:
-    """Each node dense between its own first and last position, carried forward."""
-    return densify(binned, NODE, PARTITION, SOURCE_METRICS, cfg.block_bins)
+    """Each node dense between its own first and last position, carried forward.
+
+    Leading gaps of a metric stay NULL.
+    """
+    _, spans = spans_of_nodes(binned, cfg)
+    rows = fences(spans, NODE, PARTITION, SOURCE_METRICS, cfg.block_bins)
+    return fill(binned, rows, NODE, SOURCE_METRICS)
 
 
 def combine_nodes(dense: DataFrame) -> DataFrame:
@@ -57,9 +77,16 @@ def combine_nodes(dense: DataFrame) -> DataFrame:
     return dense.groupBy("job_id", "blk", "k").agg(*_combine())
 
 
-def densify_jobs(cross: DataFrame, cfg: ResampleConfig) -> DataFrame:
-    """Each job dense from 0: forward fill, then back fill, then 0."""
-    return densify(cross, ("job_id",), PARTITION, SOURCE_METRICS, cfg.block_bins, from_zero=True)
+def densify_jobs(cross: DataFrame, binned: DataFrame, cfg: ResampleConfig) -> DataFrame:
+    """Each job dense from 0: forward fill, then back fill, then 0.
+
+    ``binned`` are the node bins ``cross`` was made from; their summaries give the
+    values that cross from block to block.
+    """
+    summary, spans = spans_of_nodes(binned, cfg)
+    of_job = job_spans(spans, summary, NODE, "job_id", _HOW, cfg.block_bins)
+    rows = fences(of_job, ("job_id",), PARTITION, SOURCE_METRICS, cfg.block_bins)
+    return fill(cross, rows, ("job_id",), SOURCE_METRICS)
 
 
 def finalize(dense: DataFrame, cfg: ResampleConfig) -> DataFrame:
@@ -91,4 +118,4 @@ def resample_traces(
         kept = kept.join(only_jobs.select("job_id"), "job_id", "left_semi")
     binned = bin_samples(gpu_rollup(locate(telemetry, kept, cfg)), cfg)
     cross = combine_nodes(densify_nodes(binned, cfg))
-    return finalize(densify_jobs(cross, cfg), cfg)
+    return finalize(densify_jobs(cross, binned, cfg), cfg)

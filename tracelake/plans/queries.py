@@ -222,7 +222,9 @@ def cross_node_agg(spark, sf):
 
 
 def job_grid_fill(spark, sf):
-    return _metrics(resample.densify_jobs(_cross(spark, sf), RS), "job_id", "k")
+    binned = _binned(spark, sf)
+    cross = resample.combine_nodes(resample.densify_nodes(binned, RS))
+    return _metrics(resample.densify_jobs(cross, binned, RS), "job_id", "k")
 
 
 def _traces(traces):
