@@ -63,14 +63,19 @@ def node_spans(
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     here = order.rowsBetween(Window.unboundedPreceding, 0)
     goes_on = F.lead("blk").over(order).isNotNull()
-    return summary.select(
+    spans = summary.select(
         *series,
         F.lag("blk").over(order).alias("prev"),
         F.col("blk").alias("cur"),
         F.when(goes_on, (F.col("blk") + 1) * block - 1).otherwise(F.col("max_k")).alias("end_k"),
         *[F.last(f"last_{m}", ignorenulls=True).over(before).alias(m) for m in metrics],
         *[F.last(f"last_{m}", ignorenulls=True).over(here).alias(f"end_{m}") for m in metrics],
+        *[f"{part}_{m}" for part in ("last", "first", "at") for m in metrics],
     )
+    # Always true, as end_k is never NULL. Reading every column keeps the summaries'
+    # shuffle alike for all uses of the spans, so that Spark runs it once.
+    payload = [F.col(c) for c in spans.columns if c not in (*series, "cur")]
+    return spans.filter(F.coalesce(*payload).isNotNull())
 
 
 def _combined(c: Column, how: str) -> Column:
@@ -78,8 +83,7 @@ def _combined(c: Column, how: str) -> Column:
 
 
 def job_spans(
-    spans: DataFrame, summary: DataFrame, series: tuple[str, ...], job: str,
-    how: dict[str, str], block: int,
+    spans: DataFrame, series: tuple[str, ...], job: str, how: dict[str, str], block: int
 ) -> DataFrame:
     """What :func:`node_spans` says about nodes, for the job they combine to.
 
@@ -112,7 +116,7 @@ def job_spans(
     order = Window.partitionBy(job).orderBy("blk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ends.join(_first_known(summary, series, job, how), job)
+        ends.join(_first_known(spans, series, job, how), job)
         .select(
             job,
             F.coalesce(F.lag("blk").over(order), F.lit(-1).cast("long")).alias("prev"),
@@ -128,16 +132,16 @@ def job_spans(
 
 
 def _first_known(
-    summary: DataFrame, series: tuple[str, ...], job: str, how: dict[str, str]
+    spans: DataFrame, series: tuple[str, ...], job: str, how: dict[str, str]
 ) -> DataFrame:
     """Per job and metric the first known value at or after position 0."""
-    grid = F.col("blk") >= 0
+    grid = F.col("cur") >= 0
 
     def where_known(c, side):
-        return F.when(side & F.col(c).isNotNull(), F.col("blk"))
+        return F.when(side & F.col(c).isNotNull(), F.col("cur"))
 
-    nodes = summary.groupBy(*series).agg(
-        F.max("blk").alias("top"),
+    nodes = spans.groupBy(*series).agg(
+        F.max("cur").alias("top"),
         *[F.max_by(f"last_{m}", where_known(f"last_{m}", ~grid)).alias(f"carry_{m}") for m in how],
         *[F.min_by(f"first_{m}", where_known(f"first_{m}", grid)).alias(f"value_{m}") for m in how],
         *[F.min(F.when(grid, F.col(f"at_{m}"))).alias(f"at_{m}") for m in how],

@@ -56,10 +56,9 @@ def bin_samples(rollup: DataFrame, cfg: ResampleConfig) -> DataFrame:
     )
 
 
-def spans_of_nodes(binned: DataFrame, cfg: ResampleConfig) -> tuple[DataFrame, DataFrame]:
-    """Block summaries of the nodes and what they say about the blocks between them."""
-    summary = summarize(binned, NODE, SOURCE_METRICS)
-    return summary, node_spans(summary, NODE, SOURCE_METRICS, cfg.block_bins)
+def spans_of_nodes(binned: DataFrame, cfg: ResampleConfig) -> DataFrame:
+    """Block summaries of the nodes and what carries over between their blocks."""
+    return node_spans(summarize(binned, NODE, SOURCE_METRICS), NODE, SOURCE_METRICS, cfg.block_bins)
 
 
 def densify_nodes(binned: DataFrame, cfg: ResampleConfig) -> DataFrame:
@@ -67,8 +66,7 @@ def densify_nodes(binned: DataFrame, cfg: ResampleConfig) -> DataFrame:
 
     Leading gaps of a metric stay NULL.
     """
-    _, spans = spans_of_nodes(binned, cfg)
-    rows = fences(spans, NODE, PARTITION, SOURCE_METRICS, cfg.block_bins)
+    rows = fences(spans_of_nodes(binned, cfg), NODE, PARTITION, SOURCE_METRICS, cfg.block_bins)
     return fill(binned, rows, NODE, SOURCE_METRICS)
 
 
@@ -83,8 +81,7 @@ def densify_jobs(cross: DataFrame, binned: DataFrame, cfg: ResampleConfig) -> Da
     ``binned`` are the node bins ``cross`` was made from; their summaries give the
     values that cross from block to block.
     """
-    summary, spans = spans_of_nodes(binned, cfg)
-    of_job = job_spans(spans, summary, NODE, "job_id", _HOW, cfg.block_bins)
+    of_job = job_spans(spans_of_nodes(binned, cfg), NODE, "job_id", _HOW, cfg.block_bins)
     rows = fences(of_job, ("job_id",), PARTITION, SOURCE_METRICS, cfg.block_bins)
     return fill(cross, rows, ("job_id",), SOURCE_METRICS)
 
