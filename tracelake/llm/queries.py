@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe
-from tracelake.llm.common import table
+from tracelake.llm import byte_bpe, swap_packing
+from tracelake.llm.common import table, written
 
 
 def op10_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,16 @@ def op10_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document into sequences of 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents")
+    pieces = swap_packing.tokenize(docs, path, keep_ids=False)
+    return swap_packing.pack(written(pieces, "pieces"))
+
+
 QUERIES = {
+    "op9_swap_packing": op9_swap_packing,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
 }
 
