@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, swap_packing
+from tracelake.llm import byte_bpe, swap_packing, toxicity_mil
 from tracelake.llm.common import table, written
 
 
@@ -22,6 +22,21 @@ def op10_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document with a model taught by the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
+    model = toxicity_mil.fit(docs, labels, remainder("id") != 0)
+    return toxicity_mil.score(docs, model).select(
+        "doc_id",
+        (remainder("doc_id") == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_sentences",
+        F.size("offending").cast("long").alias("n_offending"),
+    )
+
+
 def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document into sequences of 2048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +46,7 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_toxicity_mil": op8_toxicity_mil,
     "op9_swap_packing": op9_swap_packing,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
 }

@@ -47,9 +47,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(BASE_INV, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word ``[^\\x20\\x09-\\x0D]+`` and each text's first word number."""
-    solid = ~_SPACE[raw]
+def word_spans(
+    raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word and each text's first word number.
+
+    ``inside`` tells the bytes of words, as shipped those of ``[^\\x20\\x09-\\x0D]+``.
+    """
+    solid = inside[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     opens = solid & edge[:-1]
