@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, swap_packing, toxicity_mil
+from tracelake.llm import byte_bpe, rule_forest, swap_packing, toxicity_mil
 from tracelake.llm.common import table, written
 
 
@@ -22,6 +22,16 @@ def op10_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by fixed rules and an isolation forest."""
+    stats = written(rule_forest.statistics(table(spark, sf_dir, "documents")), "rules")
+    forests = rule_forest.fit(stats, table(spark, sf_dir, "labels"))
+    return rule_forest.score(stats, forests).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document with a model taught by the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -46,6 +56,7 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_rule_forest": op6_rule_forest,
     "op8_toxicity_mil": op8_toxicity_mil,
     "op9_swap_packing": op9_swap_packing,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
