@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, rule_forest, swap_packing, toxicity_mil
+from tracelake.llm import byte_bpe, rule_forest, swap_packing, toxicity_mil, warc_zstd
 from tracelake.llm.common import table, written
 
 
@@ -32,6 +32,14 @@ def op6_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page and read the archives back."""
+    read = warc_zstd.read_archives(warc_zstd.archive(spark, table(spark, sf_dir, "pages")))
+    return read.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op8_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document with a model taught by the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -56,10 +64,23 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_warc_zstd": op7_warc_zstd,
     "op6_rule_forest": op6_rule_forest,
     "op8_toxicity_mil": op8_toxicity_mil,
     "op9_swap_packing": op9_swap_packing,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc_zstd": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h FROM pages
+        ), f AS (
+            SELECT *, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
