@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, rule_forest, swap_packing, toxicity_mil, warc_zstd
+from tracelake.llm import byte_bpe, minhash_hamming, rule_forest, swap_packing, toxicity_mil, warc_zstd
 from tracelake.llm.common import table, written
 
 
@@ -22,6 +22,11 @@ def op10_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingles agree to 85 %."""
+    return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every document by fixed rules and an isolation forest."""
     stats = written(rule_forest.statistics(table(spark, sf_dir, "documents")), "rules")
@@ -64,6 +69,7 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_minhash_hamming": op3_minhash_hamming,
     "op7_warc_zstd": op7_warc_zstd,
     "op6_rule_forest": op6_rule_forest,
     "op8_toxicity_mil": op8_toxicity_mil,
