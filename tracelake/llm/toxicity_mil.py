@@ -2,9 +2,9 @@
 
 A sentence's probability is logistic in the words (and word beginnings) it holds; a document
 is toxic unless all its sentences are clean, so the sentences combine by noisy-or. Training
-sees document labels only. All labelled rows are counted to choose the features; the weights
-are fitted on a bounded sample of them. The fitted model scores every document and locates
-the sentences responsible.
+sees document labels only and uses a bounded sample of the labelled rows
+(``Limits.sample_rows`` in hash order) to choose features and to fit their weights. The fitted
+model scores every document and locates the sentences responsible.
 
 Words are runs of letters, lower-cased in A-Z; sentences end at ``. ! ?`` and line ends.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import keyed_text, slabs
+from tracelake.llm.common import keyed_text, slabs, written
 from tracelake.llm.words import mix, per_text, prefix_hashes, span_hash, word_spans
 
 _U = np.uint64
@@ -44,7 +44,7 @@ _BAG = "id long, label int, n_sentences long, sentence array<int>, feature array
 class Limits:
     """Bounds of the training: rows of the sample, features, passes over the sample."""
 
-    sample_rows: int = 20_000
+    sample_rows: int = 40_000
     features: int = 8_192
     min_documents: int = 3
     passes: int = 400
@@ -207,10 +207,12 @@ def fit(
     """Learn from labelled documents, only those for which ``teaches`` (over ``id``) holds."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     known = known.filter("id IS NOT NULL AND label IN (0, 1)")
-    rows = keyed_text(docs, id_col, text_col).filter("id IS NOT NULL")
     if teaches is not None:
-        known, rows = known.filter(teaches), rows.filter(teaches)
-    taught = rows.join(known, "id").select(F.col("id").cast("long").alias("id"), "label", "text")
+        known = known.filter(teaches)
+    # The sample is bounded by a parameter, so it may be broadcast and no other text moves.
+    sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(limits.sample_rows)
+    rows = keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "id")
+    taught = written(rows.select(F.col("id").cast("long").alias("id"), "label", "text"), "taught")
     sizes = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -9.0)
@@ -228,10 +230,7 @@ def fit(
     features = np.sort(np.array([r["feature"] for r in chosen.select("feature").collect()], np.int64).view(np.uint64))
     if not len(features):
         return Model(features, np.zeros(0), -9.0)
-    sample = taught.orderBy(F.xxhash64("id"), "id", "label").limit(limits.sample_rows)
-    if sum(sizes.values()) <= limits.sample_rows:
-        sample = taught
-    weights, bias = fit_weights(sample.mapInArrow(_bags(features), _BAG).collect(), len(features), limits)
+    weights, bias = fit_weights(taught.mapInArrow(_bags(features), _BAG).collect(), len(features), limits)
     return Model(features, weights, bias)
 
 
