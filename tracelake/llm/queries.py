@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, minhash_hamming, rule_forest, swap_packing, toxicity_mil, warc_zstd
+from tracelake.llm import byte_bpe, minhash_hamming, rule_forest, suffix_buckets, swap_packing, toxicity_mil, warc_zstd
 from tracelake.llm.common import table, written
 
 
@@ -27,6 +27,20 @@ def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every 400-byte string that starts at two places."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = lambda span: span["end"] - span["begin"]
+    removed = F.aggregate("cut.spans", F.lit(0).cast("long"), lambda total, s: total + size(s))
+    return suffix_buckets.remove_repeats(docs).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("cut.spans").cast("long").alias("n_spans"),
+        F.sha2("cut.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every document by fixed rules and an isolation forest."""
     stats = written(rule_forest.statistics(table(spark, sf_dir, "documents")), "rules")
@@ -70,6 +84,7 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_minhash_hamming": op3_minhash_hamming,
+    "op4_suffix_buckets": op4_suffix_buckets,
     "op7_warc_zstd": op7_warc_zstd,
     "op6_rule_forest": op6_rule_forest,
     "op8_toxicity_mil": op8_toxicity_mil,
