@@ -68,14 +68,15 @@ def blocks(members: DataFrame, key: str, size: int) -> DataFrame:
 
     ``members`` has ``id``, the key and ``n``, the key's rows. Rows of a key are dealt by hash to
     blocks of about ``size``; every row gets a copy for each pair of blocks that holds its own.
-    Adds ``block`` (number of the pair) and ``side`` (which of the pair; 0 for a block with
-    itself). Each ``key, block`` lies in one partition, its rows in a run.
+    Adds ``block`` (number of the pair) and ``side`` (1 or 2; 0 for a block with itself). Each ``key, block`` lies in one partition, its rows in a run.
     """
     count = F.ceil(F.col("n") / size).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), count.cast("long")).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.withColumn("block", low * count + high).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    dealt = dealt.withColumn("block", low * count + high).withColumn(
+        "side", F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0)
+    )
     parts = partitions(members)
     return dealt.drop("own", "other", "n").repartition(parts, key, "block").sortWithinPartitions(key, "block")
 
@@ -100,3 +101,10 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[p
         held = rows.slice(starts[-1])
     if held is not None and len(held):
         yield held, np.array([0, len(held)])
+
+
+def sides(side: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a run to compare with one another: two blocks, or a block with itself."""
+    if not side[start]:
+        return np.arange(start, end), np.arange(start, end)
+    return start + np.flatnonzero(side[start:end] == 1), start + np.flatnonzero(side[start:end] == 2)

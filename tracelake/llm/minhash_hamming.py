@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import keyed_text, slabs, written
-from tracelake.llm.components import Forest, blocks, connected, sorted_runs
+from tracelake.llm.components import Forest, blocks, connected, sides, sorted_runs
 from tracelake.llm.words import mix, per_text, prefix_hashes, shingles, span_hash, word_spans
 
 _U = np.uint64
@@ -132,14 +132,6 @@ def _edges(ids: np.ndarray, edges) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
 
 
-def _sides(side: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows to compare with one another: two blocks, or a block with itself."""
-    own = side[start:end]
-    if not own.any():
-        return np.arange(start, end), np.arange(start, end)
-    return start + np.flatnonzero(own == 0), start + np.flatnonzero(own == 1)
-
-
 def near_edges(members: DataFrame, matches: int) -> DataFrame:
     """Trees that connect the rows of each bucket through pairs of near sketches."""
 
@@ -153,7 +145,7 @@ def near_edges(members: DataFrame, matches: int) -> DataFrame:
             for x in twos[agree >= matches].tolist():
                 forest.join(x, x + 1)
             for k in np.flatnonzero(sizes > 2).tolist():
-                for a, b, _ in _near(sketch, *_sides(side, bounds[k], bounds[k + 1]), matches):
+                for a, b, _ in _near(sketch, *sides(side, bounds[k], bounds[k + 1]), matches):
                     for x, y in zip(a.tolist(), b.tolist()):
                         forest.join(x, y)
             yield _edges(ids, forest.edges)
@@ -178,7 +170,7 @@ def confirmed_edges(families: DataFrame, matches: int, percent: int) -> DataFram
             side, forest = np.asarray(rows.column("side")), Forest(len(ids))
             packed = rows.column("elements").to_pylist()
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                found = [np.concatenate(x) for x in zip(*_near(sketch, *_sides(side, start, end), matches))]
+                found = [np.concatenate(x) for x in zip(*_near(sketch, *sides(side, start, end), matches))]
                 if not found:
                     continue
                 order = np.argsort(-found[2], kind="stable")  # likely links first spare the others

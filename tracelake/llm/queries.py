@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, minhash_hamming, rule_forest, suffix_buckets, swap_packing, toxicity_mil, warc_zstd
+from tracelake.llm import (
+    byte_bpe,
+    maglev,
+    minhash_hamming,
+    rule_forest,
+    sphere_caps,
+    suffix_buckets,
+    swap_packing,
+    toxicity_mil,
+    warc_zstd,
+)
 from tracelake.llm.common import table, written
 
 
@@ -22,6 +32,19 @@ def op10_tiktoken_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARDS = [f"shard-{k:02d}" for k in range(16)]
+
+
+def op1_sphere_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and link counts of embeddings with cosine 0.95 or more."""
+    return sphere_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return maglev.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
 def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingles agree to 85 %."""
     return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
@@ -83,6 +106,8 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sphere_caps": op1_sphere_caps,
+    "op2_maglev": op2_maglev,
     "op3_minhash_hamming": op3_minhash_hamming,
     "op4_suffix_buckets": op4_suffix_buckets,
     "op7_warc_zstd": op7_warc_zstd,
@@ -93,6 +118,48 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_sphere_caps": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a, v AS b
+            WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), r AS (
+            SELECT vec_id AS a, vec_id AS b FROM v
+            UNION
+            SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+        ), c AS (
+            SELECT a, min(b) AS component_id FROM r GROUP BY a
+        )
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id)::BIGINT AS n_links,
+               component_id, vec_id = component_id AS kept
+        FROM v JOIN c ON c.a = vec_id
+    """,
+    # The table is filled turn by turn: state is the claimed slots, in order of their claims.
+    "op2_maglev": """
+        WITH RECURSIVE s AS (
+            SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS shard FROM range(16) AS t(k)
+        ), p AS (
+            SELECT k, shard, ('0x' || md5(shard || '/offset')[1:15])::BIGINT % 1621 AS first,
+                   ('0x' || md5(shard || '/step')[1:15])::BIGINT % 1620 + 1 AS step
+            FROM s
+        ), o AS (
+            SELECT k, list((first + j * step) % 1621 ORDER BY j) AS wish
+            FROM p, range(1621) AS t(j) GROUP BY k
+        ), f AS (
+            SELECT 0 AS n, [false FOR x IN range(1621)] AS taken, NULL::BIGINT AS slot
+            UNION ALL
+            SELECT n + 1, [t OR i - 1 = c FOR t, i IN taken], c
+            FROM (
+                SELECT n, taken, list_filter(wish, lambda w: NOT taken[w + 1])[1] AS c
+                FROM f JOIN o ON o.k = n % 16 WHERE n < 1621
+            )
+        )
+        SELECT doc_id, f.slot, s.shard
+        FROM documents
+        JOIN f ON f.slot = ('0x' || md5('k' || doc_id::VARCHAR)[1:15])::BIGINT % 1621
+        JOIN s ON s.k = (f.n - 1) % 16
+    """,
     "op7_warc_zstd": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h FROM pages
