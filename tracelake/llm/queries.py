@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import (
     byte_bpe,
+    html_layout,
     maglev,
     minhash_hamming,
     rule_forest,
@@ -64,6 +65,11 @@ def op4_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every document by fixed rules and an isolation forest."""
     stats = written(rule_forest.statistics(table(spark, sf_dir, "documents")), "rules")
@@ -111,6 +117,7 @@ QUERIES = {
     "op3_minhash_hamming": op3_minhash_hamming,
     "op4_suffix_buckets": op4_suffix_buckets,
     "op7_warc_zstd": op7_warc_zstd,
+    "op5_html_layout": op5_html_layout,
     "op6_rule_forest": op6_rule_forest,
     "op8_toxicity_mil": op8_toxicity_mil,
     "op9_swap_packing": op9_swap_packing,
