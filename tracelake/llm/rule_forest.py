@@ -223,6 +223,24 @@ def score(stats: DataFrame, forests: dict[str, Forest]) -> DataFrame:
     return stats.withColumn("kept", kept)
 
 
+def keeps(text: Column, forests: dict[str, Forest]) -> Column:
+    """The verdict on each text, without a join with its statistics."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        out = [np.zeros(0, bool)]
+        for _, _, raw, offsets in slabs(batch):
+            counts = dict(zip(COUNTS, count(raw, offsets)))
+            kept = (counts["n_words"] >= 50) & (100 * counts["n_repeat_words"] <= 50 * counts["n_words"])
+            for family, forest in forests.items():
+                kept &= anomaly(forest, ratios(counts, family)) < forest.threshold
+            out.append(kept)
+        return pa.array(np.concatenate(out))
+
+    return run(text)
+
+
 def _anomaly(family: str, forest: Forest) -> Column:
     @F.arrow_udf("double")
     def scored(*columns: pa.Array) -> pa.Array:

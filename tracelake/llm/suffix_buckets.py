@@ -289,11 +289,14 @@ def repeated_spans(
 
 
 def cut(text: Column, spans: Column) -> Column:
-    """``struct<kept: binary, spans>`` of a text: what is left, and its maximal removed runs."""
+    """``struct<kept: binary, text: string, spans>``: what is left, and the maximal removed runs.
+
+    ``text`` leaves out characters of which a removed run took a part.
+    """
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-    kind = pa.struct([("kept", pa.binary()), ("spans", pa.list_(span))])
+    kind = pa.struct([("kept", pa.binary()), ("text", pa.string()), ("spans", pa.list_(span))])
 
-    @F.arrow_udf(f"struct<kept:binary,spans:{SPANS}>")
+    @F.arrow_udf(f"struct<kept:binary,text:string,spans:{SPANS}>")
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
         for text, spans in zip(texts.cast(pa.binary()), lists):
@@ -308,7 +311,9 @@ def cut(text: Column, spans: Column) -> Column:
                 kept.append(text[at:begin])
                 at = end
             kept.append(text[at:])
-            out.append({"kept": b"".join(kept), "spans": [{"begin": b, "end": e} for b, e in merged]})
+            whole = "".join(part.decode("utf-8", "ignore") for part in kept)
+            runs = [{"begin": b, "end": e} for b, e in merged]
+            out.append({"kept": b"".join(kept), "text": whole, "spans": runs})
         return pa.array(out, kind)
 
     return run(text, spans)
@@ -317,7 +322,7 @@ def cut(text: Column, spans: Column) -> Column:
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES
 ) -> DataFrame:
-    """All columns of ``docs`` and ``cut`` (``kept``, the bytes left, and ``spans``)."""
+    """All columns of ``docs`` and ``cut`` (bytes and text left, and spans removed)."""
     spans = repeated_spans(docs, id_col, text_col, min_bytes)
     spans = spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     rows = docs.drop("cut").withColumn("__key", document_key(id_col, text_col)).join(spans, "__key", "left")

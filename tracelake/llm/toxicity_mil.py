@@ -247,6 +247,19 @@ def _sentence_scores(model: Model, vocabulary: _Vocabulary, raw, offsets):
     return score, own, z, bounds, cut, words
 
 
+def score_text(text: Column, model: Model) -> Column:
+    """The score of each text as a column."""
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        vocabulary, out = _Vocabulary(model.features), [np.zeros(0)]
+        for _, _, raw, offsets in slabs(pa.RecordBatch.from_arrays([texts], ["text"])):
+            out.append(np.clip(_sentence_scores(model, vocabulary, raw, offsets)[0], 0.0, 1.0))
+        return pa.array(np.concatenate(out))
+
+    return run(text)
+
+
 def score(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5
 ) -> DataFrame:
