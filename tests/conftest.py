@@ -1,18 +1,17 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from check import session  # noqa: E402
+from tracelake.storage import clear_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = session(partitions="4")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tracelake-test-"))
     yield s
+    clear_scratch(s)
     s.stop()

@@ -178,8 +178,16 @@ def test_epoch_plan_golden(spark):
     assert epochs.batch_layout(capped).orderBy("rank").collect() == [(0, 0, 2), (1, 0, 2)]
     norm = norm_table(spark, 21, "j")
     w = windows.cut_windows(windows.segments(norm, 2), WIN)
-    batches = epochs.assemble_batches(epochs.epoch_plan(chunks, 0, 2, 2), w)
-    assert batches.count() == 8
+    order = epochs.epoch_plan(chunks, 0, 2, 2)
+    batches = epochs.assemble_batches(order, w)
+    target = {r["chunk_idx"]: r["target"] for r in w.collect()}
+    want = {(r["rank"], r["step"], r["i"] // 2 % 2): target[r["chunk_idx"]] for r in order.collect()}
+    assert {(r["rank"], r["step"], r["pos"]): r["target"] for r in batches.collect()} == want and len(want) == 8
+    # Every partition reads its batches one after another, in order.
+    rows = batches.withColumn("part", F.spark_partition_id()).collect()
+    for part in {r["part"] for r in rows}:
+        own = [(r["rank"], r["step"], r["pos"]) for r in rows if r["part"] == part]
+        assert own == sorted(own)
 
 
 def test_window_counts(spark):
@@ -238,12 +246,12 @@ def pairs(spark, real, fake, job="1", names=("real_w", "gen_w")):
 
 
 def test_metrics_golden(spark):
-    r = evaluate.trace_metrics(pairs(spark, [1, 2, 3], [2, 2, 4])).first()
+    r = evaluate.trace_metrics(pairs(spark, [1, 2, 3], [2, 2, 4]), 0.103).first()
     assert (r["pearson_r"], r["rmse"], r["mae"]) == pytest.approx((0.866025, 0.816497, 0.666667), abs=1e-6)
-    flat = evaluate.trace_metrics(pairs(spark, [1, 2, 3], [2, 2, 2])).first()
+    flat = evaluate.trace_metrics(pairs(spark, [1, 2, 3], [2, 2, 2]), 0.103).first()
     assert flat["pearson_r"] is None and flat["mae"] == pytest.approx(2 / 3)
     jobs = spark.createDataFrame([("1",), ("2",)], "job_id string")
-    empty = evaluate.trace_metrics(pairs(spark, [1, 2], [2, 1]), jobs).filter("job_id = '2'").first()
+    empty = evaluate.trace_metrics(pairs(spark, [1, 2], [2, 1]), 0.103, jobs).filter("job_id = '2'").first()
     assert (empty["pearson_r"], empty["rmse"], empty["length"]) == (None, None, 0)
 
 
@@ -264,7 +272,7 @@ def test_attach_and_headline(spark):
 
 def test_captions_default_to_one_node(spark):
     w = pairs(spark, [1, 3], [2, 2])
-    r = evaluate.trace_captions(w, spark.createDataFrame([("1",)], "job_id string")).first()
+    r = evaluate.trace_captions(w, spark.createDataFrame([("1",)], "job_id string"), 0.103).first()
     assert (r["nodes_req"], r["real_mean"], r["real_max"], r["gen_max"]) == (1, 2.0, 3.0, 2.0)
 
 

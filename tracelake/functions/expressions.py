@@ -1,7 +1,9 @@
-"""Column expressions shared by the operators. All of them stay inside the JVM."""
+"""Column expressions shared by the operators, which stay inside the JVM, and the inverse
+normal distribution over arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,15 +75,6 @@ def count_below(values: Column, size: int, x: Column, or_equal: bool = False) ->
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), visit)
 
 
-def bind(value: Column, body) -> Column:
-    """``body`` applied to ``value``, which is evaluated once however often it is used.
-
-    Plain column reuse is expanded when a filter is pushed below a projection; a
-    lambda variable is not.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def clip(z: Column, lo: float, hi: float) -> Column:
     """Clamp to [lo, hi]; NaN stays NaN as a numeric clip leaves it."""
     return F.when(F.isnan(z), z).otherwise(F.greatest(F.lit(lo), F.least(F.lit(hi), z)))
@@ -89,22 +82,22 @@ def clip(z: Column, lo: float, hi: float) -> Column:
 
 # Algorithm AS241 (Wichura 1988), central and first tail branch,
 # highest power first. The far tail (p < 1.4e-11) lies outside the clip below.
-_CENTRAL_NUM = (
+CENTRAL_NUM = (
     2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4,
     4.5921953931549871457e+4, 1.3731693765509461125e+4, 1.9715909503065514427e+3,
     1.3314166789178437745e+2, 3.3871328727963666080e+0,
 )
-_CENTRAL_DEN = (
+CENTRAL_DEN = (
     5.2264952788528545610e+3, 2.8729085735721942674e+4, 3.9307895800092710610e+4,
     2.1213794301586595867e+4, 5.3941960214247511077e+3, 6.8718700749205790830e+2,
     4.2313330701600911252e+1, 1.0,
 )
-_TAIL_NUM = (
+TAIL_NUM = (
     7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1,
     1.27045825245236838258e+0, 3.64784832476320460504e+0, 5.76949722146069140550e+0,
     4.63033784615654529590e+0, 1.42343711074968357734e+0,
 )
-_TAIL_DEN = (
+TAIL_DEN = (
     1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2,
     1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e+0,
     2.05319162663775882187e+0, 1.0,
@@ -114,27 +107,13 @@ QUANTILE_EPS = 1e-7
 NORMAL_CLIP = 5.199337582605575
 
 
-def _horner(coefficients, r: str) -> str:
-    text = f"{coefficients[0]:.17e}"
-    for c in coefficients[1:]:
-        text = f"({text}) * {r} + {c:.17e}"
-    return f"({text})"
-
-
-def normal_quantile_sql(p: str) -> str:
-    """Inverse normal CDF of the SQL expression ``p``, clipped to +-NORMAL_CLIP."""
-    q = f"(({p}) - 5e-1)"
-    r0 = f"(1.80625e-1 - {q} * {q})"
-    central = f"{_horner(_CENTRAL_NUM, r0)} * {q} / {_horner(_CENTRAL_DEN, r0)}"
-    tail_p = f"(CASE WHEN {q} < 0e0 THEN ({p}) ELSE 1e0 - ({p}) END)"
-    r1 = f"(sqrt(-ln({tail_p})) - 1.6e0)"
-    tail = f"{_horner(_TAIL_NUM, r1)} / {_horner(_TAIL_DEN, r1)}"
-    clip_text = f"{NORMAL_CLIP:.17e}"
-    return (
-        f"CASE WHEN ({p}) IS NULL THEN NULL "
-        f"WHEN ({p}) < 1e-9 THEN -{clip_text} "
-        f"WHEN ({p}) > 1e0 - 1e-9 THEN {clip_text} "
-        f"WHEN abs({q}) <= 4.25e-1 THEN {central} "
-        f"ELSE greatest(-{clip_text}, least({clip_text}, "
-        f"(CASE WHEN {q} < 0e0 THEN -1e0 ELSE 1e0 END) * {tail})) END"
-    )
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Inverse normal CDF of many probabilities, clipped to +-NORMAL_CLIP."""
+    q = p - 0.5
+    r = 0.180625 - q * q
+    out = q * np.polyval(CENTRAL_NUM, r) / np.polyval(CENTRAL_DEN, r)
+    ends = np.clip(np.where(q < 0, p, 1.0 - p), 1e-9, 0.5)
+    r = np.sqrt(-np.log(ends)) - 1.6
+    tail = np.sign(q) * np.polyval(TAIL_NUM, r) / np.polyval(TAIL_DEN, r)
+    out = np.where(np.abs(q) <= 0.425, out, np.clip(tail, -NORMAL_CLIP, NORMAL_CLIP))
+    return np.where(p < 1e-9, -NORMAL_CLIP, np.where(p > 1.0 - 1e-9, NORMAL_CLIP, out))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.expressions import int_div, seeded_hash
@@ -45,6 +45,12 @@ def batch_layout(plan: DataFrame) -> DataFrame:
 
 
 def assemble_batches(plan: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows placed for reading: one batch (rank, step) lies together, in epoch order."""
+    """Windows placed for reading: one batch (rank, step) lies together, in epoch order.
+
+    ``pos`` is a window's place within its batch.
+    """
     placed = plan.join(windows, ["job_id", "chunk_idx"])
-    return placed.repartition("rank", "step").sortWithinPartitions("rank", "step", "i")
+    # Batches lie one after another in i, each worker taking every world-th row.
+    order = Window.partitionBy("rank", "step").orderBy("i")
+    placed = placed.repartition("rank", "step").withColumn("pos", F.row_number().over(order) - 1)
+    return placed.sortWithinPartitions("rank", "step", "pos")

@@ -10,8 +10,6 @@ from tracelake.operators.normalize import ChannelStats
 from tracelake.operators.quantiles import exact_medians
 from tracelake.operators.split import random_jobs
 
-BIN_SEC = 0.103
-
 
 def pair_with_truth(norm: DataFrame, synth: DataFrame) -> DataFrame:
     """``(job_id, k, real_z, gen_z)`` over the generated length of stored traces."""
@@ -38,8 +36,8 @@ def _pearson(a: str, b: str, threshold: float, inclusive: bool) -> Column:
     return F.when(defined, F.try_divide(F.covar_pop(a, b), sa * sb))
 
 
-def trace_metrics(watts: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Per job: Pearson r, RMSE and MAE in watts, length and minutes.
+def trace_metrics(watts: DataFrame, bin_sec: float, jobs: DataFrame | None = None) -> DataFrame:
+    """Per job: Pearson r, RMSE and MAE in watts, length and minutes of ``bin_sec`` bins.
 
     With ``jobs`` (job_id) a job without any generated bin still gets a row, with
     undefined scores and length 0.
@@ -55,7 +53,7 @@ def trace_metrics(watts: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
         out = jobs.select("job_id").join(out, "job_id", "left").withColumn(
             "length", F.coalesce("length", F.lit(0).cast("long"))
         )
-    return out.withColumn("duration_min", F.col("length") * F.lit(BIN_SEC) / F.lit(60.0))
+    return out.withColumn("duration_min", F.col("length") * F.lit(bin_sec) / F.lit(60.0))
 
 
 def pearson_normalized(pairs: DataFrame) -> DataFrame:
@@ -131,7 +129,7 @@ def random_scored_jobs(
     return picked.join(summary.select("job_id", "pearson_r"), "job_id", "left")
 
 
-def trace_export(watts: DataFrame, bin_sec: float = BIN_SEC) -> DataFrame:
+def trace_export(watts: DataFrame, bin_sec: float) -> DataFrame:
     return watts.select(
         "job_id",
         "k",
@@ -141,10 +139,10 @@ def trace_export(watts: DataFrame, bin_sec: float = BIN_SEC) -> DataFrame:
     )
 
 
-def trace_captions(watts: DataFrame, jobs: DataFrame) -> DataFrame:
+def trace_captions(watts: DataFrame, jobs: DataFrame, bin_sec: float) -> DataFrame:
     """Facts printed above a trace plot: minutes, nodes, mean and peak watts."""
     facts = watts.groupBy("job_id").agg(
-        (F.count(F.lit(1)) * F.lit(BIN_SEC) / F.lit(60.0)).alias("duration_min"),
+        (F.count(F.lit(1)) * F.lit(bin_sec) / F.lit(60.0)).alias("duration_min"),
         F.avg("real_w").alias("real_mean"),
         F.max("real_w").alias("real_max"),
         F.avg("gen_w").alias("gen_mean"),

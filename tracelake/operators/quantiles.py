@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.expressions import (
     QUANTILE_EPS,
-    bind,
     count_below,
     double_array,
     int_div,
-    normal_quantile_sql,
+    normal_quantile,
 )
 from tracelake.storage import materialize
 
@@ -160,31 +161,31 @@ class QuantileNormal:
         q = self.quantiles.get(column)
         if not q:
             return df.withColumn(output, F.lit(None).cast("double"))
-        n = len(q)
-        x = F.col(column).cast("double")
-        arr = double_array(q)
-        width = F.lit(1.0 / (n - 1) if n > 1 else 1.0)
-
-        def probability(s):
-            v, below, upto = s.getField("v"), s.getField("below"), s.getField("upto")
-            left, right = F.get(arr, below - 1), F.get(arr, below)
-            between = (below - 1 + (v - left) / (right - left)) * width
-            run = (below + upto - 1).cast("double") / 2.0 * width
-            return (
-                F.when(v.isNull(), F.lit(None).cast("double"))
-                .when(v - QUANTILE_EPS < F.lit(q[0]), F.lit(0.0))
-                .when(v + QUANTILE_EPS > F.lit(q[-1]), F.lit(1.0))
-                .when(upto > below, run)
-                .otherwise(between)
-            )
-
-        place = bind(
-            x,
-            lambda v: F.struct(
-                v.alias("v"),
-                count_below(arr, n, v).alias("below"),
-                count_below(arr, n, v, or_equal=True).alias("upto"),
-            ),
-        )
-        score = F.expr(f"transform(array(_p), p -> {normal_quantile_sql('p')})[0]")
-        return df.withColumn("_p", bind(place, probability)).withColumn(output, score).drop("_p")
+        return df.withColumn(output, _scores(F.col(column).cast("double"), q))
+
+
+def _scores(x: Column, quantiles: list[float]) -> Column:
+    """Normal scores, one Arrow batch at a time: a binary search of many values and the
+    inverse normal take a few vector operations, where lambdas would be walked per row."""
+
+    @F.arrow_udf("double")
+    def scores(values: pa.Array) -> pa.Array:
+        known = np.asarray(values.is_valid())
+        v = np.asarray(values.fill_null(0.0), float)
+        return pa.array(normal_scores(v, np.array(quantiles)), mask=~known)
+
+    return scores(x)
+
+
+def normal_scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Normal score of each value among ascending quantiles; NaN counts as the largest."""
+    below = np.searchsorted(q, v, "left")
+    upto = np.searchsorted(q, v, "right")
+    width = 1.0 / (len(q) - 1) if len(q) > 1 else 1.0
+    left, right = q[np.maximum(below - 1, 0)], q[np.minimum(below, len(q) - 1)]
+    with np.errstate(all="ignore"):
+        p = (below - 1 + (v - left) / (right - left)) * width
+    p = np.where(upto > below, (below + upto - 1) / 2.0 * width, p)
+    p = np.where(np.isnan(v) | (v + QUANTILE_EPS > q[-1]), 1.0, p)
+    p = np.where(v - QUANTILE_EPS < q[0], 0.0, p)
+    return normal_quantile(p)

@@ -116,7 +116,7 @@ class LargeRun:
     @cached_property
     def joined(self) -> DataFrame:
         scheduler = features.select_scheduler(bindings.scheduler_raw(self.spark, self.sf_dir))
-        return features.join_jobs(scheduler, features.select_index(self.index))
+        return materialize(features.join_jobs(scheduler, features.select_index(self.index)), "joined")
 
     @cached_property
     def features(self) -> DataFrame:

@@ -9,7 +9,39 @@ from __future__ import annotations
 import re
 
 from tracelake.config import CHANNEL_NAMES, FEATURES
-from tracelake.functions.expressions import normal_quantile_sql
+from tracelake.functions.expressions import (
+    CENTRAL_DEN,
+    CENTRAL_NUM,
+    NORMAL_CLIP,
+    TAIL_DEN,
+    TAIL_NUM,
+)
+
+def _horner(coefficients, r: str) -> str:
+    text = f"{coefficients[0]:.17e}"
+    for c in coefficients[1:]:
+        text = f"({text}) * {r} + {c:.17e}"
+    return f"({text})"
+
+
+def normal_quantile_sql(p: str) -> str:
+    """Inverse normal CDF of the SQL expression ``p``, clipped to +-NORMAL_CLIP."""
+    q = f"(({p}) - 5e-1)"
+    r0 = f"(1.80625e-1 - {q} * {q})"
+    central = f"{_horner(CENTRAL_NUM, r0)} * {q} / {_horner(CENTRAL_DEN, r0)}"
+    tail_p = f"(CASE WHEN {q} < 0e0 THEN ({p}) ELSE 1e0 - ({p}) END)"
+    r1 = f"(sqrt(-ln({tail_p})) - 1.6e0)"
+    tail = f"{_horner(TAIL_NUM, r1)} / {_horner(TAIL_DEN, r1)}"
+    clip_text = f"{NORMAL_CLIP:.17e}"
+    return (
+        f"CASE WHEN ({p}) IS NULL THEN NULL "
+        f"WHEN ({p}) < 1e-9 THEN -{clip_text} "
+        f"WHEN ({p}) > 1e0 - 1e-9 THEN {clip_text} "
+        f"WHEN abs({q}) <= 4.25e-1 THEN {central} "
+        f"ELSE greatest(-{clip_text}, least({clip_text}, "
+        f"(CASE WHEN {q} < 0e0 THEN -1e0 ELSE 1e0 END) * {tail})) END"
+    )
+
 
 C: dict[str, str] = {}
 
@@ -269,7 +301,7 @@ def _pearson(a: str, b: str, op: str, threshold: str) -> str:
 C["summary"] = f"""
 SELECT job_id, {_pearson("real_w", "gen_w", ">=", "1e-9")} AS pearson_r,
        sqrt(avg((real_w - gen_w) ** 2)) AS rmse, avg(abs(real_w - gen_w)) AS mae, count(*) AS length,
-       count(*) * 0.103::DOUBLE / 60 AS duration_min
+       count(*) * 3600::DOUBLE / 60 AS duration_min
 FROM watts GROUP BY job_id"""
 C["pearz"] = f"""
 SELECT job_id, {_pearson("real_z", "gen_z", ">", "1e-8")} AS pearson_r FROM pairs GROUP BY job_id"""
@@ -350,15 +382,16 @@ WHERE i < {world} * (n // {world}) AND i // {world} // {batch} < least(n // {wor
 
 
 def _score_carry() -> str:
-    # c_(w+1) = sum over j <= w of e_j * 2^(j - w - 1), e_j the first channel at the end of window j.
+    # c_w = sum over j < w of e_j * 2^(j - w), e_j the first channel at the end of window j.
     return """
-SELECT n.job_id, n.k, round(0.5 * n.z0::DOUBLE + 0.5 * coalesce(c.carry, 0), 5) AS gen_z
-FROM norm n JOIN plan p ON p.job_id = n.job_id AND n.k >= p.start AND n.k < p.start + p.n_real
-LEFT JOIN (
-  SELECT a.job_id, a.w, sum(e.z0::DOUBLE * power(2.0, b.w - a.w)) AS carry
-  FROM plan a JOIN plan b ON b.job_id = a.job_id AND b.w < a.w
-  JOIN norm e ON e.job_id = b.job_id AND e.k = b.start + b.n_real - 1
-  GROUP BY a.job_id, a.w) c ON c.job_id = p.job_id AND c.w = p.w"""
+SELECT n.job_id, n.k, round(0.5 * n.z0::DOUBLE + 0.5 * c.carry, 5) AS gen_z
+FROM norm n JOIN (
+  SELECT p.job_id, p.w, p.start, p.n_real,
+         coalesce(sum(e.z0::DOUBLE * power(2.0, p.w)) OVER (
+           PARTITION BY p.job_id ORDER BY p.w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         * power(2.0, -p.w) AS carry
+  FROM plan p JOIN norm e ON e.job_id = p.job_id AND e.k = p.start + p.n_real - 1
+) c ON c.job_id = n.job_id AND c.w = n.k // 64 AND n.k < c.start + c.n_real"""
 
 
 def _phase() -> str:
@@ -503,6 +536,13 @@ LEFT JOIN (SELECT x.column_name, least(CAST(floor((x.v - g.lo) / (g.hi - g.lo) *
     "JOIN ejobs j ON j.job_id = c.job_id AND j.split = 'train'",
     "epoch_plan": _epoch(2, 16, 3, "n"),
     "batch_layout": f"SELECT rank, step, count(*) AS n_samples FROM ({_epoch(3, 8, 0, '12')}) GROUP BY rank, step",
+    "assembled_batches": f"""
+SELECT e.rank, e.step, row_number() OVER (PARTITION BY e.rank, e.step ORDER BY e.i) - 1 AS pos, e.job_id, e.chunk_idx,
+       md5(f.target) AS target_md5, c.ctx_3_md5
+FROM ({_epoch(3, 8, 0, '12')}) e
+JOIN wfut f ON f.job_id = e.job_id AND f.chunk_idx = e.chunk_idx
+JOIN (SELECT job_id, chunk_idx, md5(ctx3) AS ctx_3_md5 FROM wctx) c
+  ON c.job_id = e.job_id AND c.chunk_idx = e.chunk_idx""",
     "windows_per_job": "SELECT job_id, length, by_duration, CAST(25 AS BIGINT) AS fixed, "
     "greatest(1, (length + 63) // 64) AS by_length FROM capped",
     "score_plan": "SELECT job_id, w, start, n_real FROM plan",
@@ -536,11 +576,11 @@ WHERE pick <= 100""",
     "random_jobs": "SELECT job_id, round(pearson_r, 5) AS pearson_r FROM "
     "(SELECT * FROM summary ORDER BY md5(job_id || '|42'), job_id LIMIT 6)",
     "trace_export": "SELECT job_id, "
-    + _r(3, timestamp_s="k * 0.103::DOUBLE", real_power_W="real_w", synthetic_power_W="gen_w")
+    + _r(3, timestamp_s="k * 3600::DOUBLE", real_power_W="real_w", synthetic_power_W="gen_w")
     + " FROM watts",
     "trace_captions": "SELECT w.job_id, max(CAST(j.nodes_req AS BIGINT)) AS nodes_req, "
     + _r(
-        3, duration_min="count(*) * 0.103::DOUBLE / 60", real_mean="avg(real_w)", real_max="max(real_w)",
+        3, duration_min="count(*) * 3600::DOUBLE / 60", real_mean="avg(real_w)", real_max="max(real_w)",
         gen_mean="avg(gen_w)", gen_max="max(gen_w)",
     )
     + " FROM watts w JOIN ejobs j ON j.job_id = w.job_id GROUP BY w.job_id",

@@ -479,6 +479,17 @@ def batch_layout(spark, sf):
     return epochs.batch_layout(plan)
 
 
+def assembled_batches(spark, sf):
+    r, chunks = _events(spark, sf), _train_chunks(spark, sf)
+    plan = epochs.epoch_plan(chunks, epoch=0, world=3, batch=8, max_steps=12)
+    placed = epochs.assemble_batches(plan, windows.training_windows(chunks, r.norm, r.jobs, CFG.window))
+    return placed.select(
+        "rank", "step", F.col("pos").cast("long").alias("pos"), "job_id", "chunk_idx",
+        F.md5(_digits(F.col("target"))).alias("target_md5"),
+        F.md5(_digits(F.col("ctx")[3])).alias("ctx_3_md5"),
+    )
+
+
 # ── Scoring and evaluation ──────────────────────────────────────────────────
 def windows_per_job(spark, sf):
     r = _events(spark, sf)
@@ -527,7 +538,7 @@ def denormalized_power(spark, sf):
 
 
 def _summary(spark, sf):
-    return evaluate.trace_metrics(_watts(spark, sf))
+    return evaluate.trace_metrics(_watts(spark, sf), CFG.window.bin_sec)
 
 
 def _summary_view(df):
@@ -577,7 +588,7 @@ def random_jobs(spark, sf):
 
 def trace_export(spark, sf):
     path = storage.scratch_path(spark, "export")
-    tables.write_export(evaluate.trace_export(_watts(spark, sf)), path)
+    tables.write_export(evaluate.trace_export(_watts(spark, sf), CFG.window.bin_sec), path)
     stored = (
         spark.read.option("header", True)
         .schema("timestamp_s double, real_power_W double, synthetic_power_W double, job_id string")
@@ -590,7 +601,7 @@ def trace_export(spark, sf):
 
 
 def trace_captions(spark, sf):
-    out = evaluate.trace_captions(_watts(spark, sf), _events(spark, sf).jobs)
+    out = evaluate.trace_captions(_watts(spark, sf), _events(spark, sf).jobs, CFG.window.bin_sec)
     names = ("duration_min", "real_mean", "real_max", "gen_mean", "gen_max")
     return _rounded(out, ("job_id", "nodes_req"), 3, **{c: c for c in names})
 
@@ -627,7 +638,7 @@ QUERIES = {
         required_columns, finite_jobs, split_random, split_stratified, split_coverage,
         stats_sample, norm_stats, normalized_traces, chunk_index, chunk_reindex,
         window_context, window_future, window_mask, window_cond, training_windows, epoch_plan,
-        batch_layout,
+        batch_layout, assembled_batches,
         windows_per_job, score_plan, score_carry, score_linear, stratified_subsample,
         denormalized_power, trace_metrics, pearson_normalized, attach_pearson, eval_headline,
         best_jobs, worst_jobs, random_jobs, trace_export, trace_captions, masked_window_loss,
