@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -52,13 +53,63 @@ def test_end_to_end_and_resume(spark, tmp_path):
     assert report[("load", "kept")] == 9 and report[("split", "test")] == 3
     assert report[("chunks", "train")] == 6 * 6
     pipeline.rebuild_chunks(spark, out, 8, "chunks8")
-    assert spark.read.parquet(f"{out}/chunks8").filter("split = 'train'").count() == 6 * 3
+    assert pipeline.load_chunks(spark, out, "chunks8").filter("split = 'train'").count() == 6 * 3
 
     small = pipeline.evaluate_jobs(spark, out, scoring.carry_predictor, CFG, subsample=2)
     before = {r["job_id"]: r["mae"] for r in small.collect()}
     assert len(before) == 2
+
+    def broken(ctx, aux, cond):
+        raise RuntimeError("out of order")
+
+    failed = pipeline.evaluate_jobs(spark, out, broken, CFG)
+    rows = {r["job_id"]: r for r in failed.collect()}
+    assert len(rows) == 3 and sum("out of order" in (r["error"] or "") for r in rows.values()) == 1
+    assert all(rows[j]["mae"] == before[j] for j in before)
     everything = pipeline.evaluate_jobs(spark, out, scoring.linear_predictor(0.0, 0.0), CFG)
     after = {r["job_id"]: r["mae"] for r in everything.collect()}
     assert len(after) == 3 and all(after[j] == before[j] for j in before)
+    assert everything.filter("error IS NOT NULL").count() == 0
     assert evaluate.headline(everything).first()["n_jobs"] == 3
+    assert everything.first()["duration_min"] == everything.first()["length"] / 60
     assert pipeline.load_synth(spark, out).select("job_id").distinct().count() == 3
+    assert pipeline.report_jobs(spark, out, CFG, 1).groupBy("pick").count().count() == 3
+
+    # Every stage once more, with a job in between.
+    write_job(tmp_path, "12", rng)
+    sched.write_text(sched.read_text() + "12,3,70,4000,3,OTHER,1640999000\n")
+    third = pipeline.build_traces(spark, str(tmp_path / "raw"), out, CFG)
+    assert sorted(r["job_id"] for r in third.collect()) == ["12", "8"]
+    assert pipeline.build_features(spark, str(sched), out, CFG).count() == 10
+    report = {(r["phase"], r["metric"]): r["value"] for r in pipeline.build_sequences(spark, out, CFG).collect()}
+    assert report[("load", "kept")] == 10 and report[("jobs", "train")] == 7
+    made = pipeline._normalized_path(spark, out, CFG)
+    pipeline.build_sequences(spark, out, CFG)
+    assert pipeline._normalized_path(spark, out, CFG) == made
+    assert len(list((tmp_path / "out" / "normalized" / made.split("/")[-1] / "rows").glob("run=*"))) == 1
+    pipeline.rebuild_chunks(spark, out, 8, "chunks8")
+    assert pipeline.load_chunks(spark, out, "chunks8").filter("split = 'train'").count() == 7 * 3
+
+
+def test_finished_input_is_not_opened_and_bounds_may_widen(spark, tmp_path):
+    rng = random.Random(2)
+    for j in range(4):
+        write_job(tmp_path, str(j), rng)
+    write_job(tmp_path, "7", rng, samples=200)  # longer than the bounds
+    source, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    first = pipeline.build_traces(spark, source, out, CFG, batch_files=4)
+    assert first.count() == 5 and first.filter("status = 'ok'").count() == 5
+    assert {r["job_id"] for r in pipeline.load_traces(spark, out).select("job_id").distinct().collect()} == set("0123")
+
+    for file in (tmp_path / "raw").glob("*/*.csv"):  # a run that opened them would find nothing
+        file.write_text("")
+    assert pipeline.build_traces(spark, source, out, CFG).count() == 0
+    assert pipeline.load_traces(spark, out).select("job_id").distinct().count() == 4
+
+    rng = random.Random(3)
+    write_job(tmp_path, "7", rng, samples=200)
+    wide = replace(CFG, resample=replace(CFG.resample, upper_sec=1000))
+    assert [r["job_id"] for r in pipeline.build_traces(spark, source, out, wide).collect()] == ["7"]
+    assert pipeline.load_traces(spark, out).select("job_id").distinct().count() == 5
+    assert pipeline.load_index(spark, out, wide).count() == 5
+    assert pipeline.load_index(spark, out, CFG).count() == 4

@@ -30,11 +30,37 @@ def test_scan_by_file_name(spark, csv_root):
     df = coverage.parse_metrics(telemetry.scan_telemetry(spark, csv_root))
     rows = df.orderBy("job_id", "seq").collect()
     assert [(r["job_id"], r["node_id"], r["timestamp"], r["power_draw_W"]) for r in rows] == [
-        ("10", "nodeA", 5.0, 1.0), ("10", "nodeA", 4.0, 2.0), ("10", "nodeA", 6.0, 3.0), ("11", "n", 1.0, 9.0),
+        ("10", "d1/nodeA", 5.0, 1.0), ("10", "d1/nodeA", 4.0, 2.0), ("10", "d1/nodeA", 6.0, 3.0), ("11", "d2/n", 1.0, 9.0),
     ]
     assert rows[1]["utilization_gpu_pct"] is None and rows[1]["utilization_memory_pct"] is None
-    nodes = {tuple(r) for r in telemetry.list_nodes(spark, csv_root).collect()}
-    assert nodes == {("10", "nodeA"), ("10", "node-b"), ("11", "n")}
+    nodes = {tuple(r)[:2] for r in telemetry.list_nodes(spark, csv_root).collect()}
+    assert nodes == {("10", "d1/nodeA"), ("10", "d1/node-b"), ("11", "d2/n")}
+
+
+def test_files_that_differ_or_cannot_be_read(spark, csv_root, tmp_path):
+    names = HEADER.split(",")[1:]
+    before = {(r["job_id"], r["node_id"], r["timestamp"], r["power_draw_W"]) for r in telemetry.scan_telemetry(spark, csv_root).collect()}
+    odd = {
+        "d3/20-turned.csv": ",".join(names[::-1]) + "\n" + "3,2,1,7.0,99\n",
+        "d3/21-lacking.csv": ",".join(names[1:]) + "\n" + "7.0,1,2,3\n",
+        "d3/22-empty.csv": "",
+        "d3/23-marked.csv": "\ufeff" + ",".join(names) + ",more\n" + '5,8.0,1,2,3,"a,b"\n6,9.0\n',
+        "d3/10-nodeA.csv": HEADER + "\nx,4,5.0,1,2,3\n",
+    }
+    for name, text in odd.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "d3" / "24-bytes.csv").write_bytes(bytes(range(128, 256)) * 40)
+    rows = {(r["job_id"], r["node_id"], r["timestamp"], r["power_draw_W"]) for r in telemetry.scan_telemetry(spark, csv_root).collect()}
+    assert rows - before == {
+        ("20", "d3/turned", "7.0", "99"), ("23", "d3/marked", "8.0", "5"), ("23", "d3/marked", "9.0", "6"),
+        ("10", "d3/nodeA", "5.0", "4"),
+    }
+    assert before <= rows
+    listed = {r["node_id"] for r in telemetry.list_nodes(spark, csv_root).collect()}
+    assert {"d3/lacking", "d3/empty", "d3/bytes"} <= listed
+    some = [r["path"] for r in telemetry.list_nodes(spark, csv_root).filter("job_id = '10'").collect()]
+    assert {r["node_id"] for r in telemetry.scan_telemetry(spark, some).collect()} == {"d1/nodeA", "d3/nodeA"}
 
 
 def test_folder_layout_keeps_order(spark, tmp_path):

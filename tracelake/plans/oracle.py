@@ -442,7 +442,7 @@ def _scaled(name: str, output: str) -> str:
 
 _STATEMENTS = {
     "csv_ingest": "SELECT job_id, node_id, row_number() OVER (PARTITION BY job_id, node_id ORDER BY seq) AS pos, "
-    + _r(6, ts="ts", **_M) + " FROM tel",
+    + _r(6, ts="ts", **_M) + " FROM tel WHERE CAST(job_id AS BIGINT) % 7 <> 3",
     "tolerant_parse": _dirty(),
     "scheduler_csv": "SELECT job_id, cpus_req, mem_req, priority, state, job_type, time_start FROM sched",
     "trace_index_dedup": "SELECT DISTINCT job_id, file_path, nodes_used AS nodes_req, duration_sec, length FROM lraw",

@@ -1,12 +1,15 @@
 """The stages from raw files to scored traces, each resumable from its stored tables.
 
-Every run of a stage appends one ``run=<id>`` folder of rows and then one of
-completion records. Readers only accept runs with completion records, so a stage that
-died between the two is redone and its stray folder ignored.
+Traces, normalized traces and scores grow: every run appends one ``run=<id>`` folder of rows
+and then one of completion records. Readers only accept runs with completion records, so a
+stage that died between the two is redone and its stray folder ignored. The other tables
+are written anew by every call, as versions of which the last complete one counts; so every
+stage can be repeated, also after jobs have been added.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import replace
 
@@ -31,22 +34,22 @@ from tracelake.schemas import TRACES, require_columns
 from tracelake.sources import tables, telemetry
 from tracelake.storage import materialize
 
-FACTS = "job_id string, nodes_total long, nodes_used long, t0 double, k_max long, reason string"
+FACTS = (
+    "job_id string, nodes_total long, nodes_used long, t0 double, k_max long, reason string, "
+    "resampled boolean"
+)
+# Files that one round of the resampling lists on the driver and reads.
+BATCH_FILES = 10_000
 SYNTH = "job_id string, k long, real_z double, gen_z double"
 SCORED = "job_id string, error string"
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system it names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+NORMALIZED = "job_id string, k long, z0 float, z1 float, z2 float, z3 float"
 
 
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """All runs of a stored table, or an empty table before the first run."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if not exists(spark, path):
+    if not tables.exists(spark, path):
         return spark.createDataFrame([], schema.add("run", "string"))
     return spark.read.schema(T.StructType(list(schema)).add("run", "string")).parquet(path)
 
@@ -58,7 +61,10 @@ def _completed(rows: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def load_facts(spark: SparkSession, out: str) -> DataFrame:
-    return _stored(spark, f"{out}/facts", FACTS).drop("run")
+    """The facts of each finished job, by its last run that has them."""
+    facts = _stored(spark, f"{out}/facts", FACTS)
+    last = facts.groupBy("job_id").agg(F.max_by(F.struct(*facts.columns), "resampled").alias("f"))
+    return last.select("f.*").drop("run")
 
 
 def load_traces(spark: SparkSession, out: str) -> DataFrame:
@@ -66,26 +72,56 @@ def load_traces(spark: SparkSession, out: str) -> DataFrame:
     return _completed(_stored(spark, f"{out}/traces", T.StructType(list(TRACES))), records)
 
 
-def build_traces(spark: SparkSession, source: str, out: str, cfg: PipelineConfig) -> DataFrame:
-    """Resample every job of the CSV folder that has no record yet; returns the outcomes.
+def pending_nodes(spark: SparkSession, source: str, out: str, cfg: PipelineConfig) -> DataFrame:
+    """``(job_id, node_id, path)`` of the files of jobs that are not finished.
 
-    Failed jobs are tried again by the next run, as finished ones are skipped.
+    A job is finished when its traces are stored, or when its facts are and its duration lies
+    outside the bounds; wider bounds make such a job pending again.
     """
-    samples = coverage.parse_metrics(telemetry.scan_telemetry(spark, source))
-    nodes = telemetry.list_nodes(spark, source)
-    done = load_facts(spark, out).filter(F.col("reason").isNull()).select("job_id")
-    todo = nodes.join(done, "job_id", "left_anti")
+    facts, bounds = load_facts(spark, out), cfg.resample
+    inside = F.round(F.col("k_max") * F.lit(bounds.dt), 3).between(bounds.lower_sec, bounds.upper_sec)
+    done = facts.filter(F.col("resampled") | ~inside).select("job_id")
+    return telemetry.list_nodes(spark, source).join(done, "job_id", "left_anti")
+
+
+def build_traces(
+    spark: SparkSession, source: str, out: str, cfg: PipelineConfig, batch_files: int = BATCH_FILES
+) -> DataFrame:
+    """Resample the jobs of the CSV folder that are not finished; returns their outcomes.
 
+    The files of pending jobs are read in rounds of about ``batch_files``; files of finished
+    jobs are listed but not opened. Only jobs within the duration bounds are resampled, the
+    facts of the others are kept. Failed jobs are tried again by the next run.
+    """
+    todo = materialize(pending_nodes(spark, source, out, cfg), "pending")
+    rounds = -(-todo.count() // batch_files)
+    todo = todo.withColumn("round", F.pmod(F.xxhash64("job_id"), F.lit(max(rounds, 1))))
+    outcomes = None
+    for k in range(rounds):
+        nodes = todo.filter(F.col("round") == k)
+        files = sorted(r["path"] for r in nodes.select("path").collect())
+        if files:
+            own = _build_round(spark, files, nodes, out, cfg)
+            outcomes = own if outcomes is None else outcomes.unionByName(own)
+    if outcomes is None:
+        return spark.createDataFrame([], "job_id string, status string, detail string")
+    return outcomes
+
+
+def _build_round(
+    spark: SparkSession, files: list[str], nodes: DataFrame, out: str, cfg: PipelineConfig
+) -> DataFrame:
+    samples = coverage.parse_metrics(telemetry.scan_telemetry(spark, files))
     # Only the nodes to do get facts, and samples are joined with those.
-    per_node = materialize(coverage.node_facts(samples, cfg.resample, todo), "node-facts")
+    per_node = materialize(coverage.node_facts(samples, cfg.resample, nodes), "node-facts")
+    facts = materialize(coverage.trace_facts(samples, cfg.resample, per_node), "trace-facts")
+    index = coverage.trace_index(facts, cfg.resample).select("job_id", F.lit(True).alias("resampled"))
     run = uuid.uuid4().hex
-    path = f"{out}/traces/run={run}"
-    tables.write_traces(resample_traces(samples, cfg.resample, facts=per_node), path)
-    gate = coverage.job_gate(per_node, cfg.resample)
-    facts = materialize(
-        coverage.finished_facts(gate, tables.read_traces(spark, path)), "trace-facts"
-    )
-    tables.write_table(facts.filter(F.col("reason").isNull()), f"{out}/facts/run={run}")
+    traces = resample_traces(samples, cfg.resample, only_jobs=index, facts=per_node)
+    tables.write_traces(traces, f"{out}/traces/run={run}")
+    finished = facts.filter(F.col("reason").isNull()).join(index, "job_id", "left")
+    finished = finished.withColumn("resampled", F.coalesce("resampled", F.lit(False)))
+    tables.write_table(finished, f"{out}/facts/run={run}")
     return coverage.job_outcomes(facts)
 
 
@@ -101,28 +137,25 @@ def build_features(
     scheduler = features.select_scheduler(tables.scan_scheduler(spark, scheduler_csv))
     index = features.select_index(load_index(spark, out, cfg))
     joined = features.require_rows(materialize(features.join_jobs(scheduler, index), "joined"))
-    tables.write_table(features.build_features(joined, cfg.features), f"{out}/features")
-    table = spark.read.parquet(f"{out}/features")
-    tables.write_table(statistics.histograms(table), f"{out}/histograms")
-    tables.write_table(statistics.correlations(table), f"{out}/correlations")
+    tables.write_version(features.build_features(joined, cfg.features), f"{out}/features")
+    table = tables.read_version(spark, f"{out}/features")
+    tables.write_version(statistics.histograms(table), f"{out}/histograms")
+    tables.write_version(statistics.correlations(table), f"{out}/correlations")
     return table
 
 
 def build_sequences(spark: SparkSession, out: str, cfg: PipelineConfig) -> DataFrame:
     """Split, fit, normalize and index the windows; returns the phase report."""
-    table = require_columns(spark.read.parquet(f"{out}/features"))
+    table = require_columns(tables.read_version(spark, f"{out}/features"))
     labelled = materialize(split.split_jobs(split.usable_jobs(table), cfg.split), "labelled")
     traces = load_traces(spark, out)
 
     train = labelled.filter(F.col("split") == "train")
     sample = split.sample_jobs(train, cfg.norm.stats_sample_frac, cfg.split.seed)
-    tables.write_table(normalize.fit_norm(traces, sample, cfg.norm), f"{out}/norm_stats")
-    stats = load_stats(spark, out)
-    kept = traces.join(labelled.select("job_id"), "job_id", "left_semi")
-    tables.write_table(normalize.normalize(kept, stats, cfg.norm), f"{out}/normalized")
-
-    jobs = normalize.attach_lengths(labelled, load_normalized(spark, out))
-    tables.write_table(jobs, f"{out}/jobs", ("split",))
+    tables.write_version(normalize.fit_norm(traces, sample, cfg.norm), f"{out}/norm_stats")
+    _normalize_jobs(spark, traces, labelled, out, cfg)
+    jobs = normalize.attach_lengths(labelled, load_normalized(spark, out, cfg))
+    tables.write_version(jobs, f"{out}/jobs", ("split",))
     rebuild_chunks(spark, out, cfg.window.stride, "chunks")
     sizes = [
         F.count_if(F.col("split") == "train").alias("train"),
@@ -133,27 +166,57 @@ def build_sequences(spark: SparkSession, out: str, cfg: PipelineConfig) -> DataF
             "load": split.drop_counts(table),
             "split": labelled.agg(*sizes),
             "jobs": load_jobs(spark, out).agg(*sizes),
-            "chunks": spark.read.parquet(f"{out}/chunks").agg(*sizes),
+            "chunks": load_chunks(spark, out).agg(*sizes),
         }
     )
 
 
 def load_stats(spark: SparkSession, out: str) -> normalize.ChannelStats:
-    return normalize.ChannelStats.from_table(spark.read.parquet(f"{out}/norm_stats"))
+    return normalize.ChannelStats.from_table(tables.read_version(spark, f"{out}/norm_stats"))
+
+
+def _normalized_path(spark: SparkSession, out: str, cfg: PipelineConfig) -> str:
+    """Normalized traces lie by the statistics and bounds they were made with."""
+    made = repr((sorted(load_stats(spark, out).by_channel.items()), cfg.norm.clip_lo, cfg.norm.clip_hi))
+    return f"{out}/normalized/{hashlib.md5(made.encode()).hexdigest()}"
+
+
+def _normalize_jobs(
+    spark: SparkSession, traces: DataFrame, jobs: DataFrame, out: str, cfg: PipelineConfig
+) -> None:
+    """Normalize the jobs that the current statistics have not been applied to."""
+    path = _normalized_path(spark, out, cfg)
+    done = _stored(spark, f"{path}/jobs", "job_id string").select("job_id")
+    todo = materialize(jobs.select("job_id").join(done, "job_id", "left_anti"), "to-normalize")
+    if todo.isEmpty():
+        return
+    run = uuid.uuid4().hex
+    kept = traces.join(todo, "job_id", "left_semi")
+    stats = load_stats(spark, out)
+    tables.write_table(normalize.normalize(kept, stats, cfg.norm), f"{path}/rows/run={run}")
+    tables.write_table(todo, f"{path}/jobs/run={run}")
+
 
+def load_normalized(spark: SparkSession, out: str, cfg: PipelineConfig) -> DataFrame:
+    """Normalized traces of all jobs that ever were in the job table under these statistics."""
+    path = _normalized_path(spark, out, cfg)
+    records = _stored(spark, f"{path}/jobs", "job_id string")
+    return _completed(_stored(spark, f"{path}/rows", NORMALIZED), records)
 
-def load_normalized(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/normalized")
+
+def load_chunks(spark: SparkSession, out: str, name: str = "chunks") -> DataFrame:
+    chunks = tables.read_version(spark, f"{out}/{name}")
+    return chunks.withColumn("job_id", F.col("job_id").cast("string"))
 
 
 def load_jobs(spark: SparkSession, out: str) -> DataFrame:
-    jobs = spark.read.parquet(f"{out}/jobs")
+    jobs = tables.read_version(spark, f"{out}/jobs")
     return jobs.withColumn("job_id", F.col("job_id").cast("string"))
 
 
 def rebuild_chunks(spark: SparkSession, out: str, stride: int, name: str) -> None:
     """Window index for a stride, from the stored job table alone."""
-    tables.write_table(
+    tables.write_version(
         windows.chunk_index(load_jobs(spark, out), stride), f"{out}/{name}", ("split",)
     )
 
@@ -168,9 +231,12 @@ def evaluate_jobs(
 ) -> DataFrame:
     """Score the test jobs that have no stored trace and return the metrics of all.
 
-    Stored traces are kept as they are; only their metrics are worked out again.
+    Stored traces are kept as they are; only their metrics are worked out again. A job whose
+    scoring failed has a row without scores and with the ``error``; it is tried again by the next
+    call. The summary, the aligned traces and their captions are stored as versions
+    ``eval_summary``, ``eval_traces`` and ``eval_captions``.
     """
-    norm = load_normalized(spark, out)
+    norm = load_normalized(spark, out, cfg)
     jobs = load_jobs(spark, out).filter(F.col("split") == "test")
     if subsample is not None:
         jobs = split.stratified_subsample(jobs, subsample, strata, cfg.split.seed)
@@ -188,8 +254,39 @@ def evaluate_jobs(
         tables.write_table(scoring.unpack_scores(scored), f"{out}/synth/run={run}")
         outcome = scored.groupBy("job_id").agg(F.max("error").alias("error"))
         tables.write_table(outcome, f"{out}/scored/run={run}")
-    watts = evaluate.in_watts(load_synth(spark, out), load_stats(spark, out))
-    return evaluate.trace_metrics(watts.join(jobs.select("job_id"), "job_id", "left_semi"))
+    synth = load_synth(spark, out).join(jobs.select("job_id"), "job_id", "left_semi")
+    watts = evaluate.in_watts(synth, load_stats(spark, out))
+    scored_at = _stored(spark, f"{out}/scored", SCORED).join(jobs.select("job_id"), "job_id", "left_semi")
+    errors = scored_at.groupBy("job_id").agg(
+        F.when(F.count_if(F.col("error").isNull()) == 0, F.max("error")).alias("error")
+    )
+    bin_sec = cfg.window.bin_sec
+    summary = evaluate.trace_metrics(watts, bin_sec, jobs).join(errors, "job_id", "left")
+    tables.write_version(summary, f"{out}/eval_summary")
+    tables.write_version(evaluate.trace_export(watts, bin_sec), f"{out}/eval_traces")
+    tables.write_version(evaluate.trace_captions(watts, jobs, bin_sec), f"{out}/eval_captions")
+    return load_summary(spark, out)
+
+
+def load_summary(spark: SparkSession, out: str) -> DataFrame:
+    return tables.read_version(spark, f"{out}/eval_summary")
+
+
+def report_jobs(spark: SparkSession, out: str, cfg: PipelineConfig, k: int = 6) -> DataFrame:
+    """The k best, worst and random jobs of the stored summary, by ``pick``."""
+    summary = load_summary(spark, out).drop("error")
+    picks = {
+        "best": evaluate.best_jobs(summary, k),
+        "worst": evaluate.worst_jobs(summary, k),
+        "random": summary.join(
+            evaluate.random_scored_jobs(
+                summary, load_synth(spark, out), summary, k, cfg.split.seed
+            ).select("job_id"),
+            "job_id",
+        ),
+    }
+    rows = [df.select(F.lit(pick).alias("pick"), *summary.columns) for pick, df in picks.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def load_synth(spark: SparkSession, out: str) -> DataFrame:

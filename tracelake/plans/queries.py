@@ -63,8 +63,14 @@ def _digits(values: Column) -> Column:
 
 # ── Sources, sinks, progress ────────────────────────────────────────────────
 def csv_ingest(spark, sf):
-    path = storage.scratch_path(spark, "csv")
-    telemetry.write_telemetry(bindings.telemetry(spark, sf), path)
+    # Some units have their columns in another order beside one more, some lack a column.
+    path, rows = storage.scratch_path(spark, "csv"), bindings.telemetry(spark, sf)
+    names, number = schemas.TELEMETRY_CSV.fieldNames(), F.col("job_id").cast("long")
+    lacking = number % 7 == 3
+    turned = ~lacking & (number % 5 == 0)
+    telemetry.write_telemetry(rows.filter(~lacking & ~turned), path)
+    telemetry.write_telemetry(rows.withColumn("more", F.lit("x,y")).filter(turned), path, ["more", *names[::-1]])
+    telemetry.write_telemetry(rows.filter(lacking), path, names[:-1])
     parsed = coverage.parse_metrics(telemetry.scan_telemetry(spark, path, layout="folder"))
     pos = F.row_number().over(Window.partitionBy(*coverage.NODE).orderBy("seq"))
     return _rounded(

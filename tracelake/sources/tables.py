@@ -62,6 +62,60 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     writer.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    files, place = _hadoop(spark, path)
+    return files.exists(place)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
+    """Number, folder and completion of the written versions, oldest first."""
+    files, place = _hadoop(spark, path)
+    if not files.exists(place):
+        return []
+    found = []
+    for status in files.listStatus(place):
+        folder = status.getPath()
+        if folder.getName().startswith("version="):
+            done = exists(spark, f"{folder.toString()}/_SUCCESS")
+            found.append((int(folder.getName()[8:]), folder.toString(), done))
+    return sorted(found)
+
+
+def write_version(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """A stage table that a later call replaces.
+
+    Every call writes a folder of its own, which counts once Spark has marked it complete, so
+    readers never see half a table. The version before stays for those who read it; older ones
+    and those left by calls that died are removed.
+    """
+    spark, before = df.sparkSession, _versions(df.sparkSession, path)
+    number = before[-1][0] + 1 if before else 0
+    write_table(df, f"{path}/version={number:09d}", partition_by)
+    complete = [folder for _, folder, done in before if done]
+    for _, folder, _ in before:
+        if folder not in complete[-1:]:
+            files, place = _hadoop(spark, folder)
+            files.delete(place, True)
+
+
+def version_path(spark: SparkSession, path: str) -> str:
+    """Folder of the last complete version."""
+    complete = [folder for _, folder, done in _versions(spark, path) if done]
+    if not complete:
+        raise FileNotFoundError(f"no complete version of {path}")
+    return complete[-1]
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(version_path(spark, path))
+
+
 def write_export(export: DataFrame, path: str, file_bins: int = 1 << 20) -> None:
     """Aligned real and generated traces as CSV, one folder per job.
 

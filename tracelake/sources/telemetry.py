@@ -2,77 +2,144 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from urllib.parse import unquote
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.schemas import TELEMETRY_CSV
+from tracelake.storage import materialize
+
+#: Distinct header lines that one scan accepts; each is read by a scan of its own.
+MAX_LAYOUTS = 1000
+
 
 def _unit(layout: str, path: Column) -> Column:
     """The ``<job>-<node>`` text: the file stem, or the value of its folder."""
     name = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     if layout == "folder":
-        folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
         return F.substring_index(folder, "=", -1)
     return F.substring(name, F.lit(1), F.length(name) - len(".csv"))
 
 
-def _with_keys(df: DataFrame, unit: Column) -> DataFrame:
+def _with_keys(df: DataFrame, layout: str, path: Column) -> DataFrame:
     """Add ``job_id`` (digits before the first dash) and ``node_id`` (the rest); rows
-    whose unit has another form are dropped. Plain string functions: this runs per sample."""
+    whose unit has another form are dropped. Plain string functions: this runs per sample.
+
+    Where a node is a file, its folder is part of ``node_id``: two files of one name in two
+    folders are two nodes.
+    """
     dash = F.instr(F.col("_unit"), "-")
-    keyed = df.withColumn("_unit", unit).select(
-        *df.columns,
-        F.substring("_unit", F.lit(1), dash - 1).alias("job_id"),
-        F.substring("_unit", dash + 1, F.length("_unit")).alias("node_id"),
+    node = F.substring("_unit", dash + 1, F.length("_unit"))
+    named = F.col("_unit").isNotNull() & (node != "")
+    if layout == "file":
+        folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+        node = F.concat(folder, F.lit("/"), node)
+    keyed = df.withColumn("_unit", _unit(layout, path)).filter(named).select(
+        *df.columns, F.substring("_unit", F.lit(1), dash - 1).alias("job_id"), node.alias("node_id")
     )
     digits_only = F.translate("job_id", "0123456789", "") == ""
-    return keyed.filter((F.col("job_id") != "") & digits_only & (F.col("node_id") != ""))
+    return keyed.filter((F.col("job_id") != "") & digits_only)
+
+
+def _headers(spark: SparkSession, files: str | list[str]) -> DataFrame:
+    """``(path, line)``: the first line of every file that has one."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(files)
+    first = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        "value",
+    ).filter((F.col("block") == 0) & (F.trim("value") != ""))
+    return first.groupBy("path").agg(F.min_by("value", "row").alias("line"))
+
+
+def _literal(path: str) -> str:
+    """A listed path as one that a reader takes as it is, without patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
 def scan_telemetry(
-    spark: SparkSession, path: str, layout: str = "file", header: list[str] | None = None
+    spark: SparkSession, path: str | list[str], layout: str = "file", header: list[str] | None = None
 ) -> DataFrame:
     """Text telemetry with ``job_id``, ``node_id`` and the in-file order ``seq``.
 
-    Files lie exactly one folder below ``path``. Names that are no job-node pair are
-    ignored. With ``layout="folder"`` the pair is the folder's name (``unit=<pair>``
-    works) and its files follow each other in name order. ``header`` is the column
-    line of the files, read from the first one if not given; unused columns are
-    pruned, and a file with another header fails instead of being misread. ``seq``
-    keeps a file split over several tasks in order.
+    ``path`` is a folder whose files lie exactly one folder below it, or a list of files.
+    Names that are no job-node pair are ignored. With ``layout="folder"`` the pair is the
+    folder's name (``unit=<pair>`` works) and its files follow each other in name order.
+
+    Columns are chosen by name for each file. Files of the same header line are read
+    together; a file without all columns, without a header or that cannot be read gives
+    no rows and harms no other file. ``header`` states the one header line of all files and
+    spares the pass that collects them. ``seq`` keeps a file split over several tasks in
+    order.
     """
-    files = f"{path.rstrip('/')}/*/*.csv"
-    header = header or spark.read.option("header", True).csv(files).columns
-    missing = [c for c in TELEMETRY_CSV.fieldNames() if c not in header]
-    if missing:
-        raise KeyError(f"missing columns: {missing}")
-    raw = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
-        .csv(files)
-    )
+    files = [_literal(p) for p in path] if isinstance(path, list) else f"{path.rstrip('/')}/*/*.csv"
+    wanted = TELEMETRY_CSV.fieldNames()
+    if header is not None:
+        missing = [c for c in wanted if c not in header]
+        if missing:
+            raise KeyError(f"missing columns: {missing}")
+        return _scan_layout(spark, files, header, layout)
+    heads = materialize(_headers(spark, files), "headers")
+    lines = [r["line"] for r in heads.select("line").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if len(lines) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
+    names = {line: [c.strip() for c in next(csv.reader([line.lstrip("\ufeff")]))] for line in sorted(lines)}
+    parts = []
+    for line, columns in names.items():
+        if all(c in columns for c in wanted):
+            own = heads.filter(F.col("line") == line).select("path") if len(lines) > 1 else None
+            parts.append(_scan_layout(spark, files, columns, layout, own))
+    if not parts:
+        return spark.createDataFrame([], _SAMPLES)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+_SEQ = "struct<file:string,block:bigint,row:bigint>"
+_SAMPLES = f"job_id string, node_id string, seq {_SEQ}, " + ", ".join(
+    f"{c} string" for c in TELEMETRY_CSV.fieldNames()
+)
+
+
+def _scan_layout(
+    spark: SparkSession, files: str | list[str], columns: list[str], layout: str, own: DataFrame | None = None
+) -> DataFrame:
+    """Files of one header line; ``own`` (path) are those files if there are others."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
+    raw = spark.read.option("header", True).option("ignoreCorruptFiles", True).schema(schema).csv(files)
     rows = raw.select(
-        *TELEMETRY_CSV.fieldNames(),
-        F.col("_metadata.file_path").alias("_path"),
+        *[F.col(f"c{columns.index(c)}").alias(c) for c in TELEMETRY_CSV.fieldNames()],
+        F.col("_metadata.file_path").alias("path"),
         F.struct(
             F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("seq"),
     )
-    keyed = _with_keys(rows, _unit(layout, F.col("_path")))
+    if own is not None:
+        rows = rows.join(own, "path", "left_semi")
+    keyed = _with_keys(rows, layout, F.col("path"))
     return keyed.select("job_id", "node_id", "seq", *TELEMETRY_CSV.fieldNames())
 
 
 def list_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """``(job_id, node_id)`` of every matching file, empty ones included.
+    """``(job_id, node_id, path)`` of every matching file, empty ones included.
 
-    Reads the file listing only; no content is loaded.
+    Reads the file listing only; no content is loaded. The names come from the listing that
+    Spark keeps on the driver for any scan, since a scan leaves out files of no bytes.
     """
-    files = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*.csv").select("path")
-    return _with_keys(files, _unit("file", F.col("path"))).select("job_id", "node_id")
+    names = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*.csv").inputFiles()
+    files = spark.createDataFrame(pd.DataFrame({"path": names}, dtype=str), "path string")
+    return _with_keys(files, "file", F.col("path")).select("job_id", "node_id", "path")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -86,8 +153,10 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def write_telemetry(telemetry: DataFrame, path: str) -> None:
-    """Write samples as CSV in the folder layout, in sample order.
+def write_telemetry(telemetry: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Write samples as CSV in the folder layout, in sample order, beside what is there.
+
+    ``columns`` are those to write, in their order; as shipped the telemetry columns.
 
     Range partitioning by (unit, seq) lets several tasks share a heavy node while the
     part files of its folder keep the order of the samples. The task count is explicit:
@@ -98,8 +167,9 @@ def write_telemetry(telemetry: DataFrame, path: str) -> None:
         telemetry.withColumn("unit", F.concat_ws("-", "job_id", "node_id"))
         .repartitionByRange(parts, "unit", "seq")
         .sortWithinPartitions("unit", "seq")
-        .select("unit", *TELEMETRY_CSV.fieldNames())
-        .write.partitionBy("unit")
+        .select("unit", *(columns or TELEMETRY_CSV.fieldNames()))
+        .write.mode("append")
+        .partitionBy("unit")
         .option("header", True)
         .csv(path)
     )
