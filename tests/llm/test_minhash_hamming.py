@@ -4,9 +4,10 @@ import re
 import numpy as np
 import pytest
 
+from check import compare, database
 from tracelake.llm import components
 from tracelake.llm import minhash_hamming as mh
-from tracelake.llm.queries import op3_minhash_hamming
+from tracelake.llm.queries import ORACLE, op3_minhash_hamming
 
 from .conftest import SF, odd_rows
 
@@ -44,6 +45,10 @@ def got(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
 
 
+def test_query_equals_sql(spark):
+    assert compare(op3_minhash_hamming(spark, SF), database(SF), ORACLE["op3_minhash_hamming"]) == ""
+
+
 def test_query_equals_all_pairs(spark, texts):
     rows = op3_minhash_hamming(spark, SF)
     assert got(rows) == plain_classes(texts.items())

@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from check import compare, database
 from tracelake.llm import suffix_buckets as sb
-from tracelake.llm.queries import op4_suffix_buckets
+from tracelake.llm.queries import ORACLE, op4_suffix_buckets
 
 from .conftest import SF, odd_rows
 
@@ -42,6 +43,10 @@ def want(rows, size):
     return sorted((str(r[0]), *p) for r, p in zip(rows, plain(rows, size)))
 
 
+def test_query_equals_sql(spark):
+    assert compare(op4_suffix_buckets(spark, SF), database(SF), ORACLE["op4_suffix_buckets"]) == ""
+
+
 def test_query_equals_plain_counting(spark, texts):
     rows = sorted(texts.items())
     got = sorted(tuple(r) for r in op4_suffix_buckets(spark, SF).collect())

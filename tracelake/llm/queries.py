@@ -167,6 +167,65 @@ ORACLE: dict[str, str] = {
         JOIN f ON f.slot = ('0x' || md5('k' || doc_id::VARCHAR)[1:15])::BIGINT % 1621
         JOIN s ON s.k = (f.n - 1) % 16
     """,
+    # Words and shingles are compared by 64-bit hashes.
+    "op3_minhash_hamming": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT doc_id, unnest(list_distinct(CASE
+                WHEN len(words) >= 5 THEN
+                    list_transform(range(1, len(words) - 3), lambda i: hash(words[i:i + 4]))
+                WHEN len(words) > 0 THEN [hash(words)] ELSE []::UBIGINT[] END)) AS shingle
+            FROM w
+        ), n AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), l AS MATERIALIZED (
+            SELECT c.a, c.b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+                FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+                GROUP BY x.doc_id, y.doc_id
+            ) AS c JOIN n AS x ON x.doc_id = c.a JOIN n AS y ON y.doc_id = c.b
+            WHERE 100 * common >= 85 * (x.n + y.n - common)
+        ), r AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+        )
+        SELECT r.a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id,
+               r.a = min(r.b) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+    """,
+    # Windows are substrings of the bytes' hexadecimal text, compared by 64-bit hashes.
+    "op4_suffix_buckets": r"""
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+        ), w AS MATERIALIZED (
+            SELECT doc_id, p, hash(substr(h, 2 * p + 1, 800)) AS m
+            FROM (SELECT doc_id, h, unnest(range(n - 399)) AS p FROM d WHERE n >= 400)
+        ), g AS (
+            SELECT m FROM w GROUP BY m HAVING count(*) > 1
+        ), t AS (
+            SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, true) AS fresh
+            FROM w WHERE m IN (SELECT m FROM g)
+        ), u AS (
+            SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b
+            FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM t)
+            GROUP BY doc_id, run
+        ), k AS (
+            SELECT doc_id, sum(b - a) AS removed, count(*) AS spans,
+                   string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a)
+                   || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM (SELECT u.*, d.h, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before
+                  FROM u JOIN d USING (doc_id))
+            GROUP BY doc_id
+        )
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+               coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op7_warc_zstd": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h FROM pages
