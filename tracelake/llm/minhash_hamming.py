@@ -5,7 +5,7 @@ A document's set is its distinct word shingles. Its signature is ``CHUNKS * WIDT
 chunks: two signatures that differ in less than ``CHUNKS * (ERRORS + 1)`` places have, by
 pigeonhole, a chunk with at most ``ERRORS`` errors. The allowed errors are enumerated by leaving
 each symbol of the chunk out in turn, so such pairs meet in a bucket of equal remaining symbols
-(64 bits): all pairs up to ``CHUNKS * 2 - 1`` differences do, and at similarity 0.85 all but two in
+(64 bits): all pairs up to ``CHUNKS * 2 - 1`` differences do, and at similarity 0.80 all but two in
 100,000 of the others.
 
 Documents of equal sets count once from the start. In every bucket a longer sketch tells
@@ -32,7 +32,7 @@ from tracelake.llm.words import mix, per_text, prefix_hashes, shingles, span_has
 
 _U = np.uint64
 SHINGLE_WORDS = 5
-CHUNKS, WIDTH, ERRORS = 6, 5, 1
+CHUNKS, WIDTH, ERRORS = 8, 5, 1
 #: Symbols of the sketch that decides which pairs are confirmed, one byte each.
 SKETCH = 128
 #: Rows of a block.
