@@ -1,4 +1,5 @@
 import math
+import re
 from dataclasses import replace
 
 import pytest
@@ -241,8 +242,39 @@ def test_parse(spark):
     assert list(rows[1])[3:] == [None, -2.0, 300.0, None, 7.0]
 
 
-def test_gap_fill_shuffles_samples_twice_only(spark):
-    """Rollup and block distribution; fills add no exchange of grid rows."""
+def test_rollup_runs_in_the_layout_of_the_join(spark):
+    """Without a broadcast the samples are shuffled by the join alone."""
+    df = frame(spark, {"a": NODE_A, "b": NODE_B})
+    layout = r"Exchange hashpartitioning\(job_id#\d+, node_id#\d+, part#\d+"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rollup = resample.gpu_rollup(resample.locate(df, coverage.kept_nodes(*_gates(df)), CFG))
+    plan = rollup._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange of the samples, one of the nodes, none for the rollup.
+    assert len(re.findall(layout + r", \d", plan)) == 2, plan
+    assert not re.findall(layout + r", timestamp", plan), plan
+
+
+def _gates(df):
+    facts = coverage.node_facts(df, CFG)
+    return facts, coverage.job_gate(facts, CFG)
+
+
+def test_a_hot_node_spans_several_tasks(spark):
+    samples = [(10.0 + 0.5 * i, 50, 50, 10, i % 9) for i in range(2000)]
+    df = frame(spark, {"a": samples, "b": samples[:5]})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rollup = resample.gpu_rollup(resample.locate(df, coverage.kept_nodes(*_gates(df)), CFG))
+    binned = resample.bin_samples(rollup, CFG)
+    for rows in (rollup, binned):
+        counts = rows.filter("node_id = 'a'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(counts) > 1 and max(r["count"] for r in counts) < 0.8 * sum(r["count"] for r in counts)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_plan_has_no_single_task_and_no_all_pairs(spark):
     df = frame(spark, {"a": NODE_A, "b": NODE_B})
     plan = resample.resample_traces(df, CFG)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(job_id" in plan

@@ -46,6 +46,9 @@ class ResampleConfig:
     upper_sec: float = 7200.0
     # Bins per time block: the unit of work, so that one long job spans many tasks.
     block_bins: int = 4096
+    # Parts, by timestamp, in which a node's samples are joined and rolled up, so that one
+    # heavy node spans several tasks. The table of kept nodes is copied so many times.
+    node_parts: int = 8
 
 
 @dataclass(frozen=True)

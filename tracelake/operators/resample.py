@@ -33,18 +33,22 @@ def locate(telemetry: DataFrame, nodes: DataFrame, cfg: ResampleConfig) -> DataF
     """Samples of the kept nodes with their grid position.
 
     ``nodes`` carries ``t0``. The gates run before the samples are grouped, so
-    rejected nodes and jobs never reach the shuffle below.
+    rejected nodes and jobs never reach the shuffle below. ``part`` follows from the
+    timestamp: where the join is not a broadcast, samples are laid out by node and part, and
+    the rollup by timestamp runs in that layout.
     """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(cfg.node_parts - 1)))
     return (
         telemetry.filter(F.col("timestamp").isNotNull())
-        .join(nodes, list(NODE))
-        .select(*NODE, "timestamp", bin_index(cfg).alias("k"), *SOURCE_METRICS)
+        .withColumn("part", F.pmod(F.hash("timestamp"), F.lit(cfg.node_parts)))
+        .join(nodes.withColumn("part", parts), [*NODE, "part"])
+        .select(*NODE, "part", "timestamp", bin_index(cfg).alias("k"), *SOURCE_METRICS)
     )
 
 
 def gpu_rollup(located: DataFrame) -> DataFrame:
     """Combine the GPUs that share a timestamp. Map-side partial aggregation applies."""
-    return located.groupBy(*NODE, "timestamp", "k").agg(*_combine())
+    return located.groupBy(*NODE, "part", "timestamp", "k").agg(*_combine()).drop("part")
 
 
 def bin_samples(rollup: DataFrame, cfg: ResampleConfig) -> DataFrame:
