@@ -53,7 +53,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document and their places in sequences of 2048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return swap_packing.pack(written(swap_packing.tokenize(docs, path, keep_ids=False), "pieces"))
+    return swap_packing.pack(swap_packing.tokenize(docs, path, keep_ids=False))
 
 
 STAGES = [

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -103,5 +103,8 @@ def test_odd_rows(spark, odd, empty):
     assert packing.pack(packing.tokenize(empty, PATH)).count() == 0
     lengths = spark.createDataFrame([(None,), (-1,), (2048,), (5,)], "length long")
     assert packing.pack(lengths).count() == 4
+    equal = packing.pack(spark.range(200).selectExpr("100L AS length"), group_rows=20).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in equal)
+    assert len(equal) == 200 and len(groups) > 5 and max(groups.values()) < 60
     with pytest.raises(Exception, match="longer"):
         packing.pack(lengths.selectExpr("length + 1 AS length")).collect()

@@ -108,7 +108,7 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents")
     pieces = swap_packing.tokenize(docs, path, keep_ids=False)
-    return swap_packing.pack(written(pieces, "pieces"))
+    return swap_packing.pack(pieces)
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 ``tokenize`` turns texts into pieces of at most ``capacity`` ids; only longer documents are
 cut, the first piece taking what does not fill a whole one. ``pack`` deals the pieces by
-hash to groups of bounded size and packs each group alone: best fit in decreasing order,
+hash of their place to groups of bounded size and packs each group alone: best fit in decreasing order,
 then moves that carry documents from emptier to fuller bins (a move, one for one, two for
 one, one for two). Every move increases the sum of squared fills, so the search ends; it
 stops early at the group's lower bound.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import keyed_text, slabs
+from tracelake.llm.common import keyed_text, slabs, written
 
 CAPACITY = 2048
 #: Rows that are packed together; the waste is below one bin in as many.
@@ -299,10 +299,15 @@ def pack(
     capacity: int = CAPACITY,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """All columns of ``pieces`` with ``sequence_id`` and ``offset``; it is read twice."""
-    pieces = pieces.drop("sequence_id", "offset")
+    """All columns of ``pieces`` with ``sequence_id`` and ``offset``.
+
+    ``pieces`` is written once to the shared folder; rows are dealt by their place in that
+    table, so that equal rows spread over the groups and a repeated task deals them alike.
+    """
+    pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_rows))
-    dealt = pieces.withColumn(_GROUP, F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
+    place = F.xxhash64(F.monotonically_increasing_id())
+    dealt = pieces.withColumn(_GROUP, F.pmod(place, F.lit(groups)))
     schema = T.StructType(
         [
             *pieces.schema.fields,
