@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.storage import scratch_path
+from tracelake.storage import materialize as written  # noqa: F401
 
 #: Bytes of text that a vectorized kernel holds at once (one longer text is held whole).
 SLAB_BYTES = 1 << 20
@@ -19,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def hash_sample(df: DataFrame, rows: int, *key: str, of: int | None = None) -> DataFrame:
+    """The first ``rows`` rows in hash order of a unique key, or all if there are no more.
+
+    A cut at a hash value leaves little more than the sample before rows are ordered, so that
+    what tasks send does not grow with their number. ``of`` is the size of ``df`` if known.
+    """
+    hashed, total = F.xxhash64(*key), df.count() if of is None else of
+    share = min(1.0, (1.2 * rows + 1000) / max(total, 1))
+    near = df.filter(F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return near.orderBy(F.pmod(hashed, F.lit(1 << 30)), hashed, *key).limit(rows)
 
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import hash_sample
 from tracelake.storage import scratch_path
 
 #: Magic number of the skippable frame that holds a dictionary.
@@ -159,15 +160,10 @@ def plan_records(
 def sample_dictionary(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> bytes:
     """A dictionary from a bounded sample of the payloads, chosen by hash order."""
     text = F.col(f"`{payload_col}`")
-    rows = (
-        pages.filter(text.isNotNull())
-        .select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-        .select(F.xxhash64("id", "text").alias("order"), F.encode(F.substring("text", 1, SAMPLE_BYTES), "UTF-8").alias("head"))
-        .orderBy("order", "head")
-        .limit(SAMPLE_ROWS)
-        .collect()
-    )
-    return build_dictionary([bytes(r["head"])[:SAMPLE_BYTES] for r in rows])
+    head = F.encode(F.substring(text, 1, SAMPLE_BYTES), "UTF-8").alias("head")
+    rows = pages.filter(text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), head)
+    heads = hash_sample(rows, SAMPLE_ROWS, "id", of=pages.count()).collect()
+    return build_dictionary([bytes(r["head"])[:SAMPLE_BYTES] for r in heads])
 
 
 def write_archives(
