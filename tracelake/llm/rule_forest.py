@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import keyed_text, slabs
+from tracelake.llm.common import hash_sample, keyed_text, slabs
 from tracelake.llm.words import prefix_hashes, shingles, span_hash, word_spans
 
 _LETTER = np.zeros(256, bool)
@@ -262,8 +262,7 @@ def fit(
     Rows that the fixed rules fail neither grow trees nor count in the calibration.
     """
     passed = stats.filter(~F.col("base_failed") & F.col(id_col).isNotNull())
-    ranked = passed.orderBy(F.xxhash64(id_col), id_col, *COUNTS).limit(limits.sample_rows)
-    sample = ranked.select(*COUNTS).toPandas()
+    sample = hash_sample(passed, limits.sample_rows, id_col).select(*COUNTS).toPandas()
     if not len(sample):
         return {}
     columns = {c: sample[c].to_numpy() for c in COUNTS}
