@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import keyed_text, slabs, written
+from tracelake.llm.common import hash_sample, keyed_text, slabs, written
 from tracelake.llm.words import mix, per_text, prefix_hashes, span_hash, word_spans
 
 _U = np.uint64
@@ -210,7 +210,7 @@ def fit(
     if teaches is not None:
         known = known.filter(teaches)
     # The sample is bounded by a parameter, so it may be broadcast and no other text moves.
-    sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(limits.sample_rows)
+    sample = hash_sample(known, limits.sample_rows, "id", "label")
     rows = keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "id")
     taught = written(rows.select(F.col("id").cast("long").alias("id"), "label", "text"), "taught")
     sizes = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count("*").alias("n")).collect()}
