@@ -485,9 +485,9 @@ def batch_layout(spark, sf):
     return epochs.batch_layout(plan)
 
 
-def assembled_batches(spark, sf):
+def _assembled(spark, sf, max_steps=None):
     r, chunks = _events(spark, sf), _train_chunks(spark, sf)
-    plan = epochs.epoch_plan(chunks, epoch=0, world=3, batch=8, max_steps=12)
+    plan = epochs.epoch_plan(chunks, epoch=0, world=3, batch=8, max_steps=max_steps)
     placed = epochs.assemble_batches(plan, windows.training_windows(chunks, r.norm, r.jobs, CFG.window))
     return placed.select(
         "rank", "step", F.col("pos").cast("long").alias("pos"), "job_id", "chunk_idx",
@@ -496,6 +496,14 @@ def assembled_batches(spark, sf):
     )
 
 
+def assembled_batches(spark, sf):
+    return _assembled(spark, sf, max_steps=12)
+
+
+def assembled_epoch(spark, sf):
+    return _assembled(spark, sf)
+
+
 # ── Scoring and evaluation ──────────────────────────────────────────────────
 def windows_per_job(spark, sf):
     r = _events(spark, sf)
@@ -644,7 +652,7 @@ QUERIES = {
         required_columns, finite_jobs, split_random, split_stratified, split_coverage,
         stats_sample, norm_stats, normalized_traces, chunk_index, chunk_reindex,
         window_context, window_future, window_mask, window_cond, training_windows, epoch_plan,
-        batch_layout, assembled_batches,
+        batch_layout, assembled_batches, assembled_epoch,
         windows_per_job, score_plan, score_carry, score_linear, stratified_subsample,
         denormalized_power, trace_metrics, pearson_normalized, attach_pearson, eval_headline,
         best_jobs, worst_jobs, random_jobs, trace_export, trace_captions, masked_window_loss,
