@@ -98,3 +98,26 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, id int, weight int")
     assert got(caps.near_duplicates(df)) == plain(rows)
     assert caps.near_duplicates(df.limit(0)).count() == 0
+
+
+def pairs_at(cosine, n, dims):
+    x, z = np.random.default_rng(5).normal(size=(2, n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+def test_many_words_part_no_pairs(spark, monkeypatch):
+    """The words of nine million vectors, at which four codes part one pair in a hundred."""
+    monkeypatch.setattr(caps, "MIN_WORDS", 3_000)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate(pairs_at(0.9501, 600, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(caps.near_duplicates(df)) == plain(rows)
+
+
+@pytest.mark.parametrize("dims,words", [(1, 64), (2, 64), (3, 64), (4, 300), (16, 1000), (64, 64), (64, 1000)])
+def test_codes_keep_the_bound(dims, words):
+    codes, own = caps.code_plan(dims, words, 0.95)
+    assert caps.CODES <= codes <= caps.MAX_CODES and 1 <= own <= words
+    assert caps.parted(dims, own, 0.95) ** codes <= caps.MISSED

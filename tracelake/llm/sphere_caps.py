@@ -4,9 +4,11 @@ A code turns the space by a random rotation, splits it into ``BLOCKS`` parts and
 unit words in each; every combination of words, one per part, is a filter direction. A vector
 belongs to the caps of the ``CAPS`` directions closest to it, found without trying all
 combinations: among the words of each part in order, only those whose ranks multiply to at
-most ``CAPS`` can matter. Vectors join on filters, over several codes. At cosine 0.95 a pair
-shares 14 caps on average, and less than one in 100,000 shares none. The words per part grow
-with the root of the number of vectors, so caps hold about the same number at any size.
+most ``CAPS`` can matter. Vectors join on filters, over several codes. The words per part grow
+with the root of the number of vectors, so caps hold about the same number at any size. More
+words part more pairs: how often a code parts a pair at the threshold is simulated for the
+words and each length of vector, and there are as many codes as keep the share of such pairs
+that meet in no cap below ``MISSED``.
 
 Equal vectors count once, with their number. In every cap a sketch of sign bits tells which
 vectors may be close; those that it connects form families, in which the cosines of all pairs
@@ -34,11 +36,15 @@ from tracelake.llm.words import mix
 
 CODES, BLOCKS, CAPS = 4, 2, 8
 MIN_WORDS = 64
+#: Pairs at the threshold that may share no cap; codes beyond which a code has fewer words instead.
+MISSED, MAX_CODES = 1e-5, 16
+#: Pairs of which the share that a code parts is estimated.
+TRIALS = 2_048
 SKETCH_BITS = 256
 CAP_ROWS, FAMILY_ROWS = 2_048, 1_024
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=MAX_CODES)
 def product_code(number: int, dims: int, words: int):
     """Rotation, bounds of the parts, and the words of each part."""
     rng = np.random.default_rng([number, dims, words])
@@ -78,6 +84,30 @@ def list_decode(x: np.ndarray, number: int, words: int, caps: int = CAPS) -> np.
     return np.take_along_axis(name, best, 1)
 
 
+def parted(dims: int, words: int, cosine: float) -> float:
+    """Share of pairs at the cosine that meet in no cap of a code, three standard errors up."""
+    rng, none = np.random.default_rng([dims, words]), 0
+    for number in range(CODES):
+        x, z = rng.normal(size=(2, TRIALS // CODES, dims))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        z -= (z * x).sum(1)[:, None] * x
+        z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+        y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * z
+        a, b = (list_decode(v, number, words) for v in (x, y))
+        none += int((~(a[:, :, None] == b[:, None, :]).any((1, 2))).sum())
+    return min(1.0, (none + 3 * math.sqrt(none) + 3) / TRIALS)
+
+
+def code_plan(dims: int, words: int, cosine: float) -> tuple[int, int]:
+    """Codes and words of each part that keep the share of missed pairs below ``MISSED``."""
+    while True:
+        share = parted(dims, words, cosine)
+        codes = math.ceil(math.log(MISSED) / math.log(share)) if share < 1 else MAX_CODES + 1
+        if codes <= MAX_CODES or words == 1:
+            return min(max(CODES, codes), MAX_CODES), words
+        words = max(1, words // 2)
+
+
 @lru_cache(maxsize=8)
 def _planes(dims: int) -> np.ndarray:
     return np.random.default_rng([dims, SKETCH_BITS]).normal(size=(dims, SKETCH_BITS))
@@ -114,8 +144,8 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFr
     return rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
 
 
-def caps(vectors: DataFrame, words: int) -> DataFrame:
-    """``cap, id, sketch`` for every cap that holds a vector."""
+def caps(vectors: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
+    """``cap, id, sketch`` for every cap that holds a vector; codes and words by length."""
 
     def run(batches):
         for batch in batches:
@@ -124,7 +154,8 @@ def caps(vectors: DataFrame, words: int) -> DataFrame:
                 ids = np.asarray(part.column("id"))
                 for rows, x in by_length(part.column("vector")):
                     bits = pa.array([b.tobytes() for b in sketches(x)], pa.binary())
-                    for number in range(CODES):
+                    codes, words = plans[x.shape[1]]
+                    for number in range(codes):
                         found = list_decode(x, number, words)
                         salt = np.uint64(number * 65_537 + x.shape[1])
                         cap = mix(found.astype(np.uint64) + mix(np.full(1, salt, np.uint64)))
@@ -206,7 +237,8 @@ def near_duplicates(
     """``id_col, n_links, component_id, kept`` for every row; ids are integers."""
     single = written(distinct_vectors(vectors, id_col, vector_col), "vectors")
     words = max(MIN_WORDS, math.ceil(math.sqrt(single.count())))
-    held = written(caps(single, words), "caps")
+    lengths = [r["dims"] for r in single.select(F.size("vector").alias("dims")).distinct().collect()]
+    held = written(caps(single, {d: code_plan(d, words, cosine) for d in lengths}), "caps")
     shared = held.groupBy("cap").agg(F.count("*").alias("n")).filter("n > 1")
     near = connected(near_edges(blocks(held.join(shared, "cap"), "cap", CAP_ROWS), sketch_distance(cosine)))
     near = written(near.select("id", F.col("component").alias("family")), "families")
