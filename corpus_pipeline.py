@@ -37,7 +37,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near duplicates."""
     classes = minhash_hamming.near_duplicates(docs, percent=SIMILAR)
-    return docs.join(classes.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # An id that names several texts goes only if none of them stands for its class.
+    gone = classes.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept")
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

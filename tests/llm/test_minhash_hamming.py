@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from check import compare, database
 from tracelake.llm import components
 from tracelake.llm import minhash_hamming as mh
@@ -123,3 +124,19 @@ def test_odd_rows(spark, odd, empty):
         else:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
     assert mh.near_duplicates(empty).count() == 0
+
+
+def test_every_text_of_an_id_is_compared(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):  # id k names two texts, each with a near copy of its own
+        for copy in (1_000 + k, 2_000 + k):
+            base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+            rows += [(k, " ".join(base)), (copy, " ".join(base[:-1]))]
+    rows.append((-1, rows[2][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = mh.near_duplicates(df).collect()
+    want = sorted((d, len(plain_set(t)), -1 if n in (2, 3, 80) else rows[n // 2 * 2][0]) for n, (d, t) in enumerate(rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    kept = corpus_pipeline.near_duplicates(spark, df, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted([-1, *range(20), *range(20)])

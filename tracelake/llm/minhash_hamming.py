@@ -16,7 +16,8 @@ pairs: no bucket or family has to fit a task, and no two rows are linked unconfi
 
 Defined cases: a text without words has an empty set, size 0, and is linked with nothing; a null
 id links with nothing (null component, kept); rows that repeat an id and its text are returned
-each, in the same class; if an id names several texts, one of them is compared with others.
+each, in the same class; if an id names several texts, each is compared with all others and its
+row has the class of its own text.
 """
 
 from __future__ import annotations
@@ -55,6 +56,11 @@ def text_shingles(raw: np.ndarray, offsets: np.ndarray, words: int):
     return shingles(span_hash(prefix_hashes(raw, lower=True), start, end), first, words)
 
 
+def set_name(elements: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that tell sets of distinct hashes apart."""
+    return mix(elements).sum(), mix(elements ^ _ADD[0]).sum()
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS) -> DataFrame:
     """``id``, the set's 128-bit name and size, signature and sketch of every text."""
     rows = keyed_text(docs, id_col, text_col)
@@ -74,7 +80,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE
                     own = np.sort(hashes[bounds[k] : bounds[k + 1]])
                     if len(own):
                         own = own[np.append(True, own[1:] != own[:-1])]
-                    names[:, k] = mix(own).sum(), mix(own ^ _ADD[0]).sum(), len(own)
+                    names[:, k] = *set_name(own), len(own)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(begin, end - begin),
@@ -192,19 +198,23 @@ def linked(a: bytes, b: bytes, percent: int) -> bool:
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id, elements``: the sorted distinct shingle hashes of every text, packed."""
+    """``set_a, set_b, elements``: name and sorted distinct shingle hashes of every text's set, packed."""
 
     def run(batches):
         for batch in batches:
             for begin, end, raw, offsets in slabs(batch):
                 hashes, bounds = text_shingles(raw, offsets, words)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
+                sets = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
+                names = np.array([set_name(s) for s in sets], np.uint64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(begin, end - begin), pa.array(sets, pa.binary())],
-                    ["id", "elements"],
+                    [
+                        *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in names),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    ["set_a", "set_b", "elements"],
                 )
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, "id long, elements binary")
+    return keyed_text(docs, id_col, text_col).mapInArrow(run, "set_a long, set_b long, elements binary")
 
 
 def near_duplicates(
@@ -221,14 +231,13 @@ def near_duplicates(
     matches = sketch_matches(percent / 100)
     named = written(signatures(docs, id_col, text_col, words), "signatures")
     usable = named.filter("id IS NOT NULL AND n_shingles > 0")
-    # Equal sets are one class, known by its smallest id.
+    # Equal sets are one class, known by a number of its own, as an id may name several texts.
     classes = usable.groupBy("set_a", "set_b").agg(
-        F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
+        F.min("id").alias("doc"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
-    # An id may stand for one set only; the smallest name of a repeated id does.
-    classes = written(classes, "classes")
-    reps = classes.groupBy("id").agg(F.min_by(F.struct("signature", "sketch"), "set_a").alias("s"))
-    reps = written(reps.select("id", "s.signature", "s.sketch"), "representatives")
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("id", "signature", "sketch")
+    names = classes.select("id", "doc", "set_a", "set_b")
 
     keys = bucket_keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -236,15 +245,21 @@ def near_duplicates(
     near = connected(near_edges(blocks(members, "key", BUCKET_ROWS), matches))
 
     near = written(near.select("id", F.col("component").alias("family")), "families")
-    sets = full_sets(docs.join(near.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, words)
-    sets = sets.groupBy("id").agg(F.min("elements").alias("elements"))
+    wanted = near.join(names, "id")
+    sets = full_sets(docs.join(wanted.select(F.col("doc").alias(id_col)), id_col, "left_semi"), id_col, text_col, words)
+    sets = sets.groupBy("set_a", "set_b").agg(F.min("elements").alias("elements"))
+    sets = sets.join(wanted.select("id", "set_a", "set_b"), ["set_a", "set_b"]).select("id", "elements")
     sizes = near.groupBy("family").agg(F.count("*").alias("n"))
     family = near.join(sizes, "family").join(reps, "id").join(sets, "id").drop("signature")
     links = confirmed_edges(blocks(family, "family", FAMILY_ROWS), matches, percent)
     found = connected(links)
 
-    own = classes.select("set_a", "set_b", "id").join(found, "id", "left")
-    own = own.select("set_a", "set_b", F.coalesce("component", "id").alias("component"))
+    # A component is known by the smallest document id of its classes.
+    linked_docs = names.join(found, "id")
+    least = linked_docs.groupBy("component").agg(F.min("doc").alias("least"))
+    linked_docs = linked_docs.join(least, "component").select("id", "least")
+    own = names.join(linked_docs, "id", "left")
+    own = own.select("set_a", "set_b", F.coalesce("least", "doc").alias("component"))
     result = named.select("id", "set_a", "set_b", "n_shingles").join(own, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     result = result.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
