@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import (
     byte_bpe,
+    filter_audit,
     html_layout,
     maglev,
     minhash_hamming,
@@ -111,6 +112,11 @@ def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swap_packing.pack(pieces)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How five filters interact in every order, from a stream over the documents' files."""
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_sphere_caps": op1_sphere_caps,
     "op2_maglev": op2_maglev,
@@ -122,6 +128,7 @@ QUERIES = {
     "op8_toxicity_mil": op8_toxicity_mil,
     "op9_swap_packing": op9_swap_packing,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -237,4 +244,44 @@ ORACLE: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op11_filter_audit": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), d AS MATERIALIZED (
+            SELECT doc_id, part, [
+                       len(words) < 100,
+                       100 * len(list_distinct(words)) < 80 * len(words),
+                       100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+                       regexp_matches(t, '[#$%&*|]'),
+                       coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)
+                   ] AS fails,
+                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+                   doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+            FROM w
+        ), g AS (
+            SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+            FROM d GROUP BY ALL
+        ), o AS (
+            SELECT [a, b, c, d, e] AS o FROM range(1, 6) t(a), range(1, 6) t2(b), range(1, 6) t3(c), range(1, 6) t4(d),
+                   range(1, 6) t5(e) WHERE len(list_distinct([a, b, c, d, e])) = 5
+        ), s AS (
+            SELECT part, good, toxic, n, array_to_string(list_transform(o, lambda x: chr(64 + x::INT)), '') AS filter_order,
+                   step, o[step] AS own, fails[o[step]] AS failing,
+                   len(list_filter(o[:step - 1], lambda x: fails[x])) > 0 AS gone,
+                   len(list_filter(fails, lambda f: f)) = 1 AS alone
+            FROM g, o, range(1, 6) AS t(step)
+        ), r AS (
+            SELECT part, filter_order, step::INT AS step, own,
+                   coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (failing AND alone), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (failing AND NOT gone AND good), 0)::BIGINT AS good_lost,
+                   coalesce(sum(n) FILTER (failing AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+            FROM s GROUP BY part, filter_order, step, own
+        )
+        SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+    """,
 }
