@@ -12,6 +12,8 @@ from tracelake.llm import (
     html_layout,
     maglev,
     minhash_hamming,
+    prefix_trie,
+    rank_profiles,
     rule_forest,
     sphere_caps,
     suffix_buckets,
@@ -117,6 +119,24 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
+def op12_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by profiles of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    profiles = rank_profiles.learn(docs.filter(remainder != 1))
+    held_out = F.coalesce(remainder == 1, F.lit(False)).alias("held_out")
+    judged = docs.select("doc_id", held_out, rank_profiles.identify(F.col("text"), profiles).alias("judged"))
+    return judged.select("doc_id", "held_out", "judged.lang_pred", "judged.score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of conversations that share beginnings within groups of five."""
+    convs = written(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "sequences")
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefix_trie.trie(prefix_trie.graft(convs, base, head, most=8))
+
+
 QUERIES = {
     "op1_sphere_caps": op1_sphere_caps,
     "op2_maglev": op2_maglev,
@@ -129,6 +149,8 @@ QUERIES = {
     "op9_swap_packing": op9_swap_packing,
     "op10_tiktoken_bpe": op10_tiktoken_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op12_rank_profiles": op12_rank_profiles,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -284,4 +306,44 @@ ORACLE: dict[str, str] = {
         )
         SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
     """,
+    # CRC-32 bit by bit; a node is the list of its turns' SHA-256.
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE t AS (
+            SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+                   sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS MATERIALIZED (
+            SELECT conv_id, list({'d': d, 'size': size} ORDER BY turn NULLS FIRST, d) AS turns FROM t GROUP BY conv_id
+        ), h AS MATERIALIZED (
+            SELECT conv_id, xor(list_reduce(
+                [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                lambda crc, byte: list_reduce(
+                    [xor(crc, byte)] || list_transform(range(8), lambda k: k::BIGINT),
+                    lambda p, k: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END)
+            ), 4294967295) % 9 AS h FROM c
+        ), r AS MATERIALIZED (
+            SELECT c.conv_id, coalesce(b.turns, [])[:h] || c.turns[h + 1:] AS turns
+            FROM c JOIN h USING (conv_id) LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), m AS MATERIALIZED (
+            SELECT conv_id, depth, len(turns) = depth AS ends,
+                   list_transform(turns[:depth], lambda x: x.d) AS node, turns[depth].size AS size
+            FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM r)
+        ), n AS MATERIALIZED (
+            SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(size), 0) AS size,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+            FROM m GROUP BY node, depth
+        ), k AS MATERIALIZED (
+            SELECT n.node, n.depth, n.n_convs, n.size, count(child.node) AS n_children
+            FROM n LEFT JOIN n AS child ON child.depth = n.depth + 1 AND child.node[:n.depth] = n.node
+            GROUP BY ALL
+        ), u AS (
+            SELECT node[:up] AS node, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * size) AS saved
+            FROM (SELECT *, unnest(range(depth + 1)) AS up FROM k) GROUP BY ALL
+        )
+        SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+               k.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens,
+               sha256(n.ends) AS ends_sha256
+        FROM n JOIN k ON k.node = n.node JOIN u ON u.node = n.node
+        LEFT JOIN n AS p ON n.depth > 0 AND p.node = n.node[:n.depth - 1] AND p.depth = n.depth - 1
+    """,
 }
