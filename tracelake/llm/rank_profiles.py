@@ -47,7 +47,7 @@ class Limits:
     """N-grams of a language's profile, and the most frequent ones that are taken of a document."""
 
     profile: int = 1_000
-    document: int = 400
+    document: int = 1_000
 
 
 @dataclass(frozen=True)
