@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import keyed_text, slabs, written
 from tracelake.llm.components import Forest, blocks, connected, sides, sorted_runs
-from tracelake.llm.words import mix, per_text, prefix_hashes, shingles, span_hash, word_spans
+from tracelake.llm.words import eights, mix, name_spans, per_text, shingles, word_spans
 
 _U = np.uint64
 SHINGLE_WORDS = 5
@@ -53,7 +53,7 @@ def sketch_matches(threshold: float) -> int:
 def text_shingles(raw: np.ndarray, offsets: np.ndarray, words: int):
     """Shingle hashes of texts that lie end to end, and each text's first."""
     start, end, first = word_spans(raw, offsets)
-    return shingles(span_hash(prefix_hashes(raw, lower=True), start, end), first, words)
+    return shingles(name_spans(eights(raw, lower=True), start, end), first, words)
 
 
 def set_name(elements: np.ndarray) -> tuple[np.uint64, np.uint64]:

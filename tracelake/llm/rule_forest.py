@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import hash_sample, keyed_text, slabs
-from tracelake.llm.words import prefix_hashes, shingles, span_hash, word_spans
+from tracelake.llm.words import eights, name_spans, shingles, word_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -82,7 +82,7 @@ def count(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The ``COUNTS`` of texts that lie end to end."""
     n = len(offsets) - 1
     start, end, first = word_spans(raw, offsets)
-    prefix = prefix_hashes(raw)
+    eight = eights(raw)
 
     def tally(flags: np.ndarray) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
@@ -103,13 +103,13 @@ def count(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     worded = np.searchsorted(start, ends) > np.searchsorted(start, begins)
     begins, ends = begins[worded], ends[worded]
     line_text = np.searchsorted(offsets, begins, "right") - 1
-    line = span_hash(prefix, begins, ends)
+    line = name_spans(eight, begins, ends)
     order = np.lexsort((line, line_text))
     again = np.zeros(len(order), bool)
     again[1:] = (line[order][1:] == line[order][:-1]) & (line_text[order][1:] == line_text[order][:-1])
     dup_lines = np.bincount(line_text[order], again, n)
 
-    windows, bounds = shingles(span_hash(prefix, start, end), first, 3)
+    windows, bounds = shingles(name_spans(eight, start, end), first, 3)
     covered = np.zeros(len(start) + 1, np.int64)
     for k in np.flatnonzero(words >= 3).tolist():
         own = windows[bounds[k] : bounds[k + 1]]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import hash_sample, keyed_text, slabs, written
-from tracelake.llm.words import mix, per_text, prefix_hashes, span_hash, word_spans
+from tracelake.llm.words import eights, mix, name_spans, per_text, word_spans
 
 _U = np.uint64
 _LETTER = np.zeros(256, bool)
@@ -65,16 +65,16 @@ def sentence_features(raw: np.ndarray, offsets: np.ndarray):
     Returns ``(first word of each text, sentence of each word, hashes by kind, starts, ends)``.
     """
     start, end, first = word_spans(raw, offsets, _LETTER)
-    prefix = prefix_hashes(raw, lower=True)
+    eight = eights(raw, lower=True)
     stops = np.cumsum(_STOP[raw], dtype=np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     place = stops[start] if len(start) else np.zeros(0, np.int64)
     fresh = np.ones(len(start), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
-    kinds = [span_hash(prefix, start, end)]
+    kinds = [name_spans(eight, start, end)]
     for size in BEGINNINGS:
         short = np.minimum(end, start + size)
-        kinds.append(mix(span_hash(prefix, start, short) + _U(size)))
+        kinds.append(mix(name_spans(eight, start, short) + _U(size)))
     return first, np.cumsum(fresh) - 1, kinds, start, end
 
 
@@ -209,6 +209,8 @@ def fit(
     known = known.filter("id IS NOT NULL AND label IN (0, 1)")
     if teaches is not None:
         known = known.filter(teaches)
+    # Labels of absent documents teach nothing, so they take no place of the sample.
+    known = known.join(docs.select(F.col(f"`{id_col}`").alias("id")), "id", "left_semi")
     # The sample is bounded by a parameter, so it may be broadcast and no other text moves.
     sample = hash_sample(known, limits.sample_rows, "id", "label")
     rows = keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "id")

@@ -1,4 +1,8 @@
-"""Vectorized words and rolling hashes over many UTF-8 texts laid end to end."""
+"""Vectorized words and hashes over many UTF-8 texts laid end to end.
+
+``name_spans`` tells spans of any length apart. ``prefix_hashes`` and ``span_hash`` are a rolling hash:
+linear, so made for windows at every place and not for long spans, where texts built to that end agree.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,13 @@ BASE_INV = _U(pow(int(BASE), -1, 1 << 64))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_LOWER = _BYTE.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _GRAM = _random.integers(1, 1 << 63, 16, dtype=np.uint64) * _U(2) + _U(1)
+#: Masks of the first 0 .. 8 of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers = {BASE: np.ones(1, np.uint64), BASE_INV: np.ones(1, np.uint64)}
 
 
@@ -35,10 +41,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return p[:n]
 
 
-def prefix_hashes(raw: np.ndarray, lower: bool = False) -> np.ndarray:
+def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``span_hash`` derives the hash of any span."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[raw] * powers(BASE, len(raw)), out=out[1:])
+    np.cumsum(_BYTE[raw] * powers(BASE, len(raw)), out=out[1:])
     return out
 
 
@@ -47,6 +53,29 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(BASE_INV, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
+def eights(raw: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The eight bytes from every place as one number; zeros follow the last byte."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = _FOLD[raw] if lower else raw
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def name_spans(eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes ``start:end``, equal for equal bytes anywhere.
+
+    ``eight`` comes from ``eights``. Every eight bytes are mixed with their number in the span before they
+    are added up, so no pattern of bytes cancels out.
+    """
+    size = (end - start).astype(np.int64)
+    pieces = (size + 7) >> 3
+    bounds = np.concatenate([[0], np.cumsum(pieces)])
+    number = np.arange(bounds[-1]) - np.repeat(bounds[:-1], pieces)
+    left = np.repeat(size, pieces) - 8 * number
+    value = eight[np.repeat(start, pieces) + 8 * number] & _FIRST[np.minimum(left, 8)]
+    value = mix(value ^ mix(number.astype(np.uint64) * BASE + _U(1)))
+    return mix(per_text(np.add, value, bounds, 0) + mix(size.astype(np.uint64)))
+
+
 def word_spans(
     raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
