@@ -285,7 +285,8 @@ def repeated_spans(
     rows = written(segments(keyed, work.join(sizes, "gram"), min_bytes), "open")
     spans = settled.union(refined_in_tasks(rows.filter("NOT large"), min_bytes))
     spans = spans.union(refined_by_shuffle(rows.filter("large"), min_bytes))
-    return spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    # Repeated rows of one id and text have the same spans.
+    return spans.distinct().groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def cut(text: Column, spans: Column) -> Column:
