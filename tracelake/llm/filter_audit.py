@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracelake.llm.common import written
+from tracelake.llm.common import partitions, written
 from tracelake.storage import scratch_path
 
 FILTERS = "ABCDE"
@@ -42,8 +42,12 @@ TEXTS = 1_000
 #: Keys without an id are spread over so many tasks in the join with labels.
 LANES = 64
 
-#: States lie on the executors' disks, with snapshots in the stream's folder.
+#: Bytes of state per row of the documents, about, and those that a partition's store on disk reserves for
+#: itself: states beyond that lie on the executors' disks, smaller ones in memory. Both have their snapshots in
+#: the stream's folder.
+STATE_BYTES, RESERVED = 64, 4 << 20
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STORES = "org.apache.spark.sql.execution.streaming.state."
 _DELTA = "part string, mask int, flags int, n long"
 _SUMS = "digest binary, part string, mask int, flags int, rows long, known boolean, id long, rows_at_id long"
 _ROWS = ["digest", "part", "mask", "flags", "rows", "known", "id", "rows_at_id"]
@@ -218,8 +222,9 @@ def audit(
 
     buckets = _buckets(spark, folder, max(1, -(-size["rows"] // TEXTS)))
     spark.createDataFrame([], _DELTA).write.mode("overwrite").parquet(f"{folder}/counters/batch=-1")
-    provider = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider, large = spark.conf.get(_PROVIDER), size["rows"] * STATE_BYTES > partitions(flags) * RESERVED
+    # A stream that goes on keeps the kind of store it began with.
+    spark.conf.set(_PROVIDER, _STORES + ("RocksDBStateStoreProvider" if large else "HDFSBackedStateStoreProvider"))
     try:
         query = (
             changes(stream, flags, buckets, id_col, text_col, part_col)
