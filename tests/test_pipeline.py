@@ -113,3 +113,40 @@ def test_finished_input_is_not_opened_and_bounds_may_widen(spark, tmp_path):
     assert pipeline.load_traces(spark, out).select("job_id").distinct().count() == 5
     assert pipeline.load_index(spark, out, wide).count() == 5
     assert pipeline.load_index(spark, out, CFG).count() == 4
+
+
+def test_damaged_output_is_made_again(spark, tmp_path):
+    """Only jobs with rows in the damaged file are redone, and no row is doubled."""
+    rng = random.Random(4)
+    source, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    for group in (range(3), range(3, 6)):
+        for j in group:
+            write_job(tmp_path, str(j), rng)
+        pipeline.build_traces(spark, source, out, CFG)
+    before = sorted(map(tuple, pipeline.load_traces(spark, out).collect()))
+    assert pipeline.build_traces(spark, source, out, CFG).count() == 0
+
+    first = sorted((tmp_path / "out" / "traces").glob("run=*"))[0]
+    broken = max(first.glob("*.parquet"), key=lambda f: f.stat().st_size)
+    hurt = {r["job_id"] for r in spark.read.parquet(str(broken)).select("job_id").distinct().collect()}
+    broken.write_bytes(broken.read_bytes()[:-8])
+    assert {r["job_id"] for r in pipeline.damaged_outputs(spark, out).collect()} == hurt
+    redone = pipeline.build_traces(spark, source, out, CFG)
+    assert {(r["job_id"], r["status"]) for r in redone.collect()} == {(j, "ok") for j in hurt}
+    assert sorted(map(tuple, pipeline.load_traces(spark, out).collect())) == before
+    assert pipeline.build_traces(spark, source, out, CFG).count() == 0
+    assert pipeline.damaged_outputs(spark, out).count() == 0
+
+
+def test_unreadable_file_is_an_unusable_node(spark, tmp_path):
+    """A node whose file lacks a column below its head counts against its job's share of nodes."""
+    rng = random.Random(5)
+    for j in range(3):
+        write_job(tmp_path, str(j), rng)
+    (tmp_path / "raw" / "d1" / "1-b.csv").write_text("")
+    (tmp_path / "raw" / "d2" / "2-b.csv").write_text(HEADER.replace("power", "other") + "\n1,2,3,4,5\n")
+    out = str(tmp_path / "out")
+    got = {r["job_id"]: r["detail"] for r in pipeline.build_traces(spark, str(tmp_path / "raw"), out, CFG).collect()}
+    assert got == {"0": "", "1": "low_node_ratio:1/2", "2": "low_node_ratio:1/2"}
+    # Jobs that the heads reject are not read.
+    assert {r["job_id"] for r in pipeline.load_files(spark, out).collect()} == {"0"}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelake.config import SOURCE_METRICS
 from tracelake.operators import coverage, progress
-from tracelake.sources import tables, telemetry
+from tracelake.sources import files, tables, telemetry
 
 HEADER = "extra,power_draw_W,timestamp,utilization_gpu_pct,utilization_memory_pct,memory_used_MiB"
 
@@ -59,8 +59,90 @@ def test_files_that_differ_or_cannot_be_read(spark, csv_root, tmp_path):
     assert before <= rows
     listed = {r["node_id"] for r in telemetry.list_nodes(spark, csv_root).collect()}
     assert {"d3/lacking", "d3/empty", "d3/bytes"} <= listed
-    some = [r["path"] for r in telemetry.list_nodes(spark, csv_root).filter("job_id = '10'").collect()]
-    assert {r["node_id"] for r in telemetry.scan_telemetry(spark, some).collect()} == {"d1/nodeA", "d3/nodeA"}
+    some = telemetry.list_nodes(spark, csv_root).filter("job_id = '10'")
+    assert {r["node_id"] for r in telemetry.ingest(some).samples.collect()} == {"d1/nodeA", "d3/nodeA"}
+
+
+def states(status):
+    return {(r["job_id"], r["node_id"]): (r["status"], r["n_rows"]) for r in status.collect()}
+
+
+def test_state_of_every_file(spark, csv_root, tmp_path):
+    """One read for any number of headers; a file that fails midway has a state and no row."""
+    names = HEADER.split(",")[1:]
+    (tmp_path / "d3").mkdir()
+    for k in range(40):  # every file has a header of its own
+        (tmp_path / "d3" / f"3{k:02d}-n.csv").write_text(",".join([f"x{k}", *names]) + f"\nx,{k},1.0,2,3,4\n")
+    (tmp_path / "d3" / "20-lacking.csv").write_text(",".join(names[1:]) + "\n7.0,1,2,3\n")
+    (tmp_path / "d3" / "21-empty.csv").write_text("")
+    (tmp_path / "d3" / "22-short.csv").write_text(HEADER + '\nx,1\n"q\nr",2,3.0,4,5,6,7,8\n')
+    nodes = telemetry.list_nodes(spark, csv_root)
+    lost = spark.createDataFrame([("23", "d3/gone", f"{csv_root}/d3/23-gone.csv", 9), ("24", "d3/dir", f"{csv_root}/d3", 9)], nodes.schema)
+    got = telemetry.ingest(nodes.union(lost))
+    seen = states(got.status)
+    assert {k: v for k, v in seen.items() if k[0] < "300"} == {
+        ("10", "d1/nodeA"): ("ok", 3), ("10", "d1/node-b"): ("ok", 0), ("11", "d2/n"): ("ok", 1),
+        ("20", "d3/lacking"): ("missing columns", 0), ("21", "d3/empty"): ("empty", 0), ("22", "d3/short"): ("ok", 2),
+        ("23", "d3/gone"): ("unreadable", 0), ("24", "d3/dir"): ("unreadable", 0),
+    }
+    assert sum(v == ("ok", 1) for v in seen.values()) == 41
+    rows = {(r["job_id"], r["power_draw_W"], r["timestamp"], r["memory_used_MiB"]) for r in got.samples.collect()}
+    assert {("22", "1", None, None), ("22", "2", "3.0", "6"), ("307", "7", "1.0", "4")} <= rows
+    assert not {r[0] for r in rows} & {"20", "21", "23", "24"}
+
+
+def test_read_that_fails_midway(spark, tmp_path):
+    """Spark checks local checksums, so a file that was changed behind them fails after good rows."""
+    schema = "job_id string, node_id string, seq long, timestamp double, " + ", ".join(f"{c} double" for c in SOURCE_METRICS)
+    df = spark.createDataFrame([(str(j), "a", i, float(i), 1.0, 2.0, 3.0, float(i)) for j in (1, 2) for i in range(20_000)], schema)
+    path = str(tmp_path / "out")
+    telemetry.write_telemetry(df, path)
+    file = max((tmp_path / "out" / "unit=1-a").glob("*.csv"), key=lambda f: f.stat().st_size)
+    content = bytearray(file.read_bytes())
+    content[-9] ^= 1
+    file.write_bytes(content)
+    got = telemetry.ingest(telemetry.list_nodes(spark, path, "folder"), through_spark=True)
+    seen = {(r["job_id"], r["path"].split("/")[-1]): r["status"] for r in got.status.collect()}
+    assert [k for k, v in seen.items() if v != "ok"] == [("1", file.name)] and seen["1", file.name] == "unreadable"
+    assert [tuple(r) for r in got.samples.groupBy("job_id").count().collect()] == [("2", 20_000)]
+
+
+def test_node_of_several_files_needs_all(spark, tmp_path):
+    for unit, part, text in (("5-a", 0, "good"), ("5-a", 1, ""), ("6-a", 0, "good"), ("6-a", 1, "good")):
+        folder = tmp_path / f"unit={unit}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"part-{part}.csv").write_text(HEADER + "\nx,1,2,3,4,5\n" if text else "")
+    got = telemetry.scan_telemetry(spark, str(tmp_path), "folder").collect()
+    assert [r["job_id"] for r in got] == ["6", "6"]
+
+
+def test_probe_reads_heads_only(tmp_path):
+    """The pieces that a probe takes do not depend on the length of the file."""
+    taken = []
+    for n in (3_000, 90_000):
+        path = tmp_path / f"{n}.csv"
+        path.write_text(HEADER + "\n" + "".join(f'"a\n{k}",1,{k}.5,2,3,4\n' for k in range(n)))
+        pieces = files.read_pieces(str(path), 1_000)
+        counted = []
+        status, columns = telemetry.parse_head((counted.append(p) or p for p in pieces), 20)
+        assert status == "ok" and columns[0].to_pylist() == [f"{k}.5" for k in range(20)]
+        taken.append(sum(map(len, counted)))
+    assert taken[0] == taken[1] <= 2_000
+    for text, want in (("", ("empty", 0)), ("a,b\n1,2\n" * 50, ("missing columns", 0)), (HEADER, ("ok", 0)), (HEADER + "\nx,1,2,3,4,5", ("ok", 1))):
+        status, columns = telemetry.parse_head(iter([text.encode()] if text else []), 20)
+        assert (status, len(columns[0]) if columns else 0) == want
+
+
+def test_outputs_are_checked_by_their_footers(spark, tmp_path):
+    path = str(tmp_path / "t" / "run=1")
+    spark.range(1_000, numPartitions=3).write.parquet(path)
+    broken, *rest = sorted((tmp_path / "t" / "run=1").glob("*.parquet"))
+    broken.write_bytes(broken.read_bytes()[:-20])
+    listing = files.list_one_below(spark, str(tmp_path / "t")).filter("path LIKE '%.parquet'")
+    rows = {r["path"]: r["rows"] for r in files.parquet_footers(listing).collect()}
+    assert rows.pop(str(broken)) is None and sum(rows.values()) == 667
+    assert {os.path.basename(r["path"]) for r in files.list_tree(spark, str(tmp_path)).collect()} == {broken.name, *(f.name for f in rest)}
+    assert files.delete_files(listing.filter(F.col("path") == str(broken))) == 1 and not broken.exists()
 
 
 def test_folder_layout_keeps_order(spark, tmp_path):
@@ -93,8 +175,8 @@ def test_trace_table_and_manifest(spark, tmp_path):
     path = str(tmp_path / "traces")
     tables.write_traces(df, path)
     assert sorted(map(tuple, tables.read_traces(spark, path).collect())) == sorted(map(tuple, df.collect()))
-    files = telemetry.list_files(spark, path, "*.parquet").collect()
-    assert files and all(r["bytes"] == os.path.getsize(r["key"].replace("file:", "")) for r in files)
+    listed = telemetry.list_files(spark, path, "*.parquet").collect()
+    assert listed and all(r["bytes"] == os.path.getsize(r["key"].replace("file:", "")) for r in listed)
     with pytest.raises(Exception, match="already exists"):
         tables.write_traces(df, path)
 

@@ -69,6 +69,17 @@ def node_facts(
     return facts.withColumn("usable", usable)
 
 
+def readable_nodes(facts: DataFrame, status: DataFrame) -> DataFrame:
+    """The node facts after the files were read: a node with a file that is not ``ok`` is unusable.
+
+    ``status`` has the state and the number of samples of every file that was read to its end; nodes
+    without a row there were not read and stay as they are.
+    """
+    read = status.groupBy(*NODE).agg((F.count_if(F.col("status") != "ok") == 0).alias("_whole"))
+    usable = F.col("usable") & F.coalesce("_whole", F.lit(True))
+    return facts.join(read, list(NODE), "left").withColumn("usable", usable).drop("_whole")
+
+
 def job_gate(facts: DataFrame, cfg: ResampleConfig) -> DataFrame:
     """One row per job: counts, common origin ``t0`` and the rejection reason or NULL.
 

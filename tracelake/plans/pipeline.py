@@ -10,6 +10,7 @@ stage can be repeated, also after jobs have been added.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from dataclasses import replace
 
@@ -31,15 +32,18 @@ from tracelake.operators import (
 )
 from tracelake.operators.resample import resample_traces
 from tracelake.schemas import TRACES, require_columns
-from tracelake.sources import tables, telemetry
+from tracelake.sources import files, tables, telemetry
 from tracelake.storage import materialize
 
 FACTS = (
     "job_id string, nodes_total long, nodes_used long, t0 double, k_max long, reason string, "
     "resampled boolean"
 )
-# Files that one round of the resampling lists on the driver and reads.
-BATCH_FILES = 10_000
+OUTCOMES = "job_id string, status string, detail string"
+# Which of a run's trace files holds rows of which job.
+MANIFEST = "job_id string, file string, bytes long"
+# Files that one round of the resampling reads; a run that dies repeats one round.
+BATCH_FILES = 100_000
 SYNTH = "job_id string, k long, real_z double, gen_z double"
 SCORED = "job_id string, error string"
 NORMALIZED = "job_id string, k long, z0 float, z1 float, z2 float, z3 float"
@@ -63,68 +67,119 @@ def _completed(rows: DataFrame, records: DataFrame) -> DataFrame:
 def load_facts(spark: SparkSession, out: str) -> DataFrame:
     """The facts of each finished job, by its last run that has them."""
     facts = _stored(spark, f"{out}/facts", FACTS)
-    last = facts.groupBy("job_id").agg(F.max_by(F.struct(*facts.columns), "resampled").alias("f"))
+    last = facts.groupBy("job_id").agg(F.max_by(F.struct(*facts.columns), F.struct("resampled", "run")).alias("f"))
     return last.select("f.*").drop("run")
 
 
 def load_traces(spark: SparkSession, out: str) -> DataFrame:
-    records = _stored(spark, f"{out}/facts", FACTS)
-    return _completed(_stored(spark, f"{out}/traces", T.StructType(list(TRACES))), records)
+    """Traces of completed runs; of a job that was resampled again only those of its last run."""
+    records = _stored(spark, f"{out}/facts", FACTS).filter("resampled").select("job_id", "run")
+    runs = [r["run"] for r in records.select("run").distinct().collect()]
+    rows = _stored(spark, f"{out}/traces", T.StructType(list(TRACES))).filter(F.col("run").isin(runs))
+    last = records.groupBy("job_id").agg(F.max("run").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    stale = records.join(last, "job_id").filter("run <> last").select("job_id", "run")
+    return rows.join(stale, ["job_id", "run"], "left_anti").drop("run")
 
 
 def pending_nodes(spark: SparkSession, source: str, out: str, cfg: PipelineConfig) -> DataFrame:
-    """``(job_id, node_id, path)`` of the files of jobs that are not finished.
+    """``(job_id, node_id, path, bytes)`` of the files of jobs that are not finished.
 
-    A job is finished when its traces are stored, or when its facts are and its duration lies
-    outside the bounds; wider bounds make such a job pending again.
+    A job is finished when its traces are stored and can be read, or when its facts are and its
+    duration lies outside the bounds; wider bounds make such a job pending again.
     """
     facts, bounds = load_facts(spark, out), cfg.resample
     inside = F.round(F.col("k_max") * F.lit(bounds.dt), 3).between(bounds.lower_sec, bounds.upper_sec)
     done = facts.filter(F.col("resampled") | ~inside).select("job_id")
+    done = done.join(damaged_outputs(spark, out).select("job_id"), "job_id", "left_anti")
     return telemetry.list_nodes(spark, source).join(done, "job_id", "left_anti")
 
 
+def damaged_outputs(spark: SparkSession, out: str) -> DataFrame:
+    """``(job_id, path, there)`` of finished jobs with a trace file that is gone or unreadable.
+
+    Tasks list the trace folder and read the footers. A file counts as damaged if it is missing, has
+    another size than when it was written, or no readable footer.
+    """
+    manifest = _stored(spark, f"{out}/manifest", MANIFEST)
+    if not files.direct(out) or not tables.exists(spark, f"{out}/manifest"):
+        return manifest.select("job_id", F.col("file").alias("path"), F.lit(False).alias("there"))
+    last = manifest.groupBy("job_id").agg(F.max("run").alias("run"))
+    wanted = manifest.join(last, ["job_id", "run"])
+    name = F.concat_ws("/", F.substring_index(F.substring_index("path", "/", -2), "/", 1), F.substring_index("path", "/", -1))
+    found = files.parquet_footers(files.list_one_below(spark, f"{out}/traces").filter(F.col("path").endswith(".parquet")))
+    found = found.select("path", name.alias("name"), F.col("bytes").alias("found"), "rows")
+    wanted = wanted.withColumn("name", F.concat(F.lit("run="), "run", F.lit("/"), "file"))
+    checked = wanted.join(found, "name", "left")
+    bad = F.col("rows").isNull() | (F.col("bytes") != F.col("found"))
+    return checked.filter(bad).select("job_id", F.coalesce("path", "name").alias("path"), F.col("path").isNotNull().alias("there"))
+
+
+def repair_outputs(spark: SparkSession, out: str) -> int:
+    """Remove damaged trace files, so that tables can be read; their jobs are pending. Returns their number."""
+    broken = damaged_outputs(spark, out).filter("there").select("path").distinct()
+    return files.delete_files(broken)
+
+
 def build_traces(
     spark: SparkSession, source: str, out: str, cfg: PipelineConfig, batch_files: int = BATCH_FILES
 ) -> DataFrame:
     """Resample the jobs of the CSV folder that are not finished; returns their outcomes.
 
-    The files of pending jobs are read in rounds of about ``batch_files``; files of finished
-    jobs are listed but not opened. Only jobs within the duration bounds are resampled, the
-    facts of the others are kept. Failed jobs are tried again by the next run.
+    Pending jobs are done in rounds of about ``batch_files`` files, none of which is listed on the
+    driver; files of finished jobs are listed but not opened. Of every file only the first rows are
+    read at first; files are read to their end where the job can still pass. Only jobs within the
+    duration bounds are resampled, the facts of the others are kept. Failed jobs are tried again by
+    the next run, as are jobs whose stored traces have become unreadable. The state of every file
+    that was read whole is stored in ``files``.
     """
     todo = materialize(pending_nodes(spark, source, out, cfg), "pending")
+    repair_outputs(spark, out)
     rounds = -(-todo.count() // batch_files)
     todo = todo.withColumn("round", F.pmod(F.xxhash64("job_id"), F.lit(max(rounds, 1))))
-    outcomes = None
+    call = f"{out}/outcomes/{_new_run()}"
     for k in range(rounds):
-        nodes = todo.filter(F.col("round") == k)
-        files = sorted(r["path"] for r in nodes.select("path").collect())
-        if files:
-            own = _build_round(spark, files, nodes, out, cfg)
-            outcomes = own if outcomes is None else outcomes.unionByName(own)
-    if outcomes is None:
-        return spark.createDataFrame([], "job_id string, status string, detail string")
-    return outcomes
+        nodes = todo.filter(F.col("round") == k).drop("round")
+        if not nodes.isEmpty():
+            tables.write_table(_build_round(spark, nodes, source, out, cfg), f"{call}/round={k}")
+    return _stored(spark, call, OUTCOMES).select("job_id", "status", "detail")
+
+
+def _new_run() -> str:
+    """Names of runs grow with the time of their start."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
 
 
 def _build_round(
-    spark: SparkSession, files: list[str], nodes: DataFrame, out: str, cfg: PipelineConfig
+    spark: SparkSession, nodes: DataFrame, source: str, out: str, cfg: PipelineConfig
 ) -> DataFrame:
-    samples = coverage.parse_metrics(telemetry.scan_telemetry(spark, files))
+    through_spark, bounds = not files.direct(source), cfg.resample
+    heads = coverage.parse_metrics(telemetry.probe(nodes, bounds.probe_rows, through_spark))
     # Only the nodes to do get facts, and samples are joined with those.
-    per_node = materialize(coverage.node_facts(samples, cfg.resample, nodes), "node-facts")
-    facts = materialize(coverage.trace_facts(samples, cfg.resample, per_node), "trace-facts")
-    index = coverage.trace_index(facts, cfg.resample).select("job_id", F.lit(True).alias("resampled"))
-    run = uuid.uuid4().hex
-    traces = resample_traces(samples, cfg.resample, only_jobs=index, facts=per_node)
+    probed = materialize(coverage.node_facts(heads, bounds, nodes), "node-probes")
+    kept = coverage.kept_nodes(probed, coverage.job_gate(probed, bounds)).select(*coverage.NODE)
+    read = telemetry.ingest(nodes.join(kept, list(coverage.NODE)), through_spark)
+    per_node = materialize(coverage.readable_nodes(probed, read.status), "node-facts")
+    samples = coverage.parse_metrics(read.samples)
+    facts = materialize(coverage.trace_facts(samples, bounds, per_node), "trace-facts")
+    index = coverage.trace_index(facts, bounds).select("job_id", F.lit(True).alias("resampled"))
+    run = _new_run()
+    traces = resample_traces(samples, bounds, only_jobs=index, facts=per_node)
     tables.write_traces(traces, f"{out}/traces/run={run}")
+    written = spark.read.schema(TRACES).parquet(f"{out}/traces/run={run}")
+    places = written.select("job_id", "_metadata.file_name", "_metadata.file_size").distinct()
+    tables.write_table(places.toDF("job_id", "file", "bytes"), f"{out}/manifest/run={run}")
+    tables.write_table(read.status, f"{out}/files/run={run}")
     finished = facts.filter(F.col("reason").isNull()).join(index, "job_id", "left")
     finished = finished.withColumn("resampled", F.coalesce("resampled", F.lit(False)))
     tables.write_table(finished, f"{out}/facts/run={run}")
     return coverage.job_outcomes(facts)
 
 
+def load_files(spark: SparkSession, out: str) -> DataFrame:
+    """State of every telemetry file that was read whole, by run."""
+    return _stored(spark, f"{out}/files", "job_id string, node_id string, path string, status string, n_rows long")
+
+
 def load_index(spark: SparkSession, out: str, cfg: PipelineConfig) -> DataFrame:
     return coverage.trace_index(load_facts(spark, out), cfg.resample, f"{out}/traces")
 
@@ -190,7 +245,7 @@ def _normalize_jobs(
     todo = materialize(jobs.select("job_id").join(done, "job_id", "left_anti"), "to-normalize")
     if todo.isEmpty():
         return
-    run = uuid.uuid4().hex
+    run = _new_run()
     kept = traces.join(todo, "job_id", "left_semi")
     stats = load_stats(spark, out)
     tables.write_table(normalize.normalize(kept, stats, cfg.norm), f"{path}/rows/run={run}")
@@ -250,7 +305,7 @@ def evaluate_jobs(
             scoring.score_jobs(norm, plan, windows.conditioning(todo), predictor, cfg.window),
             "scored",
         )
-        run = uuid.uuid4().hex
+        run = _new_run()
         tables.write_table(scoring.unpack_scores(scored), f"{out}/synth/run={run}")
         outcome = scored.groupBy("job_id").agg(F.max("error").alias("error"))
         tables.write_table(outcome, f"{out}/scored/run={run}")

@@ -63,14 +63,17 @@ def _digits(values: Column) -> Column:
 
 # ── Sources, sinks, progress ────────────────────────────────────────────────
 def csv_ingest(spark, sf):
-    # Some units have their columns in another order beside one more, some lack a column.
+    # Some units have their columns in another order beside one more. Beside all units lie damaged copies of
+    # some, without a column, and a file without a line.
     path, rows = storage.scratch_path(spark, "csv"), bindings.telemetry(spark, sf)
     names, number = schemas.TELEMETRY_CSV.fieldNames(), F.col("job_id").cast("long")
-    lacking = number % 7 == 3
-    turned = ~lacking & (number % 5 == 0)
-    telemetry.write_telemetry(rows.filter(~lacking & ~turned), path)
+    turned = number % 5 == 0
+    telemetry.write_telemetry(rows.filter(~turned), path)
     telemetry.write_telemetry(rows.withColumn("more", F.lit("x,y")).filter(turned), path, ["more", *names[::-1]])
-    telemetry.write_telemetry(rows.filter(lacking), path, names[:-1])
+    copies = rows.filter(number % 50 == 3).withColumn("job_id", F.concat(F.lit("9000"), "job_id"))
+    telemetry.write_telemetry(copies, path, names[:-1])
+    empty = spark.createDataFrame([("90009-empty", None)], "unit string, value string").coalesce(1)
+    empty.write.mode("append").partitionBy("unit").option("emptyValue", "").csv(path)
     parsed = coverage.parse_metrics(telemetry.scan_telemetry(spark, path, layout="folder"))
     pos = F.row_number().over(Window.partitionBy(*coverage.NODE).orderBy("seq"))
     return _rounded(

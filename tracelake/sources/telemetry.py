@@ -1,21 +1,38 @@
-"""Raw telemetry CSV files, one per job and node."""
+"""Raw telemetry CSV files, one per job and node.
+
+Every file is a row, read by one task: its columns are chosen by its own header, so files of any
+number of layouts take one pass. A file is parsed to its end before a row of it is given away, so a
+file that cannot be read to its end, has no header or lacks a column gives a status and no row.
+"""
 
 from __future__ import annotations
 
 import csv
-import re
-from urllib.parse import unquote
+import io
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import csv as arrow_csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tracelake import storage
 from tracelake.schemas import TELEMETRY_CSV
-from tracelake.storage import materialize
+from tracelake.sources import files as stored
+
+COLUMNS = TELEMETRY_CSV.fieldNames()
+#: Bytes of files that one task reads, about, and those that a probe reads at a time.
+TASK_BYTES, PROBE_BYTES = 256 << 20, 16 << 10
+#: States of a file.
+OK, UNREADABLE, EMPTY, LACKING = "ok", "unreadable", "empty", "missing columns"
 
-#: Distinct header lines that one scan accepts; each is read by a scan of its own.
-MAX_LAYOUTS = 1000
+_SEQ = "struct<file:string,row:bigint>"
+_TEXTS = ", ".join(f"{c} string" for c in COLUMNS)
+_FILE = "job_id string, node_id string, path string, bytes long"
+#: A file's samples have a row number; its one row without has its state and the number of samples.
+_ROW = f"job_id string, node_id string, path string, row long, status string, n_rows long, {_TEXTS}"
 
 
 def _unit(layout: str, path: Column) -> Column:
@@ -29,7 +46,7 @@ def _unit(layout: str, path: Column) -> Column:
 
 def _with_keys(df: DataFrame, layout: str, path: Column) -> DataFrame:
     """Add ``job_id`` (digits before the first dash) and ``node_id`` (the rest); rows
-    whose unit has another form are dropped. Plain string functions: this runs per sample.
+    whose unit has another form are dropped.
 
     Where a node is a file, its folder is part of ``node_id``: two files of one name in two
     folders are two nodes.
@@ -47,103 +64,197 @@ def _with_keys(df: DataFrame, layout: str, path: Column) -> DataFrame:
     return keyed.filter((F.col("job_id") != "") & digits_only)
 
 
-def _headers(spark: SparkSession, files: str | list[str]) -> DataFrame:
-    """``(path, line)``: the first line of every file that has one."""
-    lines = spark.read.option("ignoreCorruptFiles", True).text(files)
-    first = lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        "value",
-    ).filter((F.col("block") == 0) & (F.trim("value") != ""))
-    return first.groupBy("path").agg(F.min_by("value", "row").alias("line"))
+def list_nodes(spark: SparkSession, path: str, layout: str = "file") -> DataFrame:
+    """``(job_id, node_id, path, bytes)`` of every matching file, empty ones included.
 
+    ``path`` is a folder whose files lie exactly one folder below it. Tasks list the folders; no
+    content is read and no list passes the driver. With ``layout="folder"`` the job-node pair is the
+    folder's name (``unit=<pair>`` works), and a node has several rows.
+    """
+    if stored.direct(path):
+        found = stored.list_one_below(spark, path)
+    else:
+        # Spark's scans leave out files of no bytes, its listing does not.
+        names = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*.csv").inputFiles()
+        found = spark.createDataFrame(pd.DataFrame({"path": names}, dtype=str), "path string")
+        found = found.withColumn("bytes", F.lit(None).cast("long"))
+    found = found.filter(F.col("path").endswith(".csv"))
+    return _with_keys(found, layout, F.col("path")).select("job_id", "node_id", "path", "bytes")
 
-def _literal(path: str) -> str:
-    """A listed path as one that a reader takes as it is, without patterns."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
+def header_of(line: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([line.lstrip("﻿").rstrip("\r\n")]), [])]
 
-def scan_telemetry(
-    spark: SparkSession, path: str | list[str], layout: str = "file", header: list[str] | None = None
-) -> DataFrame:
-    """Text telemetry with ``job_id``, ``node_id`` and the in-file order ``seq``.
 
-    ``path`` is a folder whose files lie exactly one folder below it, or a list of files.
-    Names that are no job-node pair are ignored. With ``layout="folder"`` the pair is the
-    folder's name (``unit=<pair>`` works) and its files follow each other in name order.
+def _plain_rows(text: str, places: list[int]) -> list[list[str | None]]:
+    """The wanted columns of rows of any length; what a row lacks is null."""
+    rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+    return [[(r[k] or None) if k < len(r) else None for r in rows] for k in places]
 
-    Columns are chosen by name for each file. Files of the same header line are read
-    together; a file without all columns, without a header or that cannot be read gives
-    no rows and harms no other file. ``header`` states the one header line of all files and
-    spares the pass that collects them. ``seq`` keeps a file split over several tasks in
-    order.
-    """
-    files = [_literal(p) for p in path] if isinstance(path, list) else f"{path.rstrip('/')}/*/*.csv"
-    wanted = TELEMETRY_CSV.fieldNames()
-    if header is not None:
-        missing = [c for c in wanted if c not in header]
-        if missing:
-            raise KeyError(f"missing columns: {missing}")
-        return _scan_layout(spark, files, header, layout)
-    heads = materialize(_headers(spark, files), "headers")
-    lines = [r["line"] for r in heads.select("line").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if len(lines) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
-    names = {line: [c.strip() for c in next(csv.reader([line.lstrip("\ufeff")]))] for line in sorted(lines)}
-    parts = []
-    for line, columns in names.items():
-        if all(c in columns for c in wanted):
-            own = heads.filter(F.col("line") == line).select("path") if len(lines) > 1 else None
-            parts.append(_scan_layout(spark, files, columns, layout, own))
-    if not parts:
-        return spark.createDataFrame([], _SAMPLES)
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
-
-
-_SEQ = "struct<file:string,block:bigint,row:bigint>"
-_SAMPLES = f"job_id string, node_id string, seq {_SEQ}, " + ", ".join(
-    f"{c} string" for c in TELEMETRY_CSV.fieldNames()
-)
-
-
-def _scan_layout(
-    spark: SparkSession, files: str | list[str], columns: list[str], layout: str, own: DataFrame | None = None
-) -> DataFrame:
-    """Files of one header line; ``own`` (path) are those files if there are others."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
-    raw = spark.read.option("header", True).option("ignoreCorruptFiles", True).schema(schema).csv(files)
-    rows = raw.select(
-        *[F.col(f"c{columns.index(c)}").alias(c) for c in TELEMETRY_CSV.fieldNames()],
-        F.col("_metadata.file_path").alias("path"),
-        F.struct(
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("seq"),
-    )
-    if own is not None:
-        rows = rows.join(own, "path", "left_semi")
-    keyed = _with_keys(rows, layout, F.col("path"))
-    return keyed.select("job_id", "node_id", "seq", *TELEMETRY_CSV.fieldNames())
 
+def parse_csv(content: bytes) -> tuple[str, list[pa.Array]]:
+    """A file's state and its telemetry columns as text."""
+    begin = len(content) - len(content.lstrip(b"\r\n\t "))
+    stop = content.find(b"\n", begin)
+    stop = len(content) if stop < 0 else stop + 1
+    names = header_of(content[begin:stop].decode("utf-8", "replace"))
+    if not any(names):
+        return EMPTY, []
+    if not all(c in names for c in COLUMNS):
+        return LACKING, []
+    places, body = [names.index(c) for c in COLUMNS], content[stop:]
+    if not body.strip():
+        return OK, [pa.array([], pa.string())] * len(places)
+    fields = [f"c{k}" for k in range(len(names))]
+    try:
+        table = arrow_csv.read_csv(
+            pa.BufferReader(body),
+            arrow_csv.ReadOptions(use_threads=False, column_names=fields),
+            arrow_csv.ParseOptions(newlines_in_values=b'"' in body),
+            arrow_csv.ConvertOptions(
+                include_columns=[fields[k] for k in places],
+                column_types={fields[k]: pa.string() for k in places},
+                strings_can_be_null=True,
+                null_values=[""],
+                quoted_strings_can_be_null=True,
+            ),
+        )
+        return OK, [c.combine_chunks() for c in table.columns]
+    except pa.ArrowInvalid:  # rows of other lengths than the header, or bytes that are no text
+        return OK, [pa.array(c, pa.string()) for c in _plain_rows(body.decode("utf-8", "replace"), places)]
+
+
+def parse_head(pieces: Iterator[bytes], rows: int) -> tuple[str, list[pa.Array]]:
+    """The same for the first ``rows`` rows; takes no more pieces than these need."""
+    seen = b""
+    for piece in pieces:
+        seen += piece
+        whole = seen[: seen.rfind(b"\n") + 1]
+        # The last row may go on in the next piece if it is quoted.
+        if whole.strip() and whole.count(b"\n") > rows + 1:
+            status, columns = parse_csv(whole)
+            if columns and len(columns[0]) > rows:
+                return status, [c.slice(0, rows) for c in columns]
+            if status != OK:
+                return status, []
+    status, columns = parse_csv(seen)
+    return status, [c.slice(0, rows) for c in columns]
+
+
+def _file_rows(job, node, path, status, columns) -> Iterator[pa.RecordBatch]:
+    """A file's samples and its state as batches of ``_ROW``."""
+    names = ["job_id", "node_id", "path", "row", "status", "n_rows", *COLUMNS]
+    n = len(columns[0]) if columns else 0
+    texts = [pa.nulls(1, pa.string())] * len(COLUMNS)
+    keys = [pa.array([k], pa.string()) for k in (job, node, path)]
+    state = [pa.nulls(1, pa.int64()), pa.array([status]), pa.array([n], pa.int64())]
+    yield pa.RecordBatch.from_arrays([*keys, *state, *texts], names)
+    for k in range(0, n, 10_000):
+        some = [c.slice(k, 10_000) for c in columns]
+        size = len(some[0])
+        keys = [pa.repeat(pa.scalar(x, pa.string()), size) for x in (job, node, path)]
+        number = pa.array(range(k, k + size), pa.int64())
+        state = [number, pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*keys, *state, *some], names)
+
+
+def _reader(head: int | None):
+    """Tasks that open the files of their rows; ``content`` is there if Spark has read them."""
+
+    def load(path: str) -> tuple[str, list[pa.Array]]:
+        try:
+            if head is None:
+                return parse_csv(stored.read_whole(path))
+            return parse_head(stored.read_pieces(path, PROBE_BYTES), head)
+        except OSError:
+            return UNREADABLE, []
+
+    def run(batches):
+        for batch in batches:
+            contents = batch.column("content") if "content" in batch.schema.names else None
+            keys = [batch.column(c).to_pylist() for c in ("job_id", "node_id", "path")]
+            for k, (job, node, path) in enumerate(zip(*keys)):
+                if contents is None:
+                    status, columns = load(path)
+                elif not contents[k].is_valid:
+                    status, columns = UNREADABLE, []
+                else:
+                    status, columns = parse_csv(contents[k].as_py())
+                    columns = [c.slice(0, head) for c in columns] if head is not None else columns
+                yield from _file_rows(job, node, path, status, columns)
 
-def list_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """``(job_id, node_id, path)`` of every matching file, empty ones included.
+    return run
 
-    Reads the file listing only; no content is loaded. The names come from the listing that
-    Spark keeps on the driver for any scan, since a scan leaves out files of no bytes.
+
+def _parsed(nodes: DataFrame, head: int | None, through_spark: bool) -> DataFrame:
+    """Rows of ``_ROW``. ``nodes`` are files as ``list_nodes`` gives them."""
+    spark = nodes.sparkSession
+    rows = nodes.select("job_id", "node_id", "path", F.col("bytes").cast("long").alias("bytes"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not through_spark:
+        if head is None:
+            size = rows.agg(F.sum("bytes")).first()[0] or 0
+            parts = max(parts, -(-size // TASK_BYTES))
+        return rows.repartition(parts, "path").mapInArrow(_reader(head), _ROW)
+    # A file that fails midway is left out as a whole, since its content is one value.
+    paths = [r["path"] for r in rows.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], _ROW)
+    whole = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).load(paths)
+    whole = whole.select(F.col("path").alias("place"), "content")
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    joined = rows.withColumn("key", plain(F.col("path"))).join(whole.withColumn("key", plain(F.col("place"))), "key", "left")
+    return joined.select("job_id", "node_id", "path", "content").mapInArrow(_reader(head), _ROW)
+
+
+@dataclass(frozen=True)
+class Ingest:
+    """``samples`` (keys, ``seq``, texts) of the files that are ``ok``, and the ``status`` of every file."""
+
+    samples: DataFrame
+    status: DataFrame
+
+
+def _samples(rows: DataFrame) -> DataFrame:
+    seq = F.struct(F.substring_index("path", "/", -1).alias("file"), "row").alias("seq")
+    return rows.filter(F.col("row").isNotNull()).select("job_id", "node_id", seq, *COLUMNS)
+
+
+def probe(nodes: DataFrame, rows: int, through_spark: bool = False) -> DataFrame:
+    """The first ``rows`` samples of every file; the bytes read do not grow with the files."""
+    return _samples(_parsed(nodes, rows, through_spark))
+
+
+def ingest(nodes: DataFrame, through_spark: bool = False) -> Ingest:
+    """Read every file once and store what it gives, so that later steps read columns of Parquet.
+
+    A node of several files (one of the folder layout) has samples only if all its files are ``ok``.
     """
-    names = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/*.csv").inputFiles()
-    files = spark.createDataFrame(pd.DataFrame({"path": names}, dtype=str), "path string")
-    return _with_keys(files, "file", F.col("path")).select("job_id", "node_id", "path")
+    spark, path = nodes.sparkSession, storage.scratch_path(nodes.sparkSession, "telemetry")
+    kind = F.when(F.col("row").isNull(), "status").otherwise("sample").alias("kind")
+    rows = _parsed(nodes, None, through_spark).withColumn("kind", kind)
+    rows.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    back = spark.read.schema(f"{_ROW}, kind string").parquet(path)
+    status = back.filter("kind = 'status'").select("job_id", "node_id", "path", "status", "n_rows")
+    samples = _samples(back.filter("kind = 'sample'"))
+    bad = status.groupBy("job_id", "node_id").agg((F.count_if(F.col("status") != OK) > 0).alias("bad"), F.count("*").alias("n"))
+    mixed = bad.filter("bad AND n > 1").select("job_id", "node_id")
+    if not mixed.isEmpty():
+        samples = samples.join(mixed, ["job_id", "node_id"], "left_anti")
+    return Ingest(samples, status)
+
+
+def scan_telemetry(spark: SparkSession, path: str, layout: str = "file") -> DataFrame:
+    """Text telemetry with ``job_id``, ``node_id`` and the in-file order ``seq`` of a whole folder."""
+    return ingest(list_nodes(spark, path, layout), through_spark=not stored.direct(path)).samples
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(key, bytes)`` of the files below a folder: a manifest or a fetch listing."""
+    if stored.direct(path):
+        like = F.lit("^" + "".join(".*" if c == "*" else "." if c == "?" else f"\\Q{c}\\E" for c in pattern) + "$")
+        rows = stored.list_tree(spark, path).filter(F.regexp(F.substring_index("path", "/", -1), like))
+        return rows.select(F.col("path").alias("key"), "bytes")
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -167,7 +278,7 @@ def write_telemetry(telemetry: DataFrame, path: str, columns: list[str] | None =
         telemetry.withColumn("unit", F.concat_ws("-", "job_id", "node_id"))
         .repartitionByRange(parts, "unit", "seq")
         .sortWithinPartitions("unit", "seq")
-        .select("unit", *(columns or TELEMETRY_CSV.fieldNames()))
+        .select("unit", *(columns or COLUMNS))
         .write.mode("append")
         .partitionBy("unit")
         .option("header", True)
