@@ -281,3 +281,18 @@ def test_plan_has_no_single_task_and_no_all_pairs(spark):
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_only_hot_nodes_are_joined_in_parts(spark):
+    """With the samples of nodes known, a hot node has parts and gives the same rows."""
+    samples = [(10.0 + 0.5 * (i // 2), 50, 50, 10, i % 9) for i in range(2000)]
+    df = frame(spark, {"a": samples, "b": samples[:5]})
+    kept = coverage.kept_nodes(*_gates(df))
+    sized = kept.withColumn("n_rows", F.when(F.col("node_id") == "a", 2000).otherwise(5).cast("long"))
+    want = sorted(map(tuple, resample.gpu_rollup(resample.locate(df, kept, CFG)).collect()))
+    plain = resample.locate(df, sized, CFG)
+    assert "part" not in plain.columns and sorted(map(tuple, resample.gpu_rollup(plain).collect())) == want
+    hot = resample.locate(df, sized, replace(CFG, hot_rows=500))
+    parts = {(r["node_id"], r["part"]) for r in hot.select("node_id", "part").distinct().collect()}
+    assert parts == {("b", 0), *(("a", k) for k in range(4))}
+    assert sorted(map(tuple, resample.gpu_rollup(hot).collect())) == want

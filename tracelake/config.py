@@ -46,9 +46,13 @@ class ResampleConfig:
     upper_sec: float = 7200.0
     # Bins per time block: the unit of work, so that one long job spans many tasks.
     block_bins: int = 4096
-    # Parts, by timestamp, in which a node's samples are joined and rolled up, so that one
-    # heavy node spans several tasks. The table of kept nodes is copied so many times.
+    # A node with more samples is joined and rolled up in several parts, by timestamp.
+    hot_rows: int = 5_000_000
+    # Parts of every node where the samples of nodes are not known. The table of kept nodes is
+    # copied so many times.
     node_parts: int = 8
+    # Partitions of the dense grid; the session's number where it is not derived from facts.
+    grid_parts: int | None = None
 
 
 @dataclass(frozen=True)

@@ -70,12 +70,13 @@ def node_facts(
 
 
 def readable_nodes(facts: DataFrame, status: DataFrame) -> DataFrame:
-    """The node facts after the files were read: a node with a file that is not ``ok`` is unusable.
+    """The node facts after the files were read: a node with a file that is not ``ok`` is unusable. Adds ``n_rows``.
 
     ``status`` has the state and the number of samples of every file that was read to its end; nodes
     without a row there were not read and stay as they are.
     """
-    read = status.groupBy(*NODE).agg((F.count_if(F.col("status") != "ok") == 0).alias("_whole"))
+    whole = (F.count_if(F.col("status") != "ok") == 0).alias("_whole")
+    read = status.groupBy(*NODE).agg(whole, F.sum("n_rows").alias("n_rows"))
     usable = F.col("usable") & F.coalesce("_whole", F.lit(True))
     return facts.join(read, list(NODE), "left").withColumn("usable", usable).drop("_whole")
 
@@ -106,7 +107,8 @@ def job_gate(facts: DataFrame, cfg: ResampleConfig) -> DataFrame:
 def kept_nodes(facts: DataFrame, gate: DataFrame) -> DataFrame:
     """Usable nodes of the jobs that passed, with their job's origin."""
     good = gate.filter(F.col("reason").isNull()).select("job_id", "t0")
-    return facts.filter("usable").select(*NODE).join(good, "job_id")
+    known = [c for c in ("n_rows",) if c in facts.columns]
+    return facts.filter("usable").select(*NODE, *known).join(good, "job_id")
 
 
 def bin_index(cfg: ResampleConfig):
@@ -143,6 +145,11 @@ def trace_facts(
     )
 
 
+def grid_rows(index: DataFrame) -> int:
+    """Bins of the indexed jobs' nodes: the rows that resampling expands to, at most."""
+    return index.agg(F.coalesce(F.sum(F.col("length") * F.col("nodes_used")), F.lit(0))).first()[0]
+
+
 def finished_facts(gate: DataFrame, traces: DataFrame) -> DataFrame:
     """The same facts from a written trace table, read for two columns only."""
     last = traces.groupBy("job_id").agg(F.max("k").alias("k_max"))

@@ -29,14 +29,15 @@ def with_block(df: DataFrame, block: int) -> DataFrame:
     return df.withColumn("blk", F.floor(F.col("k") / F.lit(block)))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-distribute by ``cols`` over the configured number of shuffle partitions.
+def spread(df: DataFrame, *cols: str, parts: int | None = None) -> DataFrame:
+    """Hash-distribute by ``cols`` over ``parts`` partitions.
 
     The count is explicit because the rows multiply right after this shuffle: sizing
     the partitions by the shuffled bytes, as adaptive coalescing does, would leave
-    too few tasks for the expanded grid.
+    too few tasks for the expanded grid. Callers that know the rows after the expansion derive
+    it from them (``layout.tasks_of``); without it the configured number of partitions holds.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
 
 
@@ -175,9 +176,9 @@ def _first_known(
 
 def fences(
     spans: DataFrame, series: tuple[str, ...], partition: tuple[str, ...],
-    metrics: tuple[str, ...], block: int,
+    metrics: tuple[str, ...], block: int, parts: int | None = None,
 ) -> DataFrame:
-    """Seed and stop rows for every block between ``prev`` and ``cur``, distributed."""
+    """Seed and stop rows for every block between ``prev`` and ``cur``, distributed like the bins."""
     step = F.lit(block)
     kinds = F.array(
         F.when(
@@ -204,7 +205,7 @@ def fences(
             F.col("f.kind").alias("kind"),
         )
     )
-    return spread(rows, *partition)
+    return spread(rows, *partition, parts=parts)
 
 
 def fill(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tracelake.config import CHANNELS, LOG_CHANNELS, NORM_NAMES, NormConfig
 from tracelake.functions.expressions import clip
+from tracelake.operators import moments
+from tracelake.storage import materialize
 
 Z_COLUMNS = tuple(f"z{i}" for i in range(len(CHANNELS)))
 POWER = len(CHANNELS) - 1
@@ -17,39 +20,25 @@ POWER = len(CHANNELS) - 1
 def fit_norm(traces: DataFrame, jobs: DataFrame, cfg: NormConfig) -> DataFrame:
     """Rows ``(channel, norm, log_mean, log_std)`` fitted on the given jobs only.
 
-    Moments are first added up per job, on the map side as far as possible, so the
-    restriction to ``jobs`` joins one row per job instead of every grid row.
+    Moments are first taken per job, on the map side as far as possible, so the restriction to
+    ``jobs`` joins one row per job instead of every grid row. Jobs are merged by centred moments.
     Linear channels carry 0 and 1. Fails when a log channel has no data.
     """
-    per_job = traces.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(_log(c)).alias(f"s_{c}") for c in LOG_CHANNELS],
-        *[F.sum(_log(c) * _log(c)).alias(f"q_{c}") for c in LOG_CHANNELS],
-    )
-    total = per_job.join(jobs.select("job_id"), "job_id", "left_semi").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        *[F.sum(f"s_{c}").alias(f"s_{c}") for c in LOG_CHANNELS],
-        *[F.sum(f"q_{c}").alias(f"q_{c}") for c in LOG_CHANNELS],
+    logs = {c: _log(c) for c in LOG_CHANNELS}
+    per_job = moments.per_group(traces, ("job_id",), logs)
+    fitted = moments.merged(
+        materialize(per_job.join(jobs.select("job_id"), "job_id", "left_semi"), "job-moments"), LOG_CHANNELS
     )
     rows = []
     for channel, norm in CHANNELS:
-        mean, std = F.lit(0.0), F.lit(1.0)
+        mean, std = 0.0, 1.0
         if norm == "log1p_zscore":
-            no_data = F.raise_error(F.lit(f"no data for channel {channel}")).cast("double")
-            mean = F.when(F.col("n") == 0, no_data).otherwise(
-                F.try_divide(F.col(f"s_{channel}"), F.col("n"))
-            )
-            spread = F.try_divide(F.col(f"q_{channel}"), F.col("n")) - mean * mean
-            std = F.sqrt(F.greatest(spread, F.lit(cfg.min_std**2)))
-        rows.append(
-            F.struct(
-                F.lit(channel).alias("channel"),
-                F.lit(norm).alias("norm"),
-                mean.alias("log_mean"),
-                std.alias("log_std"),
-            )
-        )
-    return total.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            if not fitted.n[channel]:
+                raise ValueError(f"no data for channel {channel}")
+            mean = fitted.mean[channel]
+            std = math.sqrt(max(fitted.m2[channel] / fitted.n[channel], cfg.min_std**2))
+        rows.append((channel, norm, mean, std))
+    return traces.sparkSession.createDataFrame(rows, "channel string, norm string, log_mean double, log_std double")
 
 
 def _log(channel: str) -> Column:

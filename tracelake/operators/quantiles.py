@@ -16,13 +16,15 @@ from tracelake.functions.expressions import (
     int_div,
     normal_quantile,
 )
+from tracelake.operators import layout
 from tracelake.storage import materialize
 
-_BUCKETS = 64
+#: Different values of a bucket, which one task numbers.
+BUCKET_VALUES = 100_000
 
 
 def _value_buckets(bounds: dict[str, list[float]]):
-    """Range bucket of (column_name, v): literal bounds, at most _BUCKETS per column."""
+    """Range bucket of (column_name, v) by literal bounds."""
     expr = F.lit(None).cast("int")
     for column, cuts in bounds.items():
         inner = count_below(double_array(cuts), len(cuts), F.col("v")) if cuts else F.lit(0)
@@ -40,7 +42,7 @@ def quantile_table(df: DataFrame, targets: dict[str, int], cap: bool = True) ->
     Equal values are counted before the shuffle. Distinct values are then numbered
     within range buckets, and each value works out by arithmetic which quantiles fall
     on it, so no rank list is joined and no task sees a whole column. The bucket
-    bounds are found by a first pass; they only balance the work.
+    bounds come from mergeable sketches of the columns; they only balance the work.
     """
     long = df.select(
         F.explode(
@@ -59,13 +61,7 @@ def quantile_table(df: DataFrame, targets: dict[str, int], cap: bool = True) ->
         .agg(F.count(F.lit(1)).alias("c")),
         "value-counts",
     )
-    probs = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    bounds = {
-        r["column_name"]: sorted(set(r["cuts"]))
-        for r in counts.groupBy("column_name")
-        .agg(F.percentile_approx("v", probs, 1000).alias("cuts"))
-        .collect()
-    }
+    bounds = layout.cuts(layout.sketches(counts, "v", ("column_name",)), BUCKET_VALUES, "column_name")
     rows = counts.withColumn("b", _value_buckets(bounds))
     ordered = Window.partitionBy("column_name").orderBy("b")
     offsets = (
@@ -89,7 +85,7 @@ def quantile_table(df: DataFrame, targets: dict[str, int], cap: bool = True) ->
         wanted = F.when(F.col("column_name") == column, F.lit(n).cast("long")).otherwise(wanted)
     if cap:
         wanted = F.least(wanted, F.col("n_values"))
-    # At most _BUCKETS rows per target column.
+    # A row per bucket, of which a sketch gives a fixed number at most.
     ranked = rows.join(F.broadcast(offsets), ["column_name", "b"]).select(
         "column_name",
         "v",

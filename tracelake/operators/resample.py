@@ -33,28 +33,37 @@ def locate(telemetry: DataFrame, nodes: DataFrame, cfg: ResampleConfig) -> DataF
     """Samples of the kept nodes with their grid position.
 
     ``nodes`` carries ``t0``. The gates run before the samples are grouped, so
-    rejected nodes and jobs never reach the shuffle below. ``part`` follows from the
-    timestamp: where the join is not a broadcast, samples are laid out by node and part, and
-    the rollup by timestamp runs in that layout.
+    rejected nodes and jobs never reach the shuffle below. A node may be joined in several parts by
+    timestamp: where the join is not a broadcast, samples are laid out by node and part, and the
+    rollup runs in that layout. Where ``nodes`` tells a node's samples (``n_rows``), it is one part, and
+    more only beyond ``cfg.hot_rows``; such nodes are few, as all samples bound their number. Otherwise
+    every node has ``cfg.node_parts``.
     """
-    parts = F.explode(F.sequence(F.lit(0), F.lit(cfg.node_parts - 1)))
-    return (
-        telemetry.filter(F.col("timestamp").isNotNull())
-        .withColumn("part", F.pmod(F.hash("timestamp"), F.lit(cfg.node_parts)))
-        .join(nodes.withColumn("part", parts), [*NODE, "part"])
-        .select(*NODE, "part", "timestamp", bin_index(cfg).alias("k"), *SOURCE_METRICS)
-    )
+    rows, keys = telemetry.filter(F.col("timestamp").isNotNull()), list(NODE)
+    if "n_rows" not in nodes.columns:
+        parts = F.sequence(F.lit(0), F.lit(cfg.node_parts - 1))
+        rows = rows.withColumn("part", F.pmod(F.hash("timestamp"), F.lit(cfg.node_parts)))
+        nodes, keys = nodes.withColumn("part", F.explode(parts)), [*keys, "part"]
+    else:
+        parts = F.greatest(F.ceil(F.coalesce("n_rows", F.lit(0)) / cfg.hot_rows), F.lit(1)).cast("int")
+        hot = nodes.select(*NODE, parts.alias("_parts")).filter("_parts > 1")
+        if not hot.isEmpty():
+            part = F.pmod(F.hash("timestamp"), F.coalesce("_parts", F.lit(1)))
+            rows = rows.join(F.broadcast(hot), keys, "left").withColumn("part", part)
+            nodes, keys = nodes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, "part"]
+    return rows.join(nodes, keys).select(*keys, "timestamp", bin_index(cfg).alias("k"), *SOURCE_METRICS)
 
 
 def gpu_rollup(located: DataFrame) -> DataFrame:
     """Combine the GPUs that share a timestamp. Map-side partial aggregation applies."""
-    return located.groupBy(*NODE, "part", "timestamp", "k").agg(*_combine()).drop("part")
+    part = [c for c in ("part",) if c in located.columns]
+    return located.groupBy(*NODE, *part, "timestamp", "k").agg(*_combine()).drop(*part)
 
 
 def bin_samples(rollup: DataFrame, cfg: ResampleConfig) -> DataFrame:
     """Mean per grid position. From here on rows stay distributed by (job, block)."""
     return (
-        spread(with_block(rollup, cfg.block_bins), *PARTITION)
+        spread(with_block(rollup, cfg.block_bins), *PARTITION, parts=cfg.grid_parts)
         .groupBy(*NODE, "blk", "k")
         .agg(*[F.avg(c).alias(c) for c in SOURCE_METRICS])
     )
@@ -70,7 +79,7 @@ def densify_nodes(binned: DataFrame, cfg: ResampleConfig) -> DataFrame:
 
     Leading gaps of a metric stay NULL.
     """
-    rows = fences(spans_of_nodes(binned, cfg), NODE, PARTITION, SOURCE_METRICS, cfg.block_bins)
+    rows = fences(spans_of_nodes(binned, cfg), NODE, PARTITION, SOURCE_METRICS, cfg.block_bins, cfg.grid_parts)
     return fill(binned, rows, NODE, SOURCE_METRICS)
 
 
@@ -86,7 +95,7 @@ def densify_jobs(cross: DataFrame, binned: DataFrame, cfg: ResampleConfig) -> Da
     values that cross from block to block.
     """
     of_job = job_spans(spans_of_nodes(binned, cfg), NODE, "job_id", _HOW, cfg.block_bins)
-    rows = fences(of_job, ("job_id",), PARTITION, SOURCE_METRICS, cfg.block_bins)
+    rows = fences(of_job, ("job_id",), PARTITION, SOURCE_METRICS, cfg.block_bins, cfg.grid_parts)
     return fill(cross, rows, ("job_id",), SOURCE_METRICS)
 
 

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.expressions import count_below
+from tracelake.operators import layout
 
 HEX_DIGITS = 3
+#: Rows of a range bucket, which one task numbers.
+BUCKET_ROWS = 100_000
 
 
 def with_row_id(
@@ -58,18 +61,19 @@ def _number(rows, bucket, order, by, name, total):
 
 
 def with_ordered_row_id(
-    df: DataFrame, key: str, name: str = "row_id", total: str = "n_rows", buckets: int = 64
+    df: DataFrame, key: str, name: str = "row_id", total: str = "n_rows", buckets: int | None = None
 ) -> DataFrame:
     """Row numbers in the natural order of a unique key.
 
-    Range buckets come from a bounded, reproducible sample: the ``64 * buckets`` keys
-    with the smallest hash. Any bounds give exact numbers; the sample only balances.
+    The rows tell the number of range buckets. Their bounds come from a reproducible sample, ``16``
+    keys a bucket, those with the smallest hash. Any bounds give exact numbers; they only balance.
     """
+    buckets = layout.parts_of(df.count(), BUCKET_ROWS) if buckets is None else buckets
     sample = [
         r[0]
         for r in df.select(key)
         .orderBy(F.md5(F.col(key).cast("string")), key)
-        .limit(64 * buckets)
+        .limit(16 * buckets)
         .collect()
     ]
     sample.sort()

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tracelake.config import WindowConfig
 from tracelake.functions.expressions import ceil_div
+from tracelake.operators import moments
 from tracelake.operators.gapfill import spread
+from tracelake.operators.rowid import with_ordered_row_id
 from tracelake.operators.windows import segments
+from tracelake.storage import materialize
 
 # (context 4 x w_ctx, future channels 3 x w_pred, conditioning) -> w_pred values
 Predictor = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -59,6 +62,15 @@ def score_plan(capped: DataFrame, w_pred: int) -> DataFrame:
     )
 
 
+def deal_jobs(plan: DataFrame, tasks: int) -> DataFrame:
+    """``(job_id, task)``: jobs dealt to tasks by their planned windows, longest first, there and back."""
+    sized = plan.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    falling = F.concat(F.lpad((F.lit(10**9) - F.col("n")).cast("string"), 10, "0"), F.lit("|"), F.col("job_id"))
+    numbered = with_ordered_row_id(sized.select("job_id", falling.alias("place")), "place")
+    turn = F.col("row_id") % (2 * tasks)
+    return numbered.select("job_id", F.least(turn, F.lit(2 * tasks - 1) - turn).cast("int").alias("task"))
+
+
 def score_jobs(
     norm: DataFrame, plan: DataFrame, cond: DataFrame, predictor: Predictor, cfg: WindowConfig
 ) -> DataFrame:
@@ -72,15 +84,19 @@ def score_jobs(
     w_ctx, w_pred = cfg.w_ctx, cfg.w_pred
     totals = plan.groupBy("job_id").agg(F.max(F.col("start") + F.col("n_real")).alias("total"))
     kept = norm.join(totals, "job_id").filter(F.col("k") < F.col("total")).drop("total")
-    # One shuffle by job serves packing, the join and the order of the windows. The
-    # predictor dominates, so the task count is explicit rather than sized by bytes.
+    # The predictor dominates, so packed segments go to the task that their job is dealt to, not to the
+    # one that its hash names: jobs differ in length.
+    tasks = int(norm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = deal_jobs(materialize(plan.select("job_id"), "scored-windows"), tasks).join(cond, "job_id", "left")
     rows = (
         segments(spread(kept, "job_id"), w_pred)
-        .join(cond, "job_id", "left")
+        .join(dealt, "job_id")
         .select(
             "job_id", F.col("seg").alias("w"), (F.col("seg") * w_pred).alias("start"),
-            "c0", "c1", "c2", "c3", "cond",
+            "c0", "c1", "c2", "c3", "cond", "task",
         )
+        .repartitionById(tasks, "task")
+        .drop("task")
         .sortWithinPartitions("job_id", "w")
     )
 
@@ -168,24 +184,13 @@ def linear_predictor(slope: float, intercept: float) -> Predictor:
 def fit_linear(norm: DataFrame, train: DataFrame) -> DataFrame:
     """One row ``(slope, intercept)`` of power on the first channel over train bins.
 
-    Moments are added up per job first, so only one row per job meets the job list.
+    Moments are taken per job first, so only one row per job meets the job list; jobs are merged by
+    centred moments.
     """
-    x, y = F.col("z0").cast("double"), F.col("z3").cast("double")
-    sums = ("n", "sx", "sy", "sxx", "sxy")
-    per_job = norm.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(x * y).alias("sxy"),
-    )
-    total = per_job.join(train.select("job_id"), "job_id", "left_semi").agg(
-        *[F.sum(c).alias(c) for c in sums]
-    )
-    n = F.col("n")
-    slope = F.try_divide(
-        n * F.col("sxy") - F.col("sx") * F.col("sy"), n * F.col("sxx") - F.col("sx") * F.col("sx")
-    )
-    return total.select(slope.alias("slope"), "n", "sx", "sy").select(
-        "slope", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), n).alias("intercept")
-    )
+    columns = {"x": F.col("z0").cast("double"), "y": F.col("z3").cast("double")}
+    per_job = moments.per_group(norm, ("job_id",), columns, [("x", "y")])
+    known = materialize(per_job.join(train.select("job_id"), "job_id", "left_semi"), "line-moments")
+    m = moments.merged(known, columns, [("x", "y")])
+    slope = m.c["x", "y"] / m.m2["x"] if m.m2["x"] > 0 else None
+    line = (slope, None if slope is None else m.mean["y"] - slope * m.mean["x"])
+    return norm.sparkSession.createDataFrame([line], "slope double, intercept double")

@@ -6,12 +6,14 @@ any engine and does not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.config import FEATURES
 from tracelake.functions.expressions import half_even_count, is_finite, seeded_hash
-from tracelake.operators.rowid import with_row_id
+from tracelake.operators.selection import mark_first
 
 CHECKED = (*FEATURES, "length", "duration_sec")
 
@@ -44,28 +46,25 @@ def stratum_key(columns) -> Column:
     return F.concat_ws("_", *[F.col(c).cast("string") for c in columns])
 
 
-def _label(numbered: DataFrame, n_test: Column) -> DataFrame:
-    return numbered.withColumn(
-        "split", F.when(F.col("row_id") < n_test, F.lit("test")).otherwise(F.lit("train"))
-    ).drop("row_id", "n_rows")
+def _label(marked: DataFrame) -> DataFrame:
+    part = F.when(F.col("selected"), F.lit("test")).otherwise(F.lit("train"))
+    return marked.withColumn("split", part).drop("selected")
+
+
+def _first(jobs: DataFrame, wanted: Callable[[Column], Column], seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    return mark_first(jobs, seeded_hash(seed, F.col("job_id")), ("job_id",), wanted, by)
 
 
 def random_split(jobs: DataFrame, frac: float, seed: int) -> DataFrame:
     """Add ``split``; the test part has exactly round-half-even(N * frac) jobs."""
-    numbered = with_row_id(jobs, seeded_hash(seed, F.col("job_id")), ("job_id",))
-    return _label(numbered, half_even_count(F.col("n_rows"), frac))
+    return _label(_first(jobs, lambda n: half_even_count(n, frac), seed))
 
 
 def stratified_split(jobs: DataFrame, columns, frac: float, seed: int) -> DataFrame:
     """Add ``split``; each stratum gives at least one and at most all of its jobs to test."""
     keyed = jobs.withColumn("stratum", stratum_key(columns))
-    numbered = with_row_id(
-        keyed, seeded_hash(seed, F.col("job_id")), ("job_id",), by=("stratum",)
-    )
-    n_test = F.least(
-        F.col("n_rows"), F.greatest(F.lit(1).cast("long"), half_even_count(F.col("n_rows"), frac))
-    )
-    return _label(numbered, n_test)
+    one = F.lit(1).cast("long")
+    return _label(_first(keyed, lambda n: F.least(n, F.greatest(one, half_even_count(n, frac))), seed, ("stratum",)))
 
 
 def split_jobs(jobs: DataFrame, cfg) -> DataFrame:
@@ -92,11 +91,9 @@ def sample_jobs(jobs: DataFrame, frac: float | None, seed: int) -> DataFrame:
     """max(1, int(N * frac)) jobs, or all of them when no fraction is set."""
     if not frac or not 0.0 < frac < 1.0:
         return jobs
-    numbered = with_row_id(jobs, seeded_hash(seed, F.col("job_id")), ("job_id",))
-    take = F.greatest(
-        F.lit(1).cast("long"), F.floor(F.col("n_rows").cast("double") * F.lit(float(frac)))
-    )
-    return numbered.filter(F.col("row_id") < take).drop("row_id", "n_rows")
+    one = F.lit(1).cast("long")
+    taken = _first(jobs, lambda n: F.greatest(one, F.floor(n.cast("double") * F.lit(float(frac)))), seed)
+    return taken.filter("selected").drop("selected")
 
 
 def stratified_subsample(jobs: DataFrame, n: int, columns, seed: int) -> DataFrame:
@@ -106,23 +103,20 @@ def stratified_subsample(jobs: DataFrame, n: int, columns, seed: int) -> DataFra
     strata leave the result short of ``n``; too many strata are trimmed to ``n``.
     """
     if not columns:
-        return _first(jobs, n, seed)
+        return _at_most(jobs, n, seed)
     keyed = jobs.withColumn("stratum", stratum_key(columns))
-    by = with_row_id(keyed, seeded_hash(seed, F.col("job_id")), ("job_id",), by=("stratum",))
-    # The row of number 0 stands for its stratum, so one count gives the strata.
-    totals = by.agg(
-        F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.col("row_id") == 0).alias("n_strata")
-    ).first()
+    strata = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    totals = strata.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_jobs"), F.count(F.lit(1)).alias("n_strata")).first()
     if n >= totals["n_jobs"]:
-        return _first(jobs, n, seed)
-    quota = max(1, n // totals["n_strata"])
-    taken = by.filter(F.col("row_id") < quota).drop("row_id", "n_rows", "stratum")
-    return _first(taken, n, seed)
+        return _at_most(jobs, n, seed)
+    quota = F.lit(max(1, n // totals["n_strata"])).cast("long")
+    taken = _first(keyed, lambda rows: F.least(rows, quota), seed, ("stratum",))
+    return _at_most(taken.filter("selected").drop("selected", "stratum"), n, seed)
 
 
-def _first(jobs: DataFrame, n: int, seed: int) -> DataFrame:
-    numbered = with_row_id(jobs, seeded_hash(seed, F.col("job_id")), ("job_id",))
-    return numbered.filter(F.col("row_id") < n).drop("row_id", "n_rows")
+def _at_most(jobs: DataFrame, n: int, seed: int) -> DataFrame:
+    taken = _first(jobs, lambda rows: F.least(rows, F.lit(n).cast("long")), seed)
+    return taken.filter("selected").drop("selected")
 
 
 def random_jobs(jobs: DataFrame, k: int, seed: int) -> DataFrame:

@@ -7,6 +7,8 @@ neighbouring segments, not its job's whole trace.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tracelake.config import FEATURES, WindowConfig
 from tracelake.functions.expressions import ceil_div, int_div
 from tracelake.operators.gapfill import spread
 from tracelake.operators.normalize import POWER, Z_COLUMNS
+from tracelake.storage import scratch_path
 
 
 def chunk_index(jobs: DataFrame, stride: int) -> DataFrame:
@@ -38,6 +41,24 @@ def segments(norm: DataFrame, size: int) -> DataFrame:
     )
 
 
+def store_segments(norm: DataFrame, size: int, parts: int | None = None) -> DataFrame:
+    """The segments as a table bucketed by job, for windows that are cut again and again.
+
+    Traces are shuffled once, here; windows over the table, of any jobs and epochs, need no exchange of
+    them. ``parts`` is the number of buckets, from the bins (``layout.tasks_of``).
+    """
+    spark = norm.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"segments_{uuid.uuid4().hex}"
+    (
+        segments(spread(norm, "job_id", parts=n), size)
+        .write.bucketBy(n, "job_id").sortBy("job_id", "seg")
+        .option("compression", "zstd").option("path", scratch_path(spark, "segments"))
+        .saveAsTable(name)
+    )
+    return spark.table(name)
+
+
 def _zeros(n: Column) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
 
@@ -100,19 +121,22 @@ def conditioning(jobs: DataFrame) -> DataFrame:
 
 
 def training_windows(
-    chunks: DataFrame, norm: DataFrame, jobs: DataFrame, cfg: WindowConfig
+    chunks: DataFrame, norm: DataFrame, jobs: DataFrame, cfg: WindowConfig, segs: DataFrame | None = None
 ) -> DataFrame:
     """Windows named by ``chunks`` with the conditioning vector of their job.
 
     Grid rows of jobs outside ``chunks`` are dropped first; the rest is shuffled once,
     by job, for packing, windowing and the join alike. Jobs are those of the index, so
     the duration bound limits what lies together. The result holds about
-    (w_ctx + w_pred) / stride copies of the traces; write it only when needed.
+    (w_ctx + w_pred) / stride copies of the traces; write it only when needed. ``segs`` are stored
+    segments of ``stride`` bins (``store_segments``), which take the place of ``norm``.
     """
     wanted = chunks.groupBy("job_id").agg(F.collect_set("chunk_idx").alias("_wanted"))
     per_job = conditioning(jobs).join(wanted, "job_id")
-    kept = norm.join(wanted.select("job_id"), "job_id", "left_semi")
-    windows = cut_windows(segments(spread(kept, "job_id"), cfg.stride), cfg)
+    if segs is None:
+        kept = norm.join(wanted.select("job_id"), "job_id", "left_semi")
+        segs = segments(spread(kept, "job_id"), cfg.stride)
+    windows = cut_windows(segs, cfg)
     return (
         windows.join(per_job, "job_id")
         .filter(F.array_contains("_wanted", F.col("chunk_idx")))

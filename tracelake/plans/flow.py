@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import coverage, features, normalize, scoring, split, windows
+from tracelake.operators import coverage, features, layout, normalize, scoring, split, windows
 from tracelake.operators.resample import resample_traces
 from tracelake.plans import bindings
 from tracelake.storage import materialize
@@ -41,9 +41,9 @@ class EventRun:
     @cached_property
     def traces(self) -> DataFrame:
         """Traces of the indexed jobs; jobs outside the duration bounds are not resampled."""
-        return materialize(
-            resample_traces(self.telemetry, self.cfg.resample, only_jobs=self.index), "traces"
-        )
+        parts = layout.tasks_of(self.spark, coverage.grid_rows(self.index))
+        cfg = replace(self.cfg.resample, grid_parts=parts)
+        return materialize(resample_traces(self.telemetry, cfg, only_jobs=self.index), "traces")
 
     @cached_property
     def features(self) -> DataFrame:

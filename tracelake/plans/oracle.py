@@ -548,6 +548,13 @@ SELECT e.rank, e.step, row_number() OVER (PARTITION BY e.rank, e.step ORDER BY e
        md5(f.target) AS target_md5, c.ctx_3_md5
 FROM ({_epoch(3, 8, 0, "n")}) e
 JOIN wfut f ON f.job_id = e.job_id AND f.chunk_idx = e.chunk_idx
+JOIN (SELECT job_id, chunk_idx, md5(ctx3) AS ctx_3_md5 FROM wctx) c
+  ON c.job_id = e.job_id AND c.chunk_idx = e.chunk_idx""",
+    "epoch_files": f"""
+SELECT e.rank, e.step, row_number() OVER (PARTITION BY e.rank, e.step ORDER BY e.i) - 1 AS pos, e.job_id, e.chunk_idx,
+       count(*) OVER (PARTITION BY e.rank, e.step) AS n_samples, md5(f.target) AS target_md5, c.ctx_3_md5
+FROM ({_epoch(2, 16, 1, "n")}) e
+JOIN wfut f ON f.job_id = e.job_id AND f.chunk_idx = e.chunk_idx
 JOIN (SELECT job_id, chunk_idx, md5(ctx3) AS ctx_3_md5 FROM wctx) c
   ON c.job_id = e.job_id AND c.chunk_idx = e.chunk_idx""",
     "windows_per_job": "SELECT job_id, length, by_duration, CAST(25 AS BIGINT) AS fixed, "

@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 from tracelake.config import PipelineConfig
 from tracelake.operators import (
     coverage,
+    epochs,
     evaluate,
     features,
+    layout,
     normalize,
     progress,
     scoring,
@@ -161,7 +163,9 @@ def _build_round(
     per_node = materialize(coverage.readable_nodes(probed, read.status), "node-facts")
     samples = coverage.parse_metrics(read.samples)
     facts = materialize(coverage.trace_facts(samples, bounds, per_node), "trace-facts")
-    index = coverage.trace_index(facts, bounds).select("job_id", F.lit(True).alias("resampled"))
+    index = coverage.trace_index(facts, bounds)
+    bounds = replace(bounds, grid_parts=layout.tasks_of(spark, coverage.grid_rows(index)))
+    index = index.select("job_id", F.lit(True).alias("resampled"))
     run = _new_run()
     traces = resample_traces(samples, bounds, only_jobs=index, facts=per_node)
     tables.write_traces(traces, f"{out}/traces/run={run}")
@@ -276,6 +280,30 @@ def rebuild_chunks(spark: SparkSession, out: str, stride: int, name: str) -> Non
     )
 
 
+def write_epochs(
+    spark: SparkSession, out: str, cfg: PipelineConfig, first: int, last: int, world: int, batch: int
+) -> list[str]:
+    """Write the train batches of epochs ``first .. last - 1``; returns their folders.
+
+    Segments are stored once and serve all epochs. An epoch that is already there is not written again.
+    """
+    jobs = load_jobs(spark, out).filter(F.col("split") == "train")
+    chunks = load_chunks(spark, out).filter(F.col("split") == "train")
+    norm = load_normalized(spark, out, cfg).join(jobs.select("job_id"), "job_id", "left_semi")
+    segs, paths = None, []
+    for epoch in range(first, last):
+        paths.append(f"{out}/epochs/{world}x{batch}/epoch={epoch}")
+        if tables.exists(spark, f"{paths[-1]}/index/_SUCCESS"):
+            continue
+        if segs is None:
+            bins = jobs.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+            segs = windows.store_segments(norm, cfg.window.stride, layout.tasks_of(spark, bins))
+        plan = epochs.placed_plan(chunks, epoch, world, batch, cfg.split.seed)
+        tables.remove(spark, paths[-1])
+        epochs.write_epoch(plan, windows.training_windows(chunks, norm, jobs, cfg.window, segs), paths[-1])
+    return paths
+
+
 def evaluate_jobs(
     spark: SparkSession,
     out: str,

@@ -507,6 +507,20 @@ def assembled_epoch(spark, sf):
     return _assembled(spark, sf)
 
 
+def epoch_files(spark, sf):
+    """A whole epoch written as batch files by worker, from stored segments, and read back."""
+    r, chunks, path = _events(spark, sf), _train_chunks(spark, sf), storage.scratch_path(spark, "epoch")
+    segs = windows.store_segments(r.norm, CFG.window.stride)
+    plan = epochs.placed_plan(chunks, epoch=1, world=2, batch=16)
+    epochs.write_epoch(plan, windows.training_windows(chunks, None, r.jobs, CFG.window, segs), path, 8)
+    index = epochs.read_index(spark, path).select("rank", "step", "n_samples")
+    return epochs.read_epoch(spark, path).join(index, ["rank", "step"]).select(
+        "rank", "step", "pos", "job_id", "chunk_idx", "n_samples",
+        F.md5(_digits(F.col("target"))).alias("target_md5"),
+        F.md5(_digits(F.col("ctx")[3])).alias("ctx_3_md5"),
+    )
+
+
 # ── Scoring and evaluation ──────────────────────────────────────────────────
 def windows_per_job(spark, sf):
     r = _events(spark, sf)
@@ -628,15 +642,8 @@ def masked_window_loss(spark, sf):
     slope, intercept = r.line
     test = r.chunks.filter(F.col("split") == "test")
     w = windows.training_windows(test, r.norm, r.jobs, CFG.window)
-    zipped = F.arrays_zip(F.col("future_aux")[0].alias("aux"), F.col("target"), F.col("pred_mask"))
-    bins = w.select("job_id", "chunk_idx", F.explode(zipped).alias("b")).select(
-        "job_id",
-        "chunk_idx",
-        (F.lit(intercept) + F.lit(slope) * F.col("b.aux").cast("double")).alias("pred"),
-        F.col("b.target").cast("double").alias("target"),
-        F.col("b.pred_mask").cast("double").alias("mask"),
-    )
-    out = evaluate.masked_loss(evaluate.window_losses(bins), 1.0)
+    pred = F.transform(F.col("future_aux")[0], lambda x: F.lit(intercept) + F.lit(slope) * x.cast("double"))
+    out = evaluate.masked_loss(evaluate.packed_losses(w, pred, F.col("target"), F.col("pred_mask")), 1.0)
     return _rounded(out, ("n_windows", "n_skipped"), 6, loss="loss")
 
 
@@ -655,7 +662,7 @@ QUERIES = {
         required_columns, finite_jobs, split_random, split_stratified, split_coverage,
         stats_sample, norm_stats, normalized_traces, chunk_index, chunk_reindex,
         window_context, window_future, window_mask, window_cond, training_windows, epoch_plan,
-        batch_layout, assembled_batches, assembled_epoch,
+        batch_layout, assembled_batches, assembled_epoch, epoch_files,
         windows_per_job, score_plan, score_carry, score_linear, stratified_subsample,
         denormalized_power, trace_metrics, pearson_normalized, attach_pearson, eval_headline,
         best_jobs, worst_jobs, random_jobs, trace_export, trace_captions, masked_window_loss,

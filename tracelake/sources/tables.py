@@ -68,6 +68,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what a write that died has left."""
+    files, place = _hadoop(spark, path)
+    files.delete(place, True)
+
+
 def _hadoop(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
