@@ -20,6 +20,9 @@ TOXIC = 0.5
 #: Percent of shared shingles from which documents are near duplicates.
 SIMILAR = 80
 
+#: Bytes from which a repeated string is a passage: about 50 short words.
+PASSAGE_BYTES = 256
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fixed rules and the isolation forests."""
@@ -43,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that occur more than once."""
-    rows = suffix_buckets.remove_repeats(docs)
+    """All documents, without the passages that occur more than once."""
+    rows = suffix_buckets.remove_repeats(docs, min_bytes=PASSAGE_BYTES)
     text = F.when(F.col("text").isNotNull(), F.col("cut.text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
