@@ -59,7 +59,7 @@ def test_repeated_strings(stages):
     before, after = by_id(stages[3]), by_id(stages[4])
     rows = sorted(before.items())
     assert set(after) == set(before)
-    for (i, text), (_, removed, _, _) in zip(rows, plain_repeats(rows, 400)):
+    for (i, text), (_, removed, _, _) in zip(rows, plain_repeats(rows, pipeline.PASSAGE_BYTES)):
         left = len(text.encode()) - removed
         assert left - 6 * (removed > 0) <= len(after[i].encode()) <= left
     for r in stages[4].collect():
