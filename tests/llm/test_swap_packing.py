@@ -108,3 +108,30 @@ def test_odd_rows(spark, odd, empty):
     assert len(equal) == 200 and len(groups) > 5 and max(groups.values()) < 60
     with pytest.raises(Exception, match="longer"):
         packing.pack(lengths.selectExpr("length + 1 AS length")).collect()
+
+
+def test_search_of_all_bins_beats_best_fit():
+    """Pieces between a seventh and a half of a bin, where best fit is far from the bound."""
+    lengths = np.random.default_rng(0).integers(300, 1000, 2_048)
+    place, offset = packing.pack_group(lengths)
+    used = place.max() + 1
+    assert used <= len(packing.best_fit(lengths, 2048)) - 4 and used >= packing.lower_bound(lengths, 2048)
+    assert (np.bincount(place, lengths) <= 2048).all() and len(set(place.tolist())) == used
+    for b in range(used):
+        rows = np.flatnonzero(place == b)
+        rows = rows[np.argsort(offset[rows])]
+        assert offset[rows].tolist() == [0, *np.cumsum(lengths[rows])[:-1].tolist()]
+
+
+def test_moves_of_every_kind_raise_the_squared_fill():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        lengths = rng.integers(1, 60, 30)
+        search = packing._Search(lengths, [[k] for k in range(30)], 100)
+        fill = lambda: int(((100 - search.room) ** 2).sum())
+        for source in rng.integers(0, 30, 200).tolist():
+            before = fill()
+            if search.bins[source] and search.improve(source):
+                assert fill() > before
+        assert sorted(r for rows in search.bins for r in rows) == list(range(30)) and (search.room >= 0).all()
+        assert all(search.room[b] == 100 - lengths[rows].sum() for b, rows in enumerate(search.bins))

@@ -34,8 +34,6 @@ from tracelake.llm.common import keyed_text, slabs, written
 CAPACITY = 2048
 #: Rows that are packed together; the waste is below one bin in as many.
 GROUP_ROWS = 8192
-#: Bins that the search tries to empty in turn; the emptiest come first.
-SOURCES = 256
 #: Words that a task remembers before it starts afresh.
 CACHE_WORDS = 1_000_000
 #: Longer words are encoded again each time.
@@ -198,8 +196,20 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different sums of two of a bin's documents, ascending, with the places of two that give each."""
+    one, two = np.triu_indices(len(sizes), 1)
+    sums, at = np.unique(sizes[one] + sizes[two], return_index=True)
+    return sums, one[at], two[at]
+
+
 class _Search:
-    """Bins of one group as arrays, with the moves between them."""
+    """Bins of one group with the moves between them.
+
+    Only sums of sizes matter to a move, and a bin has at most as many as it has tokens. So all
+    documents and pairs of a source are looked up at once for every document or pair of all other bins:
+    the best partner is the largest sum that the other bin's room still takes.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
         self.size, self.capacity = lengths, capacity
@@ -208,6 +218,8 @@ class _Search:
         for b, rows in enumerate(bins):
             self.bin[rows] = b
         self.room = np.array([capacity - int(lengths[rows].sum()) for rows in bins])
+        self.pairs: list[tuple | None] = [None] * len(bins)
+        self.all_pairs: tuple | None = None
 
     def shift(self, out: list[int], target: int, back: list[int]) -> None:
         source = int(self.bin[out[0]])
@@ -219,9 +231,23 @@ class _Search:
         gain = int(self.size[out].sum() - self.size[back].sum())
         self.room[source] += gain
         self.room[target] -= gain
+        self.pairs[source] = self.pairs[target] = self.all_pairs = None
+
+    def pairs_of(self, b: int) -> tuple:
+        if self.pairs[b] is None:
+            self.pairs[b] = _pairs(self.size[self.bins[b]])
+        return self.pairs[b]
+
+    def every_pair(self) -> tuple:
+        """Sums of the pairs of all bins, their bins and the two places in them."""
+        if self.all_pairs is None:
+            found = [self.pairs_of(b) for b in range(len(self.bins))]
+            home = np.repeat(np.arange(len(self.bins)), [len(p[0]) for p in found])
+            self.all_pairs = (*(np.concatenate(x) for x in zip(*found)), home)
+        return self.all_pairs
 
     def improve(self, source: int) -> bool:
-        """The first kind of move that carries the most from ``source`` to a fuller bin."""
+        """The first kind of move that carries tokens from ``source`` to a fuller bin, the most of them."""
         mine = sorted(self.bins[source], key=lambda r: -self.size[r])
         open_ = (self.room > 0) & (self.room <= self.room[source])
         open_[source] = False
@@ -234,43 +260,53 @@ class _Search:
             if len(fits):
                 self.shift([row], int(targets[fits[np.argmin(rooms[fits])]]), [])
                 return True
+        own = np.array(mine)
+        singles, at = np.unique(self.size[own], return_index=True)
+        sums, one, two = self.pairs_of(source)
+        place = np.array(self.bins[source])
+        # One for one, two for one: the largest sum of mine that each of their documents makes room for.
         theirs = np.flatnonzero(open_[self.bin])
-        sizes, room_of = self.size[theirs], self.room[self.bin[theirs]]
-        groups = [[r] for r in mine]
-        groups += [[a, b] for i, a in enumerate(mine) for b in mine[i + 1 :]][:64]
-        best = (0, None, None)
-        for out in groups:  # one for one, two for one
-            gain = int(self.size[out].sum()) - sizes
-            gain = np.where((gain > 0) & (gain <= room_of), gain, 0)
-            at = int(gain.argmax()) if len(gain) else 0
-            if len(gain) and gain[at] > best[0]:
-                best = (int(gain[at]), out, [int(theirs[at])])
-        if best[1] is None:
-            best = self.one_for_two(mine, targets)
-        if best[1] is None:
-            return False
-        self.shift(best[1], int(self.bin[best[2][0]]), best[2])
+        sizes, room = self.size[theirs], self.room[self.bin[theirs]]
+        best, move = 0, None
+        for values, docs in ((singles, own[at][:, None]), (sums, np.stack([place[one], place[two]], 1))):
+            k, gain = self._largest(values, sizes, room)
+            if k is not None and gain[k] > best:
+                best = int(gain[k])
+                mine_at = np.searchsorted(values, sizes[k] + gain[k])
+                move = (docs[mine_at].tolist(), [int(theirs[k])])
+        if move is None:  # one for two
+            sums, one, two, home = self.every_pair()
+            use = np.flatnonzero(open_[home])
+            k, gain = self._largest(singles, sums[use], self.room[home[use]])
+            if k is None:
+                return False
+            their_bin = self.bins[int(home[use[k]])]
+            mine_at = np.searchsorted(singles, sums[use[k]] + gain[k])
+            move = ([int(own[at][mine_at])], [their_bin[int(one[use[k]])], their_bin[int(two[use[k]])]])
+        self.shift(move[0], int(self.bin[move[1][0]]), move[1])
         return True
 
-    def one_for_two(self, mine: list[int], targets: np.ndarray):
-        """One long document for two shorter ones of a bin."""
-        for target in targets[np.argsort(-self.room[targets], kind="stable")][:SOURCES].tolist():
-            theirs, room = self.bins[target], self.room[target]
-            for i, a in enumerate(theirs):
-                for b in theirs[i + 1 :]:
-                    two = self.size[a] + self.size[b]
-                    for row in mine:
-                        if 0 < self.size[row] - two <= room:
-                            return 1, [row], [a, b]
-        return 0, None, None
+    @staticmethod
+    def _largest(values: np.ndarray, sizes: np.ndarray, room: np.ndarray):
+        """For every size the gain of the largest value that fits in its place; where it is the most."""
+        if not len(values) or not len(sizes):
+            return None, None
+        at = np.searchsorted(values, sizes + room, "right") - 1
+        gain = np.where(at >= 0, values[np.maximum(at, 0)] - sizes, 0)
+        k = int(gain.argmax())
+        return (k, gain) if gain[k] > 0 else (None, None)
 
     def run(self, bound: int) -> None:
+        """Try bins as sources, the emptiest first, until none has a move or the bound is met.
+
+        Every move raises the sum of squared fills, so the search ends.
+        """
         used, stuck = sum(map(bool, self.bins)), 0
-        while used > bound and stuck < SOURCES:
+        while used > bound:
             filled = np.flatnonzero(self.room < self.capacity)
-            order = filled[np.argsort(-self.room[filled], kind="stable")]
-            if stuck >= len(order):
+            if stuck >= len(filled):
                 break
+            order = filled[np.argsort(-self.room[filled], kind="stable")]
             source = int(order[stuck])
             if self.improve(source):
                 used -= not self.bins[source]
