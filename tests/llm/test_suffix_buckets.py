@@ -93,3 +93,13 @@ def test_odd_rows(spark, odd, empty):
     whole = {str(r["doc_id"]): r for r in sb.remove_repeats(odd).collect()}
     assert bytes(whole["5"]["cut"]["kept"]) == b""  # its repeated row has all of it
     assert whole["5"]["ids"] == "d"
+
+
+def test_repeated_rows_share_their_spans(spark):
+    """Rows of one text without an id have the spans of one row, not of all."""
+    text = " ".join(f"w{k * k % 9973}" for k in range(500))
+    rows = spark.createDataFrame([(None, text)] * 300, "doc_id long, text string")
+    spans = sb.repeated_spans(rows).collect()
+    assert len(spans) == 1 and len(spans[0]["spans"]) < 100
+    cut = sb.remove_repeats(rows).select("cut.text", "cut.spans").distinct().collect()
+    assert [(r["text"], len(r["spans"])) for r in cut] == [("", 1)]
