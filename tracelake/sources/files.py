@@ -63,23 +63,37 @@ def read_pieces(path: str, size: int) -> Iterator[bytes]:
             yield piece
 
 
-def _list(batches):
+def packed(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: small ones are put together up to about ``rows``."""
+    held, size = [], 0
     for batch in batches:
-        for path in batch.column("path").to_pylist():
-            store, inner = opened(path)
-            found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-            shown = [i for i in found if not i.base_name.startswith(("_", "."))]
-            for k in range(0, len(shown), 10_000):
-                some = shown[k : k + 10_000]
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=rows)
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=rows)
+
+
+def _list(batches):
+    def found():
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, inner = opened(path)
+                infos = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+                shown = [i for i in infos if not i.base_name.startswith(("_", "."))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([f"{path.rstrip('/')}/{i.base_name}" for i in some], pa.string()),
-                        pa.array([i.size or 0 for i in some], pa.int64()),
-                        pa.array([i.type == fs.FileType.Directory for i in some], pa.bool_()),
+                        pa.array([f"{path.rstrip('/')}/{i.base_name}" for i in shown], pa.string()),
+                        pa.array([i.size or 0 for i in shown], pa.int64()),
+                        pa.array([i.type == fs.FileType.Directory for i in shown], pa.bool_()),
                     ],
                     ["path", "bytes", "folder"],
                 )
 
+    return packed(found())
+
 
 def _spread(folders: DataFrame) -> DataFrame:
     parts = int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))

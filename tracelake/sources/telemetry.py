@@ -169,7 +169,7 @@ def _reader(head: int | None):
         except OSError:
             return UNREADABLE, []
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
             contents = batch.column("content") if "content" in batch.schema.names else None
             keys = [batch.column(c).to_pylist() for c in ("job_id", "node_id", "path")]
@@ -183,7 +183,7 @@ def _reader(head: int | None):
                     columns = [c.slice(0, head) for c in columns] if head is not None else columns
                 yield from _file_rows(job, node, path, status, columns)
 
-    return run
+    return lambda batches: stored.packed(found(batches))
 
 
 def _parsed(nodes: DataFrame, head: int | None, through_spark: bool) -> DataFrame:
