@@ -97,3 +97,46 @@ def test_odd_rows(spark):
     got = html_layout.extract(rows).collect()
     assert sorted((str(r[0]), r[1]) for r in got) == [("1", ""), ("2", ""), ("4", "b"), ("4", "b"), ("None", "a")]
     assert html_layout.extract(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>x<select><option>o</select>z", "xz"),
+        ("<p>a<select><div>q<optgroup label=u><option>v</select>b", "ab"),
+        ("<select><option>o<input type=submit value=go>", "go"),
+        ("<p>x<noscript><p>enable</p></noscript>y", "xy"),
+        ("<head><noscript><img></noscript></head><p>x", "x"),
+        ("<p>x<option>y", "x\ny"),
+    ],
+)
+def test_lists_of_options_and_noscript_are_hidden(page, text):
+    assert html_layout.render(page) == text
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<blockquote>w" * n,
+        lambda n: "<ol><li>w" * n,
+        lambda n: "<table><tr><td>" + "w" * 6 * n + "<td>w" + "<tr><td>w<td>w" * n,
+        lambda n: "<table>" + "<tr><td colspan=900>w<td>w" * n,
+        lambda n: "<table><tr><td>w<td>w" * n,
+        lambda n: "<b><button>" + "<i>w" * n + "</b>" * n,
+    ],
+)
+def test_output_and_time_grow_with_the_page(make):
+    """Twice the page gives about twice the text, all of its letters included."""
+    sizes = []
+    for n in (500, 1_000, 2_000):
+        page = make(n)
+        text = html_layout.render(page)
+        assert text.count("w") == page.count("w")
+        sizes.append(len(text) / len(page))
+    assert sizes[2] < 1.5 * sizes[0] + 1 and sizes[2] < 40
+
+
+def test_long_cells_push_what_follows():
+    wide = "x" * 200
+    rows = html_layout.render(f"<table><tr><td>{wide}<td>a<tr><td>b<td>c").split("\n")
+    assert rows == [f"{wide}  a", "b" + " " * (html_layout.MAX_COLUMN + 1) + "c"]

@@ -7,8 +7,14 @@ leave a blank line where browsers leave a margin, list items get markers and ind
 table cells are laid out in aligned columns when their table ends. Nesting of any depth needs no
 recursion.
 
-Hidden are the head, scripts, styles, templates, fallback content, elements with ``hidden`` or
-``display: none``, closed details and dialogs; ``visibility`` is inherited and may be set back.
+Hidden are the head, scripts, styles, templates, fallback content (``noscript`` too, as scripts are
+taken to run), elements with ``hidden`` or ``display: none``, closed details and dialogs; ``visibility``
+is inherited and may be set back. Left out although browsers draw them: ``svg``, ``math``, embedded media,
+``select`` lists and the preset text of ``textarea``.
+
+The output grows with the page: indentation and the columns of a table are aligned up to
+``MAX_INDENT``, ``MAX_COLUMN`` and ``MAX_START`` characters, and text beyond that follows after a gap; tables nested
+deeper than ``MAX_TABLES`` give their rows as lines. No text is dropped for it.
 
 Defined cases: a null or empty page gives an empty text; a tag that the page ends within is
 dropped with what follows, as browsers do; end tags that match nothing are ignored; cells
@@ -21,7 +27,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,7 +44,7 @@ _INTEGER = re.compile(r"\s*([+-]?\d+)")
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag.
-_RAW = set("script style xmp iframe noembed noframes textarea title".split())
+_RAW = set("script style xmp iframe noembed noframes noscript textarea title".split())
 _HEAD = set("title meta link style script base template noscript".split())
 _HIDDEN = set(
     "head script style template title iframe noembed noframes noscript object video audio canvas "
@@ -52,6 +57,10 @@ _LINE = set(
     "hgroup html legend li main nav option search section summary caption optgroup".split()
 )
 _BLOCK = _MARGIN | _LINE
+#: Blocks that leave an open paragraph open, and the only tags that count within a list of options.
+_WITHIN_P = {"option", "optgroup"}
+_IN_SELECT = {"option", "optgroup", "hr", "select", "script", "template"}
+_END_SELECT = {"input", "keygen", "textarea"}
 _CELL = {"td", "th"}
 _SECTION = {"thead", "tbody", "tfoot"}
 _TABLE_PARTS = _CELL | _SECTION | {"tr", "caption", "col", "colgroup"}
@@ -69,6 +78,7 @@ _ENDS = {
     **{name: ({"caption", "tr", *_SECTION}, {"table"}) for name in _SECTION},
 }
 _GAP = "  "
+MAX_INDENT, MAX_COLUMN, MAX_START, MAX_TABLES = 64, 120, 480, 32
 
 
 def _width(text: str) -> int:
@@ -87,18 +97,28 @@ class Writer:
         self.line: list[str] = []
         self.space = self.started = False
         self.margin = 0
-        self.indents: list[str] = []
+        self.prefix = ""
+        self.indents: list[int] = []  # what each open block adds to the prefix
         self.marker: str | None = None
 
     def _start(self) -> None:
         if self.lines and self.margin:
             self.lines.append("")
         self.margin = 0
-        prefix = "".join(self.indents)
+        prefix = self.prefix
         if self.marker is not None:
-            prefix, self.marker = prefix[: -len(self.marker)] + self.marker, None
+            room = self.indents[-1] if self.indents else 0
+            prefix, self.marker = prefix[: len(prefix) - room] + self.marker, None
         self.line, self.started = [prefix], True
 
+    def indent(self, size: int) -> None:
+        size = size if len(self.prefix) + size <= MAX_INDENT else 0
+        self.prefix += " " * size
+        self.indents.append(size)
+
+    def dedent(self) -> None:
+        self.prefix = self.prefix[: len(self.prefix) - self.indents.pop()]
+
     def text(self, data: str) -> None:
         """Text of running lines; white space is collapsed."""
         parts = _SPACE.sub(" ", data)
@@ -178,7 +198,7 @@ class Table:
             for lines, columns, rows in row:
                 while taken.get(column, 0) > number:
                     column += 1
-                size = max(map(_width, lines), default=0)
+                size = min(max(map(_width, lines), default=0), MAX_COLUMN)
                 if columns == 1:
                     widths[column] = max(widths.get(column, 0), size)
                 elif size:
@@ -190,14 +210,14 @@ class Table:
                 column += columns
             placed.append(cells)
         for column, columns, size in wide:  # the last column that it spans takes what is missing
-            inside = [widths[k] for k in widths if column <= k < column + columns and widths[k]]
-            missing = size - sum(inside) - len(_GAP) * max(0, len(inside) - 1)
+            filled = [k for k in range(column, column + columns) if widths.get(k)]
+            missing = size - sum(widths[k] for k in filled) - len(_GAP) * max(0, len(filled) - 1)
             if missing > 0:
-                last = max((k for k in widths if column <= k < column + columns and widths[k]), default=column)
+                last = filled[-1] if filled else column
                 widths[last] = widths.get(last, 0) + missing
         at, start = 0, {}
         for column in sorted(widths):
-            start[column] = at
+            start[column] = min(at, MAX_START)
             at += widths[column] + len(_GAP) if widths[column] else 0
         out = []
         for cells in placed:
@@ -205,8 +225,9 @@ class Table:
                 text, end = [], 0
                 for column, lines in cells:
                     if k < len(lines) and lines[k]:
-                        text.append(" " * (start.get(column, end) - end) + lines[k])
-                        end = max(end, start.get(column, end)) + _width(lines[k])
+                        place = max(start.get(column, end), end + len(_GAP) if end else 0)
+                        text.append(" " * (place - end) + lines[k])
+                        end = place + _width(lines[k])
                 out.append("".join(text).rstrip())
         return out
 
@@ -229,7 +250,7 @@ class Page:
 
     def __init__(self):
         self.stack: list[Element] = [Element("html", False, False)]
-        self.count: Counter[str] = Counter()  # open elements by name
+        self.open_at: dict[str, list[int]] = {"html": [0]}  # places of open elements in the stack, by name
         self.writer = Writer()
         self.tables: list[Table] = []
         self.exact = 0
@@ -263,6 +284,10 @@ class Page:
             self.pop()
         return "\n".join(self.writer.finish())
 
+    def last(self, *names: str) -> int:
+        """Place of the nearest open element of these names, or -1."""
+        return max((self.open_at[n][-1] for n in names if self.open_at.get(n)), default=-1)
+
     def data(self, data: str, raw: bool = False) -> None:
         if self.stack[-1].name == "head" and data.strip():
             self.pop()
@@ -278,12 +303,23 @@ class Page:
     def start(self, name: str, source: str) -> None:
         if self.stack[-1].name == "head" and name not in _HEAD:
             self.pop()
-        if name in _BLOCK:
+        if self.last("select") > 0:
+            if name in _END_SELECT:
+                self.close({"select"}, {"html"})
+            elif name == "select":
+                return self.close({"select"}, {"html"})
+            elif name not in _IN_SELECT:
+                return None
+        if name in _BLOCK and name not in _WITHIN_P and self.last("select") < 0:
             self.close({"p"}, _SCOPE)
         if name in _ENDS:
             self.close(*_ENDS[name])
+        if name == "table" and len(self.tables) >= MAX_TABLES:
+            name = "div"  # its parts are the lines of a block
         if name in _TABLE_PARTS and not self.within_table():
-            return
+            if len(self.tables) >= MAX_TABLES and not self.stack[-1].hidden:
+                self.writer.block(0)
+            return None
         if name in _CELL and not self.within_row():
             self.start("tr", "")
         attributes = {}
@@ -303,7 +339,8 @@ class Page:
             self.open(element, attributes)
         if name not in _VOID:
             self.stack.append(element)
-            self.count[name] += 1
+            self.open_at.setdefault(name, []).append(len(self.stack) - 1)
+        return None
 
     def open(self, element: Element, attributes: dict[str, str]) -> None:
         """What a visible element does to the writer."""
@@ -331,28 +368,28 @@ class Page:
                 step = -1 if "reversed" in attributes else 1
                 element.data = [_number(attributes.get("start"), 1, -(10**8), 10**8), step]
             elif name == "blockquote":
-                writer.indents.append("  ")
+                writer.indent(2)
         elif name in _LINE:
             writer.block(0)
             if name == "li":
                 self.item(element, attributes)
             elif name == "dd":
-                writer.indents.append("    ")
+                writer.indent(4)
 
     def item(self, element: Element, attributes: dict[str, str]) -> None:
-        of = next((e for e in reversed(self.stack) if e.name in ("ul", "ol", "menu")), None)
+        of = self.stack[self.last("ul", "ol", "menu")]
         marker = "* "
-        if of is not None and of.name == "ol" and of.data:
+        if of.name == "ol" and of.data:
             of.data[0] = _number(attributes.get("value"), of.data[0], -(10**8), 10**8)
             marker = f"{of.data[0]}. "
             of.data[0] += of.data[1]
-        self.writer.indents.append(" " * len(marker))
+        self.writer.indent(len(marker))
         self.writer.marker = marker
         element.data = marker
 
     def pop(self) -> None:
         element = self.stack.pop()
-        self.count[element.name] -= 1
+        self.open_at[element.name].pop()
         if element.hidden:
             return
         name, writer = element.name, self.writer
@@ -373,44 +410,33 @@ class Page:
             if name in ("pre", "xmp", "listing"):
                 self.exact -= 1
             elif name in ("li", "dd", "blockquote"):
-                writer.indents.pop()
+                writer.dedent()
 
     def nested(self, name: str) -> bool:
-        return name in ("ul", "ol", "menu") and self.count["li"] > 0
+        return name in ("ul", "ol", "menu") and self.last("li") >= 0
 
     def within_table(self) -> bool:
         """Whether a table is open in the cell or page that is being written."""
-        if not self.count["table"]:
-            return False
-        for element in reversed(self.stack):
-            if element.name == "table":
-                return True
-            if element.name in _CELL:
-                return False
-        return False
+        return self.last("table") > self.last(*_CELL)
 
     def within_row(self) -> bool:
-        return next(e.name for e in reversed(self.stack) if e.name in ("tr", "table")) == "tr"
+        return self.last("tr") > self.last("table")
 
     def close(self, names: set[str], stop: set[str]) -> None:
         """End the nearest open element of these names, and all within it."""
-        if not any(self.count[name] for name in names):
+        k = self.last(*names)
+        if k < 1 or self.last(*(stop - names)) > k:
             return
-        for k in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[k].name
-            if name in names:
-                while len(self.stack) > k:
-                    self.pop()
-                if names & _SECTION and name == "tr":
-                    self.close(names, stop)
-                return
-            if name in stop:
-                return
+        name = self.stack[k].name
+        while len(self.stack) > k:
+            self.pop()
+        if names & _SECTION and name == "tr":
+            self.close(names, stop)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
-        elif name == "p" and not self.count["p"]:
+        elif name == "p" and self.last("p") < 0:
             self.writer.block(1)
         elif name in _CELL or name in _SECTION or name in ("tr", "table"):
             self.close({name}, {"table"} - {name})
