@@ -4,7 +4,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tracelake.config import PipelineConfig, ResampleConfig, SplitConfig, WindowConfig
-from tracelake.operators import evaluate, scoring
+from tracelake.operators import epochs, evaluate, scoring
 from tracelake.plans import pipeline
 
 HEADER = "timestamp,utilization_gpu_pct,utilization_memory_pct,memory_used_MiB,power_draw_W"
@@ -90,6 +90,19 @@ def test_end_to_end_and_resume(spark, tmp_path):
     pipeline.rebuild_chunks(spark, out, 8, "chunks8")
     assert pipeline.load_chunks(spark, out, "chunks8").filter("split = 'train'").count() == 7 * 3
 
+    # Batch files of two epochs, each written once.
+    paths = pipeline.write_epochs(spark, out, CFG, 0, 2, world=2, batch=3)
+    chunks = pipeline.load_chunks(spark, out).filter("split = 'train'")
+    for epoch, path in enumerate(paths):
+        plan = epochs.epoch_plan(chunks, epoch, 2, 3, CFG.split.seed)
+        key = lambda r: (r["rank"], r["step"], r["job_id"], r["chunk_idx"])
+        rows = epochs.read_epoch(spark, path).collect()
+        assert sorted(map(key, rows)) == sorted(map(key, plan.collect())) and len(rows[0]["ctx"]) == 4
+        assert all(r["n_samples"] == 3 for r in epochs.read_index(spark, path).collect())
+    files = sorted(f.stat().st_mtime_ns for f in (tmp_path / "out" / "epochs").rglob("*.parquet"))
+    assert pipeline.write_epochs(spark, out, CFG, 0, 2, world=2, batch=3) == paths
+    assert files == sorted(f.stat().st_mtime_ns for f in (tmp_path / "out" / "epochs").rglob("*.parquet"))
+
 
 def test_finished_input_is_not_opened_and_bounds_may_widen(spark, tmp_path):
     rng = random.Random(2)
