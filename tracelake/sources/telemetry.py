@@ -83,7 +83,7 @@ def list_nodes(spark: SparkSession, path: str, layout: str = "file") -> DataFram
 
 
 def header_of(line: str) -> list[str]:
-    return [c.strip() for c in next(csv.reader([line.lstrip("﻿").rstrip("\r\n")]), [])]
+    return [c.strip() for c in next(csv.reader([line.lstrip("\ufeff").rstrip("\r\n")]), [])]
 
 
 def _plain_rows(text: str, places: list[int]) -> list[list[str | None]]:
