@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import compare, database
@@ -140,3 +142,43 @@ def test_every_text_of_an_id_is_compared(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     kept = corpus_pipeline.near_duplicates(spark, df, SF).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted([-1, *range(20), *range(20)])
+
+
+@pytest.mark.parametrize("size", [2, 5, 40])
+def test_trees_connect_as_all_links_do(spark, size):
+    """Rows of a key are numbers, linked at a distance of 3 or less: large keys, outsiders, several components."""
+    rng = np.random.default_rng(size)
+    numbers = {0: range(60), 1: [*range(0, 60, 2), *range(100, 140, 9)], 2: rng.choice(400, 50, replace=False), 3: [5, 500]}
+    rows = [(1000 * key + int(x), key, int(x)) for key, xs in numbers.items() for x in xs]
+
+    def linked(blocks):
+        def run(batches):
+            for table, bounds in components.sorted_runs(batches, "key", "block"):
+                ids, x = np.asarray(table.column("id")), np.asarray(table.column("x"))
+                side, forest = np.asarray(table.column("side")), components.Forest(len(ids))
+                for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    left, right = components.sides(side, start, end)
+                    a, b = np.nonzero(np.abs(x[left][:, None] - x[right][None, :]) <= 3)
+                    forest.join_all(left[a], right[b])
+                ends = np.array(forest.edges, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[e]) for e in ends], ["a", "b"])
+
+        return blocks.mapInArrow(run, "a long, b long")
+
+    members = spark.createDataFrame(rows, "id long, key long, x long")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    edges = components.trees(members.join(sizes, "key"), sizes, "key", size, linked)
+    found = {r["id"]: r["component"] for r in components.connected(edges).collect()}
+    want = {}
+    for key, xs in numbers.items():
+        first = last = None
+        for x in sorted(int(x) for x in xs):
+            first = x if last is None or x - last > 3 else first
+            last, want[1000 * key + x] = x, 1000 * key + first
+    assert {i: found.get(i, i) for i in want} == want
+
+
+def test_a_hub_and_its_chain(spark):
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(500, 560)] + [(399, 560), (None, 3)]
+    found = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["component"] for r in found} == {0} and len(found) == 461

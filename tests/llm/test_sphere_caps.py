@@ -44,8 +44,10 @@ def test_query_equals_sql(spark):
     assert compare(op1_sphere_caps(spark, sf), database(sf), ORACLE["op1_sphere_caps"]) == ""
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_pairs_around_the_threshold(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, whole", [(False, 8_192), (True, 8_192), (True, 12), (False, 1)])
+def test_pairs_around_the_threshold(spark, monkeypatch, small, whole):
+    """Also in blocks of a few rows, and with families compared in their caps."""
+    monkeypatch.setattr(caps, "WHOLE_ROWS", whole)
     if small:
         monkeypatch.setattr(caps, "CAP_ROWS", 3)
         monkeypatch.setattr(caps, "FAMILY_ROWS", 4)
@@ -61,6 +63,17 @@ def test_pairs_around_the_threshold(spark, monkeypatch, small):
     assert got(caps.near_duplicates(df)) == plain(rows)
 
 
+@pytest.mark.parametrize("whole", [8_192, 1])
+def test_an_id_of_several_vectors(spark, monkeypatch, whole):
+    monkeypatch.setattr(caps, "WHOLE_ROWS", whole)
+    rng = np.random.default_rng(8)
+    a, b, c = rng.normal(size=(3, 32))
+    rows = [(7, a), (7, b), (8, a * 1.01 + 0.001 * c), (9, b + 0.001 * a), (9, b + 0.001 * a), (3, b + 0.01 * c), (2, c)]
+    rows = [(i, v.tolist()) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(caps.near_duplicates(df)) == plain(rows)
+
+
 def test_list_decoding_finds_the_closest_filters():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(50, 20))

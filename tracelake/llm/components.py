@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import partitions, written
 
 
+def with_least(edges: DataFrame, itself: bool) -> DataFrame:
+    """``a, b, least`` of every edge ``a, b``: the smallest neighbour of ``a``, or ``a`` if asked for.
+
+    The edges of a node are salted by their other end, so those of a hub never meet: minima of the
+    salted groups are merged, and each group gets the node's minimum back.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(partitions(edges))).cast("int"))
+    groups = salted.groupBy("a", "salt").agg(F.min("b").alias("least"))
+    least = groups.groupBy("a").agg(F.min("least").alias("least"))
+    if itself:
+        least = least.withColumn("least", F.least("least", "a"))
+    return salted.join(groups.drop("least").join(least, "a"), ["a", "salt"]).drop("salt")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id) of every end of ``edges(a, b)``; null ends are left out.
 
     Alternates two star operations: every node links its larger neighbours, then its smaller
-    ones, to the smallest. Minima are aggregated before the shuffle, each round is written to
-    the shared folder, and the rounds grow with the logarithm of the longest path.
+    ones, to the smallest. Minima are aggregated before the shuffle, the edges of a hub are split, each
+    round is written to the shared folder, and the rounds grow with the logarithm of the longest path.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -25,11 +39,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         # Larger neighbours of u go to the smallest of u and all its neighbours.
         both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        large = with_least(both, itself=True).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = large.filter("a <> b").distinct()
         # Smaller neighbours of u, and u, go to the smallest of them.
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("least")), "a")
+        small = with_least(large, itself=False)
         pairs = small.select("b", "least").union(small.select("a", "least")).toDF("a", "b")
         pairs = written(pairs.filter("a <> b").distinct(), "edges")
         state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -62,6 +75,32 @@ class Forest:
         self.edges.append((a, b))
         return True
 
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        found = self.parent[x]
+        while (self.parent[found] != found).any():
+            found = self.parent[found]
+        return found
+
+    def join_all(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join many pairs; those whose ends are joined already take no step of their own."""
+        while len(a):
+            root = self.roots(a)
+            apart = root != self.roots(b)
+            a, b, root = a[apart], b[apart], root[apart]
+            one = np.unique(root, return_index=True)[1]
+            for x, y in zip(a[one].tolist(), b[one].tolist()):
+                self.join(x, y)
+
+
+def _own(size: int) -> tuple[Column, Column]:
+    """Number of blocks of a row's key, and the row's own block."""
+    count = F.ceil(F.col("n") / size).cast("int")
+    return count, F.pmod(F.xxhash64("id", F.lit(7)), count.cast("long")).cast("int")
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(partitions(rows), key, "block").sortWithinPartitions(key, "block")
+
 
 def blocks(members: DataFrame, key: str, size: int) -> DataFrame:
     """Pairs of blocks in which every two rows of a key meet, dealt out and sorted.
@@ -70,15 +109,64 @@ def blocks(members: DataFrame, key: str, size: int) -> DataFrame:
     blocks of about ``size``; every row gets a copy for each pair of blocks that holds its own.
     Adds ``block`` (number of the pair) and ``side`` (1 or 2; 0 for a block with itself). Each ``key, block`` lies in one partition, its rows in a run.
     """
-    count = F.ceil(F.col("n") / size).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), count.cast("long")).cast("int")
+    count, own = _own(size)
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.withColumn("block", low * count + high).withColumn(
         "side", F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0)
     )
-    parts = partitions(members)
-    return dealt.drop("own", "other", "n").repartition(parts, key, "block").sortWithinPartitions(key, "block")
+    return _dealt(dealt.drop("own", "other", "n"), key)
+
+
+def _with_first(members: DataFrame, key: str, size: int) -> DataFrame:
+    """Every block of a key by itself, beside a copy of the key's first block."""
+    count, own = _own(size)
+    dealt = members.withColumn("own", own)
+    where = F.when(F.col("own") == 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array("own"))
+    return _dealt(dealt.withColumn("block", F.explode(where)).withColumn("side", F.lit(0)).drop("own", "n"), key)
+
+
+def _with_others(members: DataFrame, found: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows outside a key's largest component, in blocks, against all its other rows.
+
+    Rows of the largest component are copied once for each block of the others (not at all if there
+    are none), the others once for each block of the key.
+    """
+    kind = F.coalesce("component", "id")
+    rows = members.join(found, "id", "left").withColumn("component", kind)
+    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy(key).agg(F.max(F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all"))
+    sizes = sizes.select(key, F.col("main.component").alias("main"), (F.col("all") - F.col("main.rows")).alias("others"))
+    rows = rows.join(sizes.filter("others > 0"), key)
+    count, own = _own(size)
+    other_count = F.ceil(F.col("others") / size).cast("int")
+    other = F.pmod(F.xxhash64("id", F.lit(11)), other_count.cast("long")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.when(F.col("component") != F.col("main"), other))
+    # A block is one of the others (left) with one of the key (right); an outsider stands on both sides.
+    right = F.transform(F.sequence(F.lit(0), other_count - 1), lambda o: F.struct((o * count + F.col("own")).alias("block"), F.lit(2).alias("side")))
+    left = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct((F.col("other") * count + k).alias("block"), F.lit(1).alias("side")))
+    copies = F.when(F.col("other").isNull(), right).otherwise(F.concat(left, right))
+    names = [c for c in members.columns if c != "n"]
+    return _dealt(rows.withColumn("copy", F.explode(copies)).select(*names, "copy.*"), key)
+
+
+def trees(
+    members: DataFrame, sizes: DataFrame, key: str, size: int, linked: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Edges that connect the rows of each key as all of its links would.
+
+    ``members`` has ``id``, the key, ``n`` (rows of the key) and what ``linked`` reads; ``sizes`` (written)
+    has ``n`` of each key. ``linked`` takes blocks and returns trees ``a, b`` of the links in them. A key of up to
+    ``size`` rows is one block. In a larger one every row first meets its block and the key's first
+    block; then only rows outside the key's largest component meet all others. A group of near
+    copies so costs in proportion to its rows, and no link between two components is left untried.
+    """
+    edges = linked(blocks(members.filter(F.col("n") <= size), key, size))
+    if sizes.filter(F.col("n") > size).isEmpty():
+        return edges
+    large = written(members.filter(F.col("n") > size), "large")
+    edges = written(edges.union(linked(_with_first(large, key, size))), "trees")
+    return edges.union(linked(_with_others(large, connected(edges), key, size)))
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -12,7 +12,8 @@ Documents of equal sets count once from the start. In every bucket a longer sket
 which rows may be similar enough; rows that it connects form families, far smaller than the
 whole. Inside a family, pairs that the sketch allows are confirmed on the full sets until the
 family's components are known. Both steps work on blocks of bounded size and return trees, not
-pairs: no bucket or family has to fit a task, and no two rows are linked unconfirmed.
+pairs: no bucket or family has to fit a task, and no two rows are linked unconfirmed. Rows of a large
+bucket or family meet a first block, and those it does not connect meet all others (``trees``).
 
 Defined cases: a text without words has an empty set, size 0, and is linked with nothing; a null
 id links with nothing (null component, kept); rows that repeat an id and its text are returned
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import keyed_text, slabs, written
-from tracelake.llm.components import Forest, blocks, connected, sides, sorted_runs
+from tracelake.llm.components import Forest, connected, sides, sorted_runs, trees
 from tracelake.llm.words import eights, mix, name_spans, per_text, shingles, word_spans
 
 _U = np.uint64
@@ -152,8 +153,7 @@ def near_edges(members: DataFrame, matches: int) -> DataFrame:
                 forest.join(x, x + 1)
             for k in np.flatnonzero(sizes > 2).tolist():
                 for a, b, _ in _near(sketch, *sides(side, bounds[k], bounds[k + 1]), matches):
-                    for x, y in zip(a.tolist(), b.tolist()):
-                        forest.join(x, y)
+                    forest.join_all(a, b)
             yield _edges(ids, forest.edges)
 
     return members.mapInArrow(run, "a long, b long")
@@ -240,18 +240,18 @@ def near_duplicates(
     names = classes.select("id", "doc", "set_a", "set_b")
 
     keys = bucket_keys(reps)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     members = keys.join(shared, "key").join(reps.select("id", "sketch"), "id")
-    near = connected(near_edges(blocks(members, "key", BUCKET_ROWS), matches))
+    near = connected(trees(members, shared, "key", BUCKET_ROWS, lambda rows: near_edges(rows, matches)))
 
     near = written(near.select("id", F.col("component").alias("family")), "families")
     wanted = near.join(names, "id")
     sets = full_sets(docs.join(wanted.select(F.col("doc").alias(id_col)), id_col, "left_semi"), id_col, text_col, words)
     sets = sets.groupBy("set_a", "set_b").agg(F.min("elements").alias("elements"))
     sets = sets.join(wanted.select("id", "set_a", "set_b"), ["set_a", "set_b"]).select("id", "elements")
-    sizes = near.groupBy("family").agg(F.count("*").alias("n"))
-    family = near.join(sizes, "family").join(reps, "id").join(sets, "id").drop("signature")
-    links = confirmed_edges(blocks(family, "family", FAMILY_ROWS), matches, percent)
+    sizes = written(near.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    family = near.join(sizes, "family").join(reps.drop("signature"), "id").join(sets, "id")
+    links = trees(family, sizes, "family", FAMILY_ROWS, lambda rows: confirmed_edges(rows, matches, percent))
     found = connected(links)
 
     # A component is known by the smallest document id of its classes.

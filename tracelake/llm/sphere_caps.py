@@ -11,9 +11,11 @@ words and each length of vector, and there are as many codes as keep the share o
 that meet in no cap below ``MISSED``.
 
 Equal vectors count once, with their number. In every cap a sketch of sign bits tells which
-vectors may be close; those that it connects form families, in which the cosines of all pairs
-are computed in double precision. Both steps work on blocks of bounded size and return counts
-and trees, not pairs.
+vectors may be close; those that it connects form families. In a family of up to ``WHOLE_ROWS`` the
+cosines of all pairs are computed in double precision. Sketches chain vectors that are far apart, so a
+family may be most of the table: in a larger one cosines are computed in each cap, and a pair counts
+in the first cap that it shares. All steps work on blocks of bounded size and return counts and
+trees, not pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold a null or non-finite component,
 link with nothing, as do rows with a null id (null component, kept); vectors of different
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import written
-from tracelake.llm.components import Forest, blocks, connected, sides, sorted_runs
+from tracelake.llm.components import Forest, blocks, connected, sides, sorted_runs, trees
 from tracelake.llm.words import mix
 
 CODES, BLOCKS, CAPS = 4, 2, 8
@@ -41,7 +43,10 @@ MISSED, MAX_CODES = 1e-5, 16
 #: Pairs of which the share that a code parts is estimated.
 TRIALS = 2_048
 SKETCH_BITS = 256
+#: Rows of a block.
 CAP_ROWS, FAMILY_ROWS = 2_048, 1_024
+#: Rows of a family in which all pairs are compared, those of its caps otherwise.
+WHOLE_ROWS = 8_192
 
 
 @lru_cache(maxsize=MAX_CODES)
@@ -136,12 +141,12 @@ def by_length(column: pa.Array):
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vector, id, weight``: each usable vector once, by its smallest id, with its number."""
+    """``vector, doc, weight``: each usable vector once, with its smallest id and its number."""
     v = F.col("vector")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    return rows.groupBy("vector").agg(F.min("id").alias("doc"), F.count("*").alias("weight"))
 
 
 def caps(vectors: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
@@ -189,34 +194,55 @@ def near_edges(members: DataFrame, distance: int) -> DataFrame:
                     for k in range(bits.shape[1]):
                         apart += np.bitwise_count(bits[part, k][:, None] ^ bits[right, k][None, :])
                     a, b = np.nonzero((apart <= distance) & (part[:, None] != right[None, :]))
-                    for x, y in zip(part[a].tolist(), right[b].tolist()):
-                        forest.join(x, y)
+                    forest.join_all(part[a], right[b])
             yield pa.RecordBatch.from_arrays(list(_edges(ids, forest.edges)), ["a", "b"])
 
     return members.mapInArrow(run, "a long, b long")
 
 
-def verified(families: DataFrame, cosine: float) -> DataFrame:
-    """``a, b, links``: counts of links (``b`` null) and trees of links, by block."""
+def clear_met(close: np.ndarray, left: np.ndarray, right: np.ndarray, caps: pa.Array, cap: int) -> None:
+    """Take out of ``close`` the pairs that share a cap smaller than ``cap``."""
+    sizes = np.asarray(caps.value_lengths())
+    owner, names = np.repeat(np.arange(len(sizes)), sizes), np.asarray(caps.flatten())
+    owner, names = owner[names < cap], names[names < cap]
+    order = np.argsort(names, kind="stable")
+    at = np.full(len(sizes), -1), np.full(len(sizes), -1)
+    at[0][left], at[1][right] = np.arange(len(left)), np.arange(len(right))
+    for rows in np.split(owner[order], np.flatnonzero(np.diff(names[order])) + 1):
+        if len(rows) > 1:
+            a, b = (x[rows] for x in at)
+            close[np.ix_(a[a >= 0], b[b >= 0])] = False
+
+
+def verified(groups: DataFrame, key: str, cosine: float) -> DataFrame:
+    """``a, b, links``: counts of links (``b`` null) and trees of links, by block of family or cap.
+
+    Rows in caps have ``caps``, all that their vector belongs to; their pairs count in the first they share.
+    """
+    in_caps = key == "cap"
 
     def run(batches):
-        for rows, bounds in sorted_runs(batches, "family", "block"):
+        for rows, bounds in sorted_runs(batches, key, "block"):
             ids, side = np.asarray(rows.column("id")), np.asarray(rows.column("side"))
             weight = np.asarray(rows.column("weight")).astype(np.int64)
             links, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-            lengths = np.asarray(rows.column("vector").combine_chunks().value_lengths())
+            vectors = rows.column("vector").combine_chunks()
+            lengths = np.asarray(vectors.value_lengths())
             unit = np.zeros((len(ids), lengths.max()))
-            for at, x in by_length(rows.column("vector").combine_chunks()):
+            for at, x in by_length(vectors):
                 unit[at, : x.shape[1]] = x
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 left, right = sides(side, start, end)
                 close = unit[left] @ unit[right].T >= cosine
                 close &= (left[:, None] != right[None, :]) & (lengths[left][:, None] == lengths[right][None, :])
+                if in_caps and close.any():
+                    caps = rows.column("caps").slice(start, end - start).combine_chunks()
+                    clear_met(close, left - start, right - start, caps, rows.column(key)[start].as_py())
                 links[left] += close @ weight[right]
                 if side[start]:
                     links[right] += weight[left] @ close
-                for x, y in zip(*(v.tolist() for v in np.nonzero(close))):
-                    forest.join(int(left[x]), int(right[y]))
+                x, y = np.nonzero(close)
+                forest.join_all(left[x], right[y])
             some = np.flatnonzero(links)
             a, b = _edges(ids, forest.edges)
             yield pa.RecordBatch.from_arrays(
@@ -228,29 +254,44 @@ def verified(families: DataFrame, cosine: float) -> DataFrame:
                 ["a", "b", "links"],
             )
 
-    return families.mapInArrow(run, "a long, b long, links long")
+    return groups.mapInArrow(run, "a long, b long, links long")
 
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95
 ) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row; ids are integers."""
-    single = written(distinct_vectors(vectors, id_col, vector_col), "vectors")
+    # Vectors are known by numbers of their own, as an id may name several.
+    single = distinct_vectors(vectors, id_col, vector_col).withColumn("id", F.monotonically_increasing_id())
+    single = written(single, "vectors")
     words = max(MIN_WORDS, math.ceil(math.sqrt(single.count())))
     lengths = [r["dims"] for r in single.select(F.size("vector").alias("dims")).distinct().collect()]
     held = written(caps(single, {d: code_plan(d, words, cosine) for d in lengths}), "caps")
-    shared = held.groupBy("cap").agg(F.count("*").alias("n")).filter("n > 1")
-    near = connected(near_edges(blocks(held.join(shared, "cap"), "cap", CAP_ROWS), sketch_distance(cosine)))
+    shared = written(held.groupBy("cap").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    distance = sketch_distance(cosine)
+    near = connected(trees(held.join(shared, "cap"), shared, "cap", CAP_ROWS, lambda rows: near_edges(rows, distance)))
     near = written(near.select("id", F.col("component").alias("family")), "families")
-    sizes = near.groupBy("family").agg(F.count("*").alias("n"))
-    families = near.join(sizes, "family").join(single, "id")
-    found = written(verified(blocks(families, "family", FAMILY_ROWS), cosine), "links")
+    sizes = written(near.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    families = near.join(sizes.filter(F.col("n") <= WHOLE_ROWS), "family").join(single, "id")
+    found = verified(blocks(families, "family", FAMILY_ROWS), "family", cosine)
+    large = sizes.filter(F.col("n") > WHOLE_ROWS)
+    if not large.isEmpty():
+        many = near.join(large.select("family"), "family", "left_semi").select("id")
+        rows = written(held.drop("sketch").join(many, "id", "left_semi"), "large")
+        own_caps = rows.groupBy("id").agg(F.collect_list("cap").alias("caps"))
+        rows = rows.join(rows.groupBy("cap").agg(F.count("*").alias("n")).filter("n > 1"), "cap")
+        rows = rows.join(own_caps, "id").join(single, "id")
+        found = found.union(verified(blocks(rows, "cap", FAMILY_ROWS), "cap", cosine))
+    found = written(found, "links")
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    own = single.join(counts, "id", "left").join(connected(found.filter("b IS NOT NULL")), "id", "left")
+    linked = single.select("id", "doc").join(connected(found.filter("b IS NOT NULL")), "id")
+    least = linked.groupBy("component").agg(F.min("doc").alias("least"))
+    linked = linked.join(least, "component").select("id", "least")
+    own = single.join(counts, "id", "left").join(linked, "id", "left")
     own = own.select(
         F.col("vector").alias("__vector"),
         (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("__links"),
-        F.coalesce("component", "id").alias("__component"),
+        F.coalesce("least", "doc").alias("__component"),
     )
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
     known = F.when(F.col("id").isNotNull(), F.col("vector"))
