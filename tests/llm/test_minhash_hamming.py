@@ -10,6 +10,7 @@ import corpus_pipeline
 from check import compare, database
 from tracelake.llm import components
 from tracelake.llm import minhash_hamming as mh
+from tracelake.llm.common import written
 from tracelake.llm.queries import ORACLE, op3_minhash_hamming
 
 from .conftest import SF, odd_rows
@@ -182,3 +183,34 @@ def test_a_hub_and_its_chain(spark):
     edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(500, 560)] + [(399, 560), (None, 3)]
     found = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["component"] for r in found} == {0} and len(found) == 461
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Tasks contract what they hold: a path of 400 nodes and 3,000 loose ends are written six times at most."""
+    names = []
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or written(df, name))
+    edges = [(k, k + 1) for k in range(400)] + [(10_000 + k, 20_000 + k // 2) for k in range(3_000)]
+    random.Random(2).shuffle(edges)
+    found = components.connected(spark.createDataFrame(edges, "a long, b long").repartition(16)).collect()
+    assert {r["id"]: r["component"] for r in found if r["id"] <= 400} == dict.fromkeys(range(401), 0)
+    assert len(found) == 401 + 4_500 and len({r["component"] for r in found}) == 1 + 1_500
+    assert len(names) <= 6
+
+
+@pytest.mark.parametrize("part", [2, 7, 1 << 18])
+def test_parts_of_edges_are_joined_by_rounds(spark, monkeypatch, part):
+    """Contracted in parts so small that only the rounds can join them: a path, a star around its largest, loose edges."""
+    monkeypatch.setattr(components, "EDGE_ROWS", part)
+    rng = random.Random(part)
+    names = rng.sample(range(1_000), 150)
+    edges = list(zip(names, names[1:])) + [(5_000, k) for k in range(3_000, 3_060)]
+    edges += [(rng.randrange(6_000, 6_090), rng.randrange(6_000, 6_090)) for _ in range(45)]
+    rng.shuffle(edges)
+    ends = np.unique(np.array(edges))
+    least = ends[components.smallest(*np.searchsorted(ends, np.array(edges).T), len(ends))]
+    schema = "a long, b long"
+    found = components.connected(spark.createDataFrame(edges, schema).repartition(8)).collect()
+    want = {int(i): int(c) for i, c in zip(ends, least)}
+    loose = {i for i in want if i not in {x for a, b in edges if a != b for x in (a, b)}}
+    assert {r["id"]: r["component"] for r in found} == {i: c for i, c in want.items() if i not in loose}
+    assert {want[i] for i in names} == {min(names)} and want[5_000] == 3_000
