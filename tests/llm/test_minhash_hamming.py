@@ -1,5 +1,7 @@
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -214,3 +216,43 @@ def test_parts_of_edges_are_joined_by_rounds(spark, monkeypatch, part):
     loose = {i for i in want if i not in {x for a, b in edges if a != b for x in (a, b)}}
     assert {r["id"]: r["component"] for r in found} == {i: c for i, c in want.items() if i not in loose}
     assert {want[i] for i in names} == {min(names)} and want[5_000] == 3_000
+
+
+def test_a_block_of_near_copies_takes_little_memory():
+    """All pairs of 2,048 rows are near; half of the rows are linked, the others are compared in vain."""
+    rng = np.random.default_rng(3)
+    n, base = 2_048, rng.integers(0, 1 << 62, 100, dtype=np.uint64)
+    kept = np.where(np.arange(n) % 2, 80, 97)  # elements of the base that a row keeps
+    sets = [np.sort(np.append(base[:k], rng.integers(0, 1 << 62, 100 - k, dtype=np.uint64))) for k in kept]
+    columns = {"id": range(n), "family": [0] * n, "block": [0] * n, "side": [0] * n}
+    columns |= {"sketch": [bytes(mh.SKETCH)] * n, "elements": [s.tobytes() for s in sets]}
+    rows = pa.RecordBatch.from_pydict(columns)
+    families = SimpleNamespace(mapInArrow=lambda run, schema: list(run(iter([rows]))))
+    tracemalloc.start()
+    (edges,) = mh.confirmed_edges(families, mh.sketch_matches(0.85), 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    parent = components.smallest(*(np.asarray(edges.column(c)) for c in ("a", "b")), n)
+    want = np.arange(n)
+    want[::2] = 0
+    assert (parent == want).all()
+    assert peak < 64e6, f"{peak / 1e6:.0f} MB"
+
+
+def test_rows_are_linked_as_one_by_one(monkeypatch):
+    """Few slots: bounds that are too high spare fewer pairs and change nothing."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(mh, "LINK_ROWS", 7)
+    base = rng.integers(0, 1 << 63, (3, 60), dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 1 << 63, 60, dtype=np.uint64), base[k % 3])) for k in range(90)]
+    plain = components.Forest(90)
+    for x in range(90):
+        for y in range(x + 1, 90):
+            if mh.linked(sets[x], sets[y], 85):
+                plain.join(x, y)
+    assert 3 < len(set(plain.roots(np.arange(90)).tolist())) < 60
+    for slots in (1, 64, 1 << 22):
+        forest, table = components.Forest(90), np.zeros(slots, np.uint8)
+        for x in range(90):
+            mh.link_row(x, rng.permutation(np.arange(x + 1, 90)), sets, 85, forest, table)
+        assert (forest.roots(np.arange(90)) == plain.roots(np.arange(90))).all() and not table.any()

@@ -39,6 +39,8 @@ CHUNKS, WIDTH, ERRORS = 8, 5, 1
 SKETCH = 128
 #: Rows of a block.
 BUCKET_ROWS, FAMILY_ROWS = 2_048, 1_024
+#: Rows that a row is compared with at once, and slots of the table that spares most of them.
+LINK_ROWS, SLOTS = 256, 1 << 22
 
 _random = np.random.default_rng(85)
 _MULTIPLY = _random.integers(1, 1 << 63, CHUNKS * WIDTH + SKETCH, dtype=np.uint64) * _U(2) + _U(1)
@@ -167,30 +169,59 @@ def shared_elements(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def link_row(x: int, others: np.ndarray, sets: list[np.ndarray], percent: int, forest: Forest, table: np.ndarray) -> None:
+    """Join row ``x`` with those of ``others`` it is linked with, as far as they are not joined.
+
+    ``table`` (zeros, returned as such) has a slot for the high bits of an element. Elements of another row whose
+    slots ``x`` has are as many as both share or more, so that few pairs which are not links are compared.
+    """
+    shift = _U(65 - len(table).bit_length())
+    for at in range(0, len(others), LINK_ROWS):
+        left = others[at : at + LINK_ROWS]
+        left = left[forest.roots(left) != forest.root(x)]
+        if not len(left):
+            continue
+        sizes = np.array([len(sets[y]) for y in left])
+        table[sets[x] >> shift] = 1
+        most = table[np.concatenate([sets[y] for y in left]) >> shift]
+        most = np.add.reduceat(most, np.cumsum(sizes) - sizes, dtype=np.int64)
+        table[sets[x] >> shift] = 0
+        left = left[100 * most >= percent * (len(sets[x]) + sizes - most)]
+        while len(left):
+            if linked(sets[x], sets[left[0]], percent):
+                forest.join(x, int(left[0]))
+                left = left[forest.roots(left) != forest.root(x)]
+            else:
+                left = left[1:]
+
+
 def confirmed_edges(families: DataFrame, matches: int, percent: int) -> DataFrame:
     """Trees that connect the rows of each family through links confirmed on full sets."""
 
     def run(batches):
+        table = np.zeros(SLOTS, np.uint8)
         for rows, bounds in sorted_runs(batches, "family", "block"):
             ids, sketch = np.asarray(rows.column("id")), _matrix(rows.column("sketch"))
             side, forest = np.asarray(rows.column("side")), Forest(len(ids))
-            packed = rows.column("elements").to_pylist()
+            sets = [np.frombuffer(s, "<u8") for s in rows.column("elements").to_pylist()]
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                found = [np.concatenate(x) for x in zip(*_near(sketch, *sides(side, start, end), matches))]
-                if not found:
-                    continue
-                order = np.argsort(-found[2], kind="stable")  # likely links first spare the others
-                for x, y in zip(found[0][order].tolist(), found[1][order].tolist()):
-                    if forest.root(x) != forest.root(y) and linked(packed[x], packed[y], percent):
-                        forest.join(x, y)
+                for a, b, same in _near(sketch, *sides(side, start, end), matches):
+                    apart = forest.roots(a) != forest.roots(b)
+                    if not side[start]:
+                        apart &= a < b
+                    a, b, same = a[apart], b[apart], same[apart]
+                    order = np.lexsort((-same, a))  # likely links first spare the others
+                    a, b = a[order], b[order]
+                    firsts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+                    for x, others in zip(a[firsts].tolist(), np.split(b, firsts[1:])):
+                        link_row(x, others, sets, percent, forest, table)
             yield _edges(ids, forest.edges)
 
     return families.mapInArrow(run, "a long, b long")
 
 
-def linked(a: bytes, b: bytes, percent: int) -> bool:
-    """Whether two packed sets are similar enough, by their exact sizes."""
-    a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough, by their exact sizes."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     common = shared_elements(a, b)
