@@ -135,3 +135,15 @@ def test_moves_of_every_kind_raise_the_squared_fill():
                 assert fill() > before
         assert sorted(r for rows in search.bins for r in rows) == list(range(30)) and (search.room >= 0).all()
         assert all(search.room[b] == 100 - lengths[rows].sum() for b, rows in enumerate(search.bins))
+
+
+def test_few_words_are_remembered(monkeypatch):
+    """A worker keeps no more words than it may, also within one call."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    packing._merges.cache_clear()
+    known = packing._merges(PATH)[1]
+    text = " ".join(f"w{k % 700}x" for k in range(2_000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = packing.encode(raw, np.array([0, len(raw)]), PATH)
+    assert ids.tolist() == library().encode(text, add_special_tokens=False).ids
+    assert 0 < len(known) <= 50

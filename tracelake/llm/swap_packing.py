@@ -17,9 +17,9 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from array import array
 from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,8 +34,8 @@ from tracelake.llm.common import keyed_text, slabs, written
 CAPACITY = 2048
 #: Rows that are packed together; the waste is below one bin in as many.
 GROUP_ROWS = 8192
-#: Words that a task remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers before it starts afresh, also between tasks: about 40 MB.
+CACHE_WORDS = 1 << 18
 #: Longer words are encoded again each time.
 CACHE_BYTES = 40
 _GROUP = "__group"
@@ -43,8 +43,8 @@ _SLAB = 1 << 22
 
 
 @lru_cache(maxsize=2)
-def _merges(path: str) -> tuple[tiktoken.Encoding, dict[bytes, tuple[int, ...]]]:
-    """The vocabulary of a byte-level tokenizer file and the words encoded so far.
+def _merges(path: str) -> tuple[tiktoken.Encoding, dict[bytes, bytes]]:
+    """The vocabulary of a byte-level tokenizer file and the words encoded so far, ids packed.
 
     In such a file a token's id is also the order of its merge, so the merges can run in
     the faster library; ids are those of the ``tokenizers`` library.
@@ -88,18 +88,18 @@ def encode(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray,
     words = pa.Array.from_buffers(
         pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]
     ).dictionary_encode()
-    if len(known) > CACHE_WORDS:
-        known.clear()
     coded = []
     for word in words.dictionary.to_pylist():
         ids = known.get(word)
         if ids is None:
-            ids = tuple(bpe.encode_ordinary(word.decode("utf-8", "replace")))
+            ids = array("I", bpe.encode_ordinary(word.decode("utf-8", "replace"))).tobytes()
             if len(word) <= CACHE_BYTES:
+                if len(known) >= CACHE_WORDS:
+                    known.clear()
                 known[word] = ids
         coded.append(ids)
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    flat = np.fromiter(chain.from_iterable(coded), np.int64, int(sizes.sum()))
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
+    flat = np.frombuffer(b"".join(coded), np.uint32).astype(np.int64)
     at = np.asarray(words.indices)
     each = sizes[at]
     ends = np.concatenate([[0], np.cumsum(each)])
