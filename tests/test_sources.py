@@ -1,5 +1,7 @@
 import os
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,116 @@ def test_folder_layout_keeps_order(spark, tmp_path):
     assert [r["power_draw_W"] for r in back] == [float(i) for i in range(50)]
 
 
+SAMPLES = "job_id string, node_id string, seq long, timestamp double, " + ", ".join(f"{c} string" for c in SOURCE_METRICS)
+
+
+def folders(root):
+    """The text of every folder below a root, its files in their order; hidden entries are left out."""
+    texts = {}
+    for file in sorted(root.glob("*/*")):
+        if not file.name.startswith(".") and not file.parent.name.startswith(("_", ".")):
+            body = file.read_text().split("\n", 1)
+            texts[file.parent.name] = [body[0], texts.get(file.parent.name, ["", ""])[1] + body[1]]
+    return texts
+
+
+def written_by_spark(df, path, columns):
+    rows = df.withColumn("unit", F.concat_ws("-", "job_id", "node_id")).repartitionByRange(4, "unit", "seq")
+    rows = rows.sortWithinPartitions("unit", "seq").select("unit", *columns)
+    rows.write.mode("append").partitionBy("unit").option("header", True).csv(path)
+
+
+def test_written_as_by_spark(spark, tmp_path):
+    """Folders, headers and rows are those of Spark's writer, and its checks of local files hold."""
+    texts = ["a", "", None, ' b "q" ', "x,y", "l\nm", "\u00e4\u4e2d", "\\", "#c", "'"]
+    rows = [("7", "heavy", i, i / 7, "1", texts[i % 10], None, "2") for i in range(25_000)]
+    rows += [("8", n, 0, float("nan"), *["1"] * 4) for n in ("a b", "c/d=e%", "\u00e4", "", "{[x]}?*:", None)]
+    rows += [(None, None, 0, float("inf"), None, "", None, None), (None, "n", 1, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SAMPLES)
+    names = ["power_draw_W", "timestamp", *SOURCE_METRICS[:2]]
+    for part in (df, df.filter("job_id = '7' AND seq < 3"), df.filter("false")):  # the second is put beside the first
+        telemetry.write_telemetry(part, str(tmp_path / "ours"), names)
+        written_by_spark(part, str(tmp_path / "spark"), names)
+    got, want = folders(tmp_path / "ours"), folders(tmp_path / "spark")
+    assert got.keys() == want.keys() and len(got) == 9
+    assert {k: (h, sorted(t)) for k, (h, t) in got.items()} == {k: (h, sorted(t)) for k, (h, t) in want.items()}
+    assert {k: v for k, v in got.items() if k != "unit=7-heavy"} == {k: v for k, v in want.items() if k != "unit=7-heavy"}
+    assert [f.name for f in (tmp_path / "ours").iterdir() if f.name.startswith("_")] == ["_SUCCESS"]
+    files_of = list((tmp_path / "ours").glob("unit=*/[!.]*"))
+    assert all((f.parent / f".{f.name}.crc").exists() for f in files_of)
+    assert spark.read.text(str(tmp_path / "ours")).count() > 25_000
+    ours = telemetry.scan_telemetry(spark, str(tmp_path / "spark"), "folder").count()
+    assert ours == telemetry.scan_telemetry(spark, str(tmp_path / "ours"), "folder").count()
+
+
+def test_write_that_fails_leaves_nothing(spark, tmp_path):
+    fails = F.udf(lambda k: str(1 // (k - 900)), "string")
+    lines = spark.range(1_000, numPartitions=2).select(F.col("id").cast("string").alias("value"), fails("id").alias("line"))
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        files.append_folders(lines, str(tmp_path / "out"), "unit", ["a"])
+    assert not list(tmp_path.glob("out/*"))
+
+
+def test_moves_can_be_repeated(tmp_path):
+    """A second task finds folders and files that the first has moved; two parts of a folder are put together."""
+    rows = {"staged": [], "folder": [], "name": []}
+    for part in ("0-1", "1-2"):
+        folder = tmp_path / "stage" / part / "unit=5-a"
+        folder.mkdir(parents=True)
+        for name in (f"{part}.csv", f".{part}.csv.crc"):
+            (folder / name).write_text(part)
+        for column, value in zip(rows.values(), (str(folder), "unit=5-a", f"{part}.csv")):
+            column.append(value)
+    (tmp_path / "root").mkdir()
+    for _ in range(2):
+        list(files._mover(str(tmp_path / "root"))([pa.RecordBatch.from_pydict(rows)]))
+    assert {f.name for f in (tmp_path / "root" / "unit=5-a").iterdir()} == {"0-1.csv", ".0-1.csv.crc", "1-2.csv", ".1-2.csv.crc"}
+
+
+def test_entries_of_a_local_folder(tmp_path):
+    """One by one, as the store lists them at once; hidden entries, links to nothing and folders that are gone give none."""
+    (tmp_path / "f").write_text("abc")
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for hidden in ("_SUCCESS", ".f.crc"):
+        (tmp_path / hidden).write_text("x")
+    for link, target in (("lf", "f"), ("ld", "d"), ("lost", "none")):
+        (tmp_path / link).symlink_to(tmp_path / target)
+    (batch,) = files._list([pa.RecordBatch.from_pydict({"path": [f"file:{tmp_path}", f"{tmp_path}/none", f"{tmp_path}/d/"]})])
+    want = {("f", 3, False), ("d", 0, True), ("lf", 3, False), ("ld", 0, True)}
+    assert {tuple(r.values()) for r in batch.to_pylist()} == {(f"file:{tmp_path}/{n}", b, d) for n, b, d in want} | {(f"{tmp_path}/d/e", 0, True)}
+
+
+def test_many_units_take_little_time(spark, tmp_path):
+    """Spark's writer takes the driver through all files; tasks need a part of its time."""
+    columns = [F.concat(F.col("id") % 3_000, F.lit("")).alias("job_id"), F.lit("a").alias("node_id"), F.col("id").alias("seq")]
+    df = spark.range(12_000).select(*columns, *[F.col("id").cast("double").alias(c) for c in telemetry.COLUMNS])
+    took = []
+    for write in (written_by_spark, telemetry.write_telemetry):
+        start = time.perf_counter()
+        write(df, str(tmp_path / write.__name__), telemetry.COLUMNS)
+        took.append(time.perf_counter() - start)
+    assert folders(tmp_path / "written_by_spark") == folders(tmp_path / "write_telemetry")
+    assert took[1] < took[0] * 0.7
+
+
+def test_small_files_share_a_pass(monkeypatch):
+    head, passes, plain = ",".join(telemetry.COLUMNS).encode(), [], telemetry._arrow_columns
+    monkeypatch.setattr(telemetry, "_arrow_columns", lambda *a: passes.append(a) or plain(*a))
+    texts = lambda found: [(s, [c.to_pylist() for c in columns]) for s, columns in found]
+    good = [head + b"\n" + b"%d,2,,4,5\n" % k * (k % 3) for k in range(500)] + [head + b',m\n1,2,3,4,5,"x,y"\n'] * 500
+    found = telemetry.parse_all(good)
+    assert len(passes) == 2
+    assert texts(found) == texts([telemetry.parse_csv(c) for c in good])
+    bodies = [
+        b"", b"\n1,2,3,4,5", b"\r\n1,2,3,4,5\r\n", b'\n1,2,3,4,"5\n', b'\n1,2,3,4,"a\nb"\n6,7,8,9,0\n', b"\n1,2\n", b"\n1,2,3,4,5,6\n",
+        b'\n1,,"",4,5\n\n2,2,2,2,2\n', b"\n  \n1,2,3,4,5\n", b"\n\xff,2,3,4,5\n", b"\n\xef\xbb\xbf1,2,3,4,5\n", b'\n1,2,3,4,a"b,"c\n6,7,8,9,0\n', b"\n,,,,\n",
+    ]
+    odd = [head + body for body in bodies] + [b"", b"\n", b"a,b\n1,2\n", b"\xef\xbb\xbf" + head + b"\n1,2,3,4,5\n"]
+    for one in odd:
+        for some in ([one, good[1]], [good[1], one, good[2]], odd):
+            assert texts(telemetry.parse_all(some)) == texts([telemetry.parse_csv(c) for c in some])
+
+
 def test_scheduler_csv(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text(

@@ -74,6 +74,19 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The whole path of a local or mounted folder, also if it has no scheme; None in other stores."""
+    files, place = _hadoop(spark, path)
+    found = files.makeQualified(place).toUri()
+    return f"file:{found.getPath()}" if found.getScheme() == "file" else None
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file: the sign of a write that has ended."""
+    files, place = _hadoop(spark, path)
+    files.create(place, True).close()
+
+
 def _hadoop(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place

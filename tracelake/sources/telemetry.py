@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import csv
 import io
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import csv as arrow_csv
@@ -21,17 +24,21 @@ from pyspark.sql import functions as F
 from tracelake import storage
 from tracelake.schemas import TELEMETRY_CSV
 from tracelake.sources import files as stored
+from tracelake.sources import tables
 
 COLUMNS = TELEMETRY_CSV.fieldNames()
 #: Bytes of files that one task reads, about, and those that a probe reads at a time.
 TASK_BYTES, PROBE_BYTES = 256 << 20, 16 << 10
+#: Bytes of files that are parsed together, about, and of the largest of them that shares a pass.
+HELD_BYTES, SMALL_BYTES = 2 << 20, 64 << 10
 #: States of a file.
 OK, UNREADABLE, EMPTY, LACKING = "ok", "unreadable", "empty", "missing columns"
 
 _SEQ = "struct<file:string,row:bigint>"
 _TEXTS = ", ".join(f"{c} string" for c in COLUMNS)
 _FILE = "job_id string, node_id string, path string, bytes long"
-#: A file's samples have a row number; its one row without has its state and the number of samples.
+#: A file's samples have a row number and the file's name as path; its one row without a number has its whole
+#: path, its state and the number of samples.
 _ROW = f"job_id string, node_id string, path string, row long, status string, n_rows long, {_TEXTS}"
 
 
@@ -92,36 +99,91 @@ def _plain_rows(text: str, places: list[int]) -> list[list[str | None]]:
     return [[(r[k] or None) if k < len(r) else None for r in rows] for k in places]
 
 
-def parse_csv(content: bytes) -> tuple[str, list[pa.Array]]:
-    """A file's state and its telemetry columns as text."""
+@lru_cache(maxsize=256)
+def _names(line: bytes) -> tuple[str, ...]:
+    return tuple(header_of(line.decode("utf-8", "replace")))
+
+
+def _opened(content: bytes) -> tuple[str, tuple[str, ...], bytes]:
+    """A file's state, the names of its header and what follows it."""
     begin = len(content) - len(content.lstrip(b"\r\n\t "))
     stop = content.find(b"\n", begin)
     stop = len(content) if stop < 0 else stop + 1
-    names = header_of(content[begin:stop].decode("utf-8", "replace"))
+    line = content[begin:stop]
+    names = _names(line) if len(line) <= SMALL_BYTES else _names.__wrapped__(line)
     if not any(names):
-        return EMPTY, []
+        return EMPTY, names, b""
     if not all(c in names for c in COLUMNS):
-        return LACKING, []
-    places, body = [names.index(c) for c in COLUMNS], content[stop:]
+        return LACKING, names, b""
+    return OK, names, content[stop:]
+
+
+def _arrow_columns(names: tuple[str, ...], body: bytes) -> list[pa.Array]:
+    """Fails on rows of other lengths than the header and on bytes that are no text."""
+    places, fields = [names.index(c) for c in COLUMNS], [f"c{k}" for k in range(len(names))]
+    table = arrow_csv.read_csv(
+        pa.BufferReader(body),
+        arrow_csv.ReadOptions(use_threads=False, column_names=fields),
+        arrow_csv.ParseOptions(newlines_in_values=b'"' in body),
+        arrow_csv.ConvertOptions(
+            include_columns=[fields[k] for k in places],
+            column_types={fields[k]: pa.string() for k in places},
+            strings_can_be_null=True,
+            null_values=[""],
+            quoted_strings_can_be_null=True,
+        ),
+    )
+    return [c.combine_chunks() for c in table.columns]
+
+
+def _columns(names: tuple[str, ...], body: bytes) -> list[pa.Array]:
     if not body.strip():
-        return OK, [pa.array([], pa.string())] * len(places)
-    fields = [f"c{k}" for k in range(len(names))]
+        return [pa.array([], pa.string())] * len(COLUMNS)
     try:
-        table = arrow_csv.read_csv(
-            pa.BufferReader(body),
-            arrow_csv.ReadOptions(use_threads=False, column_names=fields),
-            arrow_csv.ParseOptions(newlines_in_values=b'"' in body),
-            arrow_csv.ConvertOptions(
-                include_columns=[fields[k] for k in places],
-                column_types={fields[k]: pa.string() for k in places},
-                strings_can_be_null=True,
-                null_values=[""],
-                quoted_strings_can_be_null=True,
-            ),
-        )
-        return OK, [c.combine_chunks() for c in table.columns]
-    except pa.ArrowInvalid:  # rows of other lengths than the header, or bytes that are no text
-        return OK, [pa.array(c, pa.string()) for c in _plain_rows(body.decode("utf-8", "replace"), places)]
+        return _arrow_columns(names, body)
+    except pa.ArrowInvalid:
+        places = [names.index(c) for c in COLUMNS]
+        return [pa.array(c, pa.string()) for c in _plain_rows(body.decode("utf-8", "replace"), places)]
+
+
+def parse_csv(content: bytes) -> tuple[str, list[pa.Array]]:
+    """A file's state and its telemetry columns as text."""
+    status, names, body = _opened(content)
+    return status, _columns(names, body) if status == OK else []
+
+
+def _countable(body: bytes) -> bool:
+    """Whether a row takes a line at least and no line is blank; true of small files only, as others gain nothing."""
+    return (
+        0 < len(body) <= SMALL_BYTES
+        and not (b"\r" in body or b"\n\n" in body)
+        and not body.startswith((b"\n", b"\xef\xbb\xbf"))
+    )
+
+
+def parse_all(contents: list[bytes]) -> list[tuple[str, list[pa.Array]]]:
+    """``parse_csv`` of every content; a pass of the parser takes all small files of one header."""
+    found, alike = [], defaultdict(list)
+    for k, content in enumerate(contents):
+        status, names, body = _opened(content)
+        if status == OK and _countable(body):
+            alike[names].append((k, body if body.endswith(b"\n") else body + b"\n"))
+            found.append(None)
+        else:
+            found.append((status, _columns(names, body) if status == OK else []))
+    for names, some in alike.items():
+        counts = [body.count(b"\n") for _, body in some]
+        try:
+            columns = _arrow_columns(names, b"".join(body for _, body in some))
+            # As many rows as lines: no value of a file has a line end or goes on in the next file.
+            whole = len(columns[0]) == sum(counts)
+        except pa.ArrowInvalid:  # at least one file needs another way
+            whole = False
+        begin = 0
+        for (k, body), n in zip(some, counts):
+            found[k] = (OK, [c.slice(begin, n) for c in columns] if whole else _columns(names, body))
+            begin += n
+    return found
 
 
 def parse_head(pieces: Iterator[bytes], rows: int) -> tuple[str, list[pa.Array]]:
@@ -141,49 +203,66 @@ def parse_head(pieces: Iterator[bytes], rows: int) -> tuple[str, list[pa.Array]]
     return status, [c.slice(0, rows) for c in columns]
 
 
-def _file_rows(job, node, path, status, columns) -> Iterator[pa.RecordBatch]:
-    """A file's samples and its state as batches of ``_ROW``."""
+def _rows_of(files: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The samples and states of files as batches of ``_ROW``."""
     names = ["job_id", "node_id", "path", "row", "status", "n_rows", *COLUMNS]
-    n = len(columns[0]) if columns else 0
-    texts = [pa.nulls(1, pa.string())] * len(COLUMNS)
-    keys = [pa.array([k], pa.string()) for k in (job, node, path)]
-    state = [pa.nulls(1, pa.int64()), pa.array([status]), pa.array([n], pa.int64())]
-    yield pa.RecordBatch.from_arrays([*keys, *state, *texts], names)
-    for k in range(0, n, 10_000):
-        some = [c.slice(k, 10_000) for c in columns]
-        size = len(some[0])
-        keys = [pa.repeat(pa.scalar(x, pa.string()), size) for x in (job, node, path)]
-        number = pa.array(range(k, k + size), pa.int64())
-        state = [number, pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*keys, *state, *some], names)
+    *keys, status, columns = zip(*files)
+    counts = np.array([len(c[0]) if c else 0 for c in columns])
+    n = len(files)
+    state = [pa.nulls(n, pa.int64()), pa.array(status, pa.string()), pa.array(counts, pa.int64())]
+    yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), *state, *[pa.nulls(n, pa.string())] * len(COLUMNS)], names)
+    keys[-1] = [path.rsplit("/", 1)[-1] for path in keys[-1]]
+    keys = [pa.array(k, pa.string()) for k in keys]
+    texts = [pa.chunked_array([c[k] for c in columns if c], pa.string()) for k in range(len(COLUMNS))]
+    ends = np.cumsum(counts)
+    for k in range(0, int(ends[-1]), 10_000):
+        number = np.arange(k, min(k + 10_000, int(ends[-1])))
+        file = np.searchsorted(ends, number, "right")
+        size = len(number)
+        state = [pa.array(number - (ends - counts)[file], pa.int64()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())]
+        some = [pa.concat_arrays(t.slice(k, size).chunks) for t in texts]
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(file)) for c in keys), *state, *some], names)
 
 
 def _reader(head: int | None):
     """Tasks that open the files of their rows; ``content`` is there if Spark has read them."""
 
-    def load(path: str) -> tuple[str, list[pa.Array]]:
+    def load(path: str) -> bytes | tuple[str, list[pa.Array]]:
         try:
             if head is None:
-                return parse_csv(stored.read_whole(path))
+                return stored.read_whole(path)
             return parse_head(stored.read_pieces(path, PROBE_BYTES), head)
         except OSError:
             return UNREADABLE, []
 
+    def given(content: pa.Scalar) -> bytes | tuple[str, list[pa.Array]]:
+        if not content.is_valid:
+            return UNREADABLE, []
+        if head is None:
+            return content.as_py()
+        status, columns = parse_csv(content.as_py())
+        return status, [c.slice(0, head) for c in columns]
+
+    def rows(files: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parsed = iter(parse_all([got for *_, got in files if isinstance(got, bytes)]))
+        return _rows_of([(*keys, *(next(parsed) if isinstance(got, bytes) else got)) for *keys, got in files])
+
     def found(batches):
+        held, size = [], 0
         for batch in batches:
             contents = batch.column("content") if "content" in batch.schema.names else None
             keys = [batch.column(c).to_pylist() for c in ("job_id", "node_id", "path")]
             for k, (job, node, path) in enumerate(zip(*keys)):
-                if contents is None:
-                    status, columns = load(path)
-                elif not contents[k].is_valid:
-                    status, columns = UNREADABLE, []
-                else:
-                    status, columns = parse_csv(contents[k].as_py())
-                    columns = [c.slice(0, head) for c in columns] if head is not None else columns
-                yield from _file_rows(job, node, path, status, columns)
+                got = load(path) if contents is None else given(contents[k])
+                held.append((job, node, path, got))
+                size += PROBE_BYTES if isinstance(got, tuple) else len(got) + 1_000
+                if size >= HELD_BYTES:
+                    yield from rows(held)
+                    held, size = [], 0
+        if held:
+            yield from rows(held)
 
-    return lambda batches: stored.packed(found(batches))
+    return found
 
 
 def _parsed(nodes: DataFrame, head: int | None, through_spark: bool) -> DataFrame:
@@ -193,6 +272,7 @@ def _parsed(nodes: DataFrame, head: int | None, through_spark: bool) -> DataFram
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not through_spark:
         if head is None:
+            rows = storage.materialize(rows, "listing")
             size = rows.agg(F.sum("bytes")).first()[0] or 0
             parts = max(parts, -(-size // TASK_BYTES))
         return rows.repartition(parts, "path").mapInArrow(_reader(head), _ROW)
@@ -216,7 +296,7 @@ class Ingest:
 
 
 def _samples(rows: DataFrame) -> DataFrame:
-    seq = F.struct(F.substring_index("path", "/", -1).alias("file"), "row").alias("seq")
+    seq = F.struct(F.col("path").alias("file"), "row").alias("seq")
     return rows.filter(F.col("row").isNotNull()).select("job_id", "node_id", seq, *COLUMNS)
 
 
@@ -271,16 +351,21 @@ def write_telemetry(telemetry: DataFrame, path: str, columns: list[str] | None =
 
     Range partitioning by (unit, seq) lets several tasks share a heavy node while the
     part files of its folder keep the order of the samples. The task count is explicit:
-    the cost is one file per unit, which the shuffled bytes do not show.
+    the cost is one file per unit, which the shuffled bytes do not show. In a local or mounted
+    folder tasks write and move the files: Spark's writer moves them one by one on the driver
+    and starts programs there for the rights of every file and folder.
     """
-    parts = int(telemetry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
+    spark, names = telemetry.sparkSession, columns or COLUMNS
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (
         telemetry.withColumn("unit", F.concat_ws("-", "job_id", "node_id"))
         .repartitionByRange(parts, "unit", "seq")
         .sortWithinPartitions("unit", "seq")
-        .select("unit", *(columns or COLUMNS))
-        .write.mode("append")
-        .partitionBy("unit")
-        .option("header", True)
-        .csv(path)
+        .select("unit", *names)
     )
+    local = tables.local_path(spark, path)
+    if local:
+        line = F.concat(F.to_csv(F.struct(*names)), F.lit("\n"))
+        stored.append_folders(rows.select(F.col("unit").alias("value"), line.alias("line")), local, "unit", names)
+    else:
+        rows.write.mode("append").partitionBy("unit").option("header", True).csv(path)
